@@ -95,3 +95,45 @@ def rows_of(batches: Iterator, *columns: str) -> Iterator[tuple]:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             yield tuple(part.column(part.schema.get_field_index(c)) for c in columns)
+
+
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, one text after another, and the offsets at which the texts start and end."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def gram_hashes(codes: np.ndarray, widths: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each width up to the largest, the 32-bit hashes of the grams that start at each code point; yields the widths asked for."""
+    key = np.zeros(len(codes), np.uint32)
+    for width in range(1, max(widths) + 1):
+        n = len(codes) - width + 1
+        if n <= 0:
+            return
+        key = key[:n] * np.uint32(0x9E3779B1) + codes[width - 1 :]
+        if width in widths:
+            out = (key ^ np.uint32(width * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35)
+            out ^= out >> np.uint32(15)
+            yield width, out * np.uint32(0x27D4EB2F)
+
+
+def across(offsets: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Places of the n gram starts whose gram reaches over the end of its text."""
+    ends = offsets[1:-1]
+    if width == 1 or not len(ends):
+        return np.empty(0, np.int64)
+    at = np.concatenate([ends - k for k in range(1, width)])
+    return at[(at >= 0) & (at < n)]
+
+
+def slices_of(texts: list[str], rows: int, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Spans of at most `rows` texts and about `chars` characters."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= chars or i + 1 - at == rows:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
