@@ -34,11 +34,12 @@ def one_permutation(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
     full = np.zeros(bins, bool)
     full[which] = True
     empty = np.flatnonzero(~full)
-    probe = np.uint64(0)
+    probe = 0
     source = out.copy()
     while len(empty):
-        probe += np.uint64(1)
-        target = (mixed(empty.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + probe * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(bins - 1)).astype(np.int64)
+        probe += 1
+        seed = np.uint64(probe * 0xD6E8FEB86659FD93 % (1 << 64))
+        target = (mixed(empty.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seed) & np.uint64(bins - 1)).astype(np.int64)
         hit = full[target]
         out[empty[hit]] = source[target[hit]]
         empty = empty[~hit]

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from strataloom.llm.audio import op8_audio_features
 from strataloom.llm.bpe import op6_bpe
+from strataloom.llm.fingerprint import op5_fingerprints
+from strataloom.llm.language_id import op10_language_id
 from strataloom.llm.line_dedup import OP1_SQL, op1_line_dedup
 from strataloom.llm.minhash import op4_minhash_near_dedup
+from strataloom.llm.quality import op9_quality
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_fingerprints": op5_fingerprints,
     "op6_bpe": op6_bpe,
+    "op8_audio_features": op8_audio_features,
+    "op9_quality": op9_quality,
+    "op10_language_id": op10_language_id,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL}
