@@ -371,11 +371,12 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def digests(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode's rows."""
+def digests(encoded: DataFrame, vocabulary_path: str, *more: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode's rows, with more of their columns."""
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return encoded.select(
         "doc_id",
+        *more,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(listed, 256).alias("ids_sha256"),
         F.sha2(decode(F.col("ids"), vocabulary_path), 256).alias("decoded_sha256"),

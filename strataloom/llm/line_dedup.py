@@ -101,29 +101,41 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, m
     hold no lines; rows that repeat a doc_id count as one document, each row is returned. An empty table
     gives an empty table. Other columns of docs are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    return dropped(docs.select("doc_id", "text"), batches, fanout, min_key).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def dropped(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, min_key: int = MIN_KEY) -> DataFrame:
+    """As dedup_lines, with the other columns of docs in a struct `rest`, whatever their names."""
     runs = LineRuns(docs.sparkSession, fanout, min_key)
     for part in ranges(docs, batches):
         runs.add(docs.where(part))
-    joined = docs.join(runs.kept(), "doc_id", "left")
+    rest = F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(True).alias("_")).alias("rest")
+    joined = docs.select("doc_id", "text", rest).join(runs.kept(), "doc_id", "left")
     pairs = F.transform(
         lines_of(F.col("text")),
         lambda x: F.struct(x.alias("line"), F.when(F.char_length(line_key(x)) >= min_key, F.xxhash64(line_key(x))).alias("key")),
     )
     none = F.array().cast("array<bigint>")
-    held = joined.select("doc_id", "text", "kept_keys", pairs.alias("pairs"))
+    held = joined.select("doc_id", "rest", "kept_keys", pairs.alias("pairs"))
     gone = F.array_except(F.array_compact(F.col("pairs.key")), F.coalesce("kept_keys", none))
-    marked = held.select("doc_id", "text", "pairs", F.when(F.col("doc_id").isNull(), none).otherwise(gone).alias("gone"))
+    marked = held.select("doc_id", "rest", "pairs", F.when(F.col("doc_id").isNull(), none).otherwise(gone).alias("gone"))
     stay = F.filter("pairs", lambda p: p["key"].isNull() | ~F.array_contains(F.col("gone"), p["key"]))
-    split = marked.select("doc_id", "text", F.size("pairs").alias("n_lines"), F.when(F.size("gone") > 0, stay).otherwise(F.col("pairs")).alias("stay"))
+    split = marked.select("doc_id", "rest", F.size("pairs").alias("n_lines"), F.when(F.size("gone") > 0, stay).otherwise(F.col("pairs")).alias("stay"))
     return split.select(
         "doc_id",
         F.array_join("stay.line", "\n").alias("text"),
         F.col("n_lines").cast("long").alias("n_lines"),
         (F.col("n_lines") - F.size("stay")).cast("long").alias("n_dropped"),
+        "rest",
     )
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with texts without repeated lines, and n_chars, where there is such a column, counted anew."""
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return dropped(docs).select(*(new.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns))
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
