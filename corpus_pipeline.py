@@ -1,13 +1,64 @@
-"""Training-data pipeline over documents."""
+"""Training-data pipeline over documents: language ID, line dedup, near-dedup, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. Each works on all that the stage before it kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataloom.llm import bpe, language_id, line_dedup, minhash, mixing
+from strataloom.llm.common import staged
+
+#: A document is rejected where no language is found or its language's score is below this.
+LEAST_SCORE = 0.35
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.fit(docs)
+    marked = docs.select(F.struct(*docs.columns).alias("row"), language_id.predicted(F.col("text"), spark, model).alias("p"))
+    return marked.where((F.col("p.lang_pred") != language_id.UNKNOWN) & (F.col("p.score") >= LEAST_SCORE)).select("row.*")
+
+
+def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.sampled(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, and the digests of ids and of the text decoded from them."""
+    path = bpe.default_vocabulary()
+    encoded = bpe.encode(docs, path)
+    return bpe.digests(encoded, path, "ids")
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("line_dedup", distinct_lines),
+    ("near_dedup", one_of_each_group),
+    ("mixing", mixed),
+    ("bpe", tokens),
+]
+
+#: Language ID, MinHash and BPE have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each staged in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = staged(docs)
     return docs
