@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def prefixed(df: DataFrame, prefix: str, *columns: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in columns))
-
-
 def with_account(rows: DataFrame, accounts: DataFrame, key: str, prefix: str) -> DataFrame:
     """rows with the display name and address of the account that key names, null where there is none."""
-    side = prefixed(accounts, prefix, "id", "display_name", "url_suffix")
-    return rows.join(side, F.col(key) == F.col(f"{prefix}id"), "left").drop(f"{prefix}id")
+    side = accounts.select(F.col("id").alias("_key"), *(F.col(c).alias(f"{prefix}{c}") for c in ("display_name", "url_suffix")))
+    return rows.join(side, F.col(key) == F.col("_key"), "left").drop("_key")
 
 
 def relations_with_ends(relations: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -154,12 +154,12 @@ def shortcode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "orders").select("o_orderkey", n.shortcode(F.col("o_orderkey") * 1000003 + F.lit(12345678901)).alias("code"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, event_id % 9 <> 0 AS valid FROM events WHERE event_id % 9 <> 0 UNION ALL SELECT event_id, NULL, false FROM events WHERE event_id % 9 = 0")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, event_id % 9 <> 0 AS valid FROM events WHERE event_id % 9 <> 0 UNION ALL SELECT event_id, '', false FROM events WHERE event_id % 9 = 0")
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value inside JSON text; text that is cut off is no JSON."""
     text = F.when(F.col("event_id") % 9 == 0, F.substring("props", 1, 5)).otherwise(F.col("props"))
     rows = b.table(spark, sf_dir, "events").select("event_id", n.json_or_null(text).alias("v"))
-    return rows.select("event_id", F.try_variant_get("v", "$.k", "long").alias("k"), F.col("v").isNotNull().alias("valid"))
+    return rows.select("event_id", F.coalesce(F.try_variant_get("v", "$.k", "string"), F.lit("")).alias("k"), F.col("v").isNotNull().alias("valid"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'error' WHEN o_totalprice > 150000 THEN 'generated' WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'pending' ELSE 'not_needed' END AS status FROM orders")
@@ -196,7 +196,7 @@ def chunk_tree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.tree_roots(integrity.chunk_hashes(rows, "r_regionkey", "r_name", 4), "r_regionkey")
 
 
-INDEX = "SELECT split_part(url, '/', 3) AS archive, url, CASE WHEN contains(html, '<script>') THEN 'text/html' END AS mime, page_id AS at FROM pages"
+INDEX = "SELECT split_part(url, '/', 3) AS archive, url, CASE WHEN contains(html, '<script>') THEN 'text/html' END AS mime, page_id AS seen FROM pages"
 
 
 def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +208,7 @@ def mime_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.mime_histogram(page_index(spark, sf_dir))
 
 
-@query(f"SELECT archive, count(*) AS records, count(DISTINCT url) AS urls, min(at) AS first_at, max(at) AS last_at FROM ({INDEX}) GROUP BY archive")
+@query(f"SELECT archive, count(*) AS records, count(DISTINCT url) AS urls, min(seen) AS first_at, max(seen) AS last_at FROM ({INDEX}) GROUP BY archive")
 def capture_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.capture_stats(page_index(spark, sf_dir))
 
