@@ -8,6 +8,7 @@ from urllib.parse import parse_qs, urlsplit
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
@@ -31,7 +32,7 @@ def query_value(url: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def hash_number(text: pd.Series) -> pd.Series:
     """The md5 of a text as a decimal number."""
     return text.map(lambda t: str(int(hashlib.md5(t.encode()).hexdigest(), 16)) if isinstance(t, str) else None)

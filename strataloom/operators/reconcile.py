@@ -56,7 +56,7 @@ def deep_merge(a: object, b: object) -> object:
     return next((x for x in (a, b) if not blank(x)), None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def merged_json(a: pd.Series, b: pd.Series) -> pd.Series:
     """Two JSON objects as text, merged with the first preferred; text that is not JSON counts as none, and two nones give {}."""
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HEADERS = "array<struct<name: string, value: string>>"
 HAR = f"""log struct<entries: array<struct<
@@ -83,7 +84,7 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]+>", " "), r"\s+", " "))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def values_at_key(texts: pd.Series, keys: pd.Series) -> pd.Series:
     """The values, as JSON, that stand under a key anywhere in a JSON text, outermost first; none where the text is no JSON."""
 
