@@ -21,13 +21,15 @@ BUCKETS = 1 << BUCKET_BITS
 #: Labelled rows that teach, passes over them, first learning rate.
 SAMPLE, EPOCHS, RATE, SEED = 3_000, 8, 4.0, 9
 THRESHOLD, CLASSES = 0.7, 2
+#: Bucket of the token that stands for a repeated word.
+REPEATED = 12_345
 #: Odd multiplier of the word hash and its inverse modulo 2**64.
 POWER = 0x9E3779B97F4A7C15
 INVERSE = pow(POWER, -1, 1 << 64)
 
 
 def bucket_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words and n-grams of the texts, and the text each belongs to. Blanks of any kind count as one and the same."""
+    """Buckets of all words and n-grams of the texts, and the text each belongs to. Blanks of any kind count as one and the same; a word that repeats the one before also counts as the token REPEATED, whatever word it is."""
     codes, offsets = code_points([t.lower() for t in texts])
     blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
     codes = np.where(blank, np.uint32(32), codes)
@@ -47,8 +49,10 @@ def bucket_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             back = np.cumprod(np.full(len(codes), INVERSE, np.uint64))
             words = (sums[ends] - sums[starts]) * back[starts]
             words = (words ^ (words >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        ids.append((words >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32))
-        owners.append(owner[starts])
+        own = owner[starts]
+        again = own[1:][(words[1:] == words[:-1]) & (own[1:] == own[:-1])]
+        ids += [(words >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32), np.full(len(again), REPEATED, np.uint32)]
+        owners += [own, again]
     for width, key in gram_hashes(codes, WIDTHS):
         keep = np.ones(len(key), bool)
         keep[across(offsets, width, len(key))] = False
@@ -130,7 +134,8 @@ def quality_score(text: Column, spark: SparkSession, model: QualityModel) -> Col
 
     @F.arrow_udf("double")
     def work(texts: pa.Array) -> pa.Array:
-        return pa.array(held.value.score(texts.to_pylist()), pa.float64())
+        parts = [held.value.score(texts.slice(at, 256).to_pylist()) for at in range(0, len(texts), 256)]
+        return pa.array(np.concatenate([np.empty(0), *parts]), pa.float64())
 
     return work(text)
 
