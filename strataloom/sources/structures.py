@@ -19,39 +19,66 @@ IMAGES = "struct<candidates: array<struct<url: string, width: int, height: int>>
 VIDEOS = "array<struct<url: string, width: int, height: int>>"
 TAGS = f"struct<`in`: array<struct<user: {USER}, position: array<double>>>>"
 CHILD = f"struct<pk: string, id: string, media_type: int, image_versions2: {IMAGES}, video_versions: {VIDEOS}, usertags: {TAGS}>"
+STICKERS = "array<struct<bloks_sticker: struct<sticker_data: struct<ig_mention: struct<username: string, full_name: string>>>>>"
 ITEM = f"""struct<pk: string, id: string, code: string, shortcode: string, taken_at: long, media_type: int, caption: struct<text: string>,
-  user: {USER}, owner: {USER}, image_versions2: {IMAGES}, video_versions: {VIDEOS}, usertags: {TAGS}, carousel_media: array<{CHILD}>>"""
+  user: {USER}, owner: {USER}, image_versions2: {IMAGES}, video_versions: {VIDEOS}, usertags: {TAGS}, carousel_media: array<{CHILD}>, story_bloks_stickers: {STICKERS}>"""
+REEL = f"struct<id: string, reel_type: string, user: {USER}>"
+REEL_NODE = f"struct<id: string, reel_type: string, user: {USER}, items: array<{ITEM}>>"
 COMMENT = f"struct<pk: string, id: string, text: string, created_at: long, parent_comment_id: string, user: {USER}>"
 
 
 @dataclass(frozen=True)
 class Payload:
-    """Where the items of a payload kind lie: a JSON schema of the payload and an expression over it. dated: whether date, caption and the post's own tags are taken from it."""
+    """Where the items of a payload kind lie: the keys that lead there, the schema of what lies under them, and SQL over it (as v) for an array of items or of (item, reel). dated: whether date, caption and the post's own tags are taken from it."""
 
+    keys: tuple[str, ...]
     schema: str
     items: str
+    reels: bool = False
     dated: bool = True
 
 
-#: Kinds of payloads with post-like items. The key that tells each.
+def in_reels(nodes: str) -> str:
+    """SQL for the items of reels, each with its reel."""
+    return f"flatten(transform({nodes}, n -> transform(n.items, i -> named_struct('item', i, 'reel', named_struct('id', n.id, 'reel_type', n.reel_type, 'user', n.user)))))"
+
+
+EDGES, REELS = f"struct<edges: array<struct<node: {ITEM}>>>", f"struct<edges: array<struct<node: {REEL_NODE}>>>"
+#: Kinds of payloads with post-like items. The keys that tell each. Of a feed of stories the first reel counts.
 KINDS = {
-    "timeline": Payload(f"struct<data: struct<xdt_api__v1__feed__user_timeline_graphql_connection: struct<edges: array<struct<node: {ITEM}>>>>>", "p.data.xdt_api__v1__feed__user_timeline_graphql_connection.edges.node"),
-    "clips": Payload(f"struct<data: struct<xdt_api__v1__clips__user__connection_v2: struct<edges: array<struct<node: struct<media: {ITEM}>>>>>>", "p.data.xdt_api__v1__clips__user__connection_v2.edges.node.media", False),
-    "stories": Payload(f"struct<data: struct<xdt_api__v1__feed__reels_media: struct<reels_media: array<struct<items: array<{ITEM}>>>>>>", "p.data.xdt_api__v1__feed__reels_media.reels_media[0].items"),
-    "api_media": Payload(f"struct<items: array<{ITEM}>>", "p.items"),
+    "timeline": Payload(("data", "xdt_api__v1__feed__user_timeline_graphql_connection"), EDGES, "v.edges.node"),
+    "post": Payload(("data", "xdt_api__v1__media__shortcode__web_info"), f"struct<items: array<{ITEM}>>", "v.items"),
+    "reels": Payload(("data", "xdt_api__v1__feed__reels_media__connection"), REELS, in_reels("v.edges.node"), reels=True),
+    "stories": Payload(("data", "xdt_api__v1__feed__reels_media"), f"struct<reels_media: array<{REEL_NODE}>>", in_reels("slice(v.reels_media, 1, 1)"), reels=True),
+    "clips": Payload(("data", "xdt_api__v1__clips__user__connection_v2"), f"struct<edges: array<struct<node: struct<media: {ITEM}>>>>", "v.edges.node.media", dated=False),
+    "page_timeline": Payload(("xdt_api__v1__profile_timeline",), f"struct<profile_timeline_items: array<{ITEM}>>", "v.profile_timeline_items", dated=False),
+    "api_media": Payload(("items",), f"array<{ITEM}>", "v"),
 }
 
 
 def items_of(payloads: DataFrame) -> DataFrame:
-    """(source, kind, place, item, dated) of the post-like items in payloads (source, json). A payload that cannot be read, or of no known kind, gives none; one may hold several kinds."""
+    """(source, kind, place, item, reel, dated) of the post-like items in payloads (source, json). A payload that cannot be read, or of no known kind, gives none; one may hold several kinds."""
     out = []
     for kind, p in KINDS.items():
-        parsed = payloads.select("source", F.from_json("json", p.schema).alias("p"))
-        rows = parsed.select("source", F.posexplode(F.expr(p.items)).alias("place", "item"))
-        out.append(rows.select("source", F.lit(kind).alias("kind"), "place", F.col("item").cast(ITEM).alias("item"), F.lit(p.dated).alias("dated")).where("item IS NOT NULL"))
+        shape, value = p.schema, "p"
+        for key in reversed(p.keys):
+            shape = f"struct<{key}: {shape}>"
+        parsed = payloads.select("source", F.from_json("json", shape).alias("p")).select("source", F.expr(".".join((value, *p.keys))).alias("v"))
+        rows = parsed.select("source", F.posexplode(F.expr(p.items)).alias("place", "x"))
+        item, reel = (F.col("x.item"), F.col("x.reel").cast(REEL)) if p.reels else (F.col("x"), F.lit(None).cast(REEL))
+        out.append(rows.select("source", F.lit(kind).alias("kind"), "place", item.cast(ITEM).alias("item"), reel.alias("reel"), F.lit(p.dated).alias("dated")).where("item IS NOT NULL"))
     return reduce(DataFrame.unionByName, out)
 
 
+def reel_suffix(post: Column) -> Column:
+    """The address of a reel's item: a highlight's where its reel says so or is not named after its user, else a story's; null outside reels."""
+    reel = F.col("reel")
+    own = F.element_at(F.split(reel["id"], ":"), -1)
+    highlight = (F.coalesce(reel["reel_type"], F.lit("")) == "highlight_reel") | ~own.eqNullSafe(F.coalesce(reel["user"]["pk"], reel["user"]["id"]))
+    highlight = F.when(F.col("kind") == "stories", False).otherwise(highlight)
+    return F.when(reel.isNotNull(), F.when(highlight, F.concat(F.lit("s/"), own, F.lit("/?story_media_id="), post)).otherwise(F.concat(F.lit("stories/"), reel["user"]["username"], F.lit("/"), post, F.lit("/"))))
+
+
 def asset_url(item: Column) -> Column:
     """The first video, else the first image."""
     return F.coalesce(F.get(item["video_versions"]["url"], F.lit(0)), F.get(item["image_versions2"]["candidates"]["url"], F.lit(0)))
@@ -62,7 +89,8 @@ def item_post(item: Column) -> Column:
 
 
 def owner(item: Column) -> Column:
-    return F.coalesce(item["user"], item["owner"])
+    """The user of the item's reel, else its own user, else its owner."""
+    return F.coalesce(F.col("reel.user"), item["user"], item["owner"])
 
 
 def post_rows(items: DataFrame) -> DataFrame:
@@ -71,7 +99,7 @@ def post_rows(items: DataFrame) -> DataFrame:
     return items.select(
         "source",
         item_post(i).alias("id_on_platform"),
-        F.concat(F.lit("p/"), code).alias("url_suffix"),
+        F.coalesce(reel_suffix(item_post(i)), F.concat(F.lit("p/"), code)).alias("url_suffix"),
         F.coalesce(owner(i)["pk"], owner(i)["id"]).alias("account_id"),
         F.when(F.col("dated"), F.timestamp_seconds(i["taken_at"])).alias("publication_date"),
         F.when(F.col("dated"), i["caption"]["text"]).alias("caption"),
@@ -99,7 +127,12 @@ def tagged(items: DataFrame) -> DataFrame:
     own = items.where("dated").select("source", item_post(i).alias("post_id"), i["id"].alias("media_id"), F.explode(i["usertags"]["in"]).alias("t"))
     child = items.select("source", item_post(i).alias("post_id"), F.explode(i["carousel_media"]).alias("c"))
     child = child.select("source", "post_id", F.col("c.id").alias("media_id"), F.explode(F.col("c.usertags")["in"]).alias("t"))
-    return own.unionByName(child).select("source", "post_id", "media_id", F.col("t.user").alias("user"), F.get("t.position", F.lit(0)).alias("x"), F.get("t.position", F.lit(1)).alias("y"))
+    tags = own.unionByName(child).select("source", "post_id", "media_id", F.col("t.user").alias("user"), F.get("t.position", F.lit(0)).alias("x"), F.get("t.position", F.lit(1)).alias("y"))
+    # mentions on story stickers have a name only
+    mention = items.select("source", item_post(i).alias("post_id"), F.explode(i["story_bloks_stickers"]["bloks_sticker"]["sticker_data"]["ig_mention"]).alias("m")).where("m IS NOT NULL")
+    none = F.lit(None).cast("string")
+    user = F.struct(none.alias("pk"), none.alias("id"), F.col("m.username").alias("username"), F.col("m.full_name").alias("full_name"), none.alias("biography"))
+    return tags.unionByName(mention.select("source", "post_id", none.alias("media_id"), user.alias("user"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y")))
 
 
 def flattened(payloads: DataFrame) -> dict[str, DataFrame]:
@@ -130,7 +163,21 @@ def like_rows(payloads: DataFrame) -> DataFrame:
 
 
 def friendship_rows(payloads: DataFrame) -> DataFrame:
-    """Follows of payloads (source, url, account_id, json) with a list `users`; the address tells the direction."""
-    parsed = payloads.select("source", "url", "account_id", F.explode(F.from_json("json", f"struct<users: array<{USER}>>")["users"]).alias("u"))
-    other, followers = F.coalesce("u.pk", "u.id"), F.col("url").contains("/followers/")
-    return parsed.select("source", F.when(followers, other).otherwise(F.col("account_id")).alias("follower_id"), F.when(followers, F.col("account_id")).otherwise(other).alias("followed_id"), F.lit("follow").alias("kind"))
+    """Follows of payloads (source, url, json) with a list `users`; the address names the account and tells the direction."""
+    parsed = payloads.select("source", "url", F.explode(F.from_json("json", f"struct<users: array<{USER}>>")["users"]).alias("u"))
+    other, followers = F.coalesce("u.id", "u.pk"), F.col("url").contains("followers")
+    account = F.nullif(F.regexp_extract("url", r"friendships/([^/?]+)", 1), F.lit(""))
+    return parsed.select("source", F.when(followers, other).otherwise(account).alias("follower_id"), F.when(followers, account).otherwise(other).alias("followed_id"), F.lit("follower").alias("kind"))
+
+
+def suggestion_rows(payloads: DataFrame) -> DataFrame:
+    """Suggested accounts of payloads (source, target_id, json), as relations from the account they were shown for."""
+    shape = f"struct<data: struct<xdt_api__v1__discover__chaining: struct<users: array<{USER}>>>>"
+    parsed = payloads.select("source", "target_id", F.explode(F.from_json("json", shape)["data"]["xdt_api__v1__discover__chaining"]["users"]).alias("u"))
+    return parsed.select("source", F.col("target_id").alias("follower_id"), F.coalesce("u.id", "u.pk").alias("followed_id"), F.lit("suggested").alias("kind"))
+
+
+def profile_rows(payloads: DataFrame) -> DataFrame:
+    """Profiles of payloads (source, json): data.user, where it has a biography, of which 200 characters count."""
+    parsed = payloads.select("source", F.from_json("json", f"struct<data: struct<user: {USER}>>")["data"]["user"].alias("user"))
+    return parsed.where("user.biography IS NOT NULL").select("source", *account_row("user"))

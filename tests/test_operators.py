@@ -207,6 +207,27 @@ def test_payloads_become_entities(spark):
     assert [r["id_on_platform"] for r in structures.like_rows(likes).collect()] == ["100_7"]
 
 
+def test_reels_and_relations(spark):
+    user = {"pk": "7", "id": "7", "username": "ann", "biography": "x" * 300}
+    sticker = {"bloks_sticker": {"sticker_data": {"ig_mention": {"username": "cy", "full_name": "Cy"}}}}
+    item = {"pk": "1", "id": "1_7", "taken_at": 5, "story_bloks_stickers": [sticker]}
+    node = lambda i, kind: {"node": {"id": i, "reel_type": kind, "user": user, "items": [item]}}
+    reels = {"data": {"xdt_api__v1__feed__reels_media__connection": {"edges": [node("highlight:55", "highlight_reel"), node("7", "user_reel")]}}}
+    stories = {"data": {"xdt_api__v1__feed__reels_media": {"reels_media": [node("7", None)["node"], node("8", None)["node"]]}}}
+    payloads = spark.createDataFrame([("a", json.dumps(reels)), ("b", json.dumps(stories))], "source string, json string")
+    out = structures.flattened(payloads)
+    assert sorted((r["source"], r["url_suffix"], r["account_id"]) for r in out["posts"].collect()) == [("a", "s/55/?story_media_id=1", "7"), ("a", "stories/ann/1/", "7"), ("b", "stories/ann/1/", "7")]
+    assert {(r["id_on_platform"], r["tagged_account_id"]) for r in out["tagged_accounts"].collect()} == {("url_cy/_1_", None)}
+    assert {r["url_suffix"] for r in out["accounts"].collect()} == {"ann/", "cy/"}
+    users = json.dumps({"users": [user]})
+    follows = spark.createDataFrame([("s", "https://x/api/v1/friendships/9/followers/", users), ("s", "https://x/api/v1/friendships/9/following/", users)], "source string, url string, json string")
+    assert {(r["follower_id"], r["followed_id"]) for r in structures.friendship_rows(follows).collect()} == {("7", "9"), ("9", "7")}
+    shown = spark.createDataFrame([("s", "9", json.dumps({"data": {"xdt_api__v1__discover__chaining": {"users": [user]}}}))], "source string, target_id string, json string")
+    assert [(r["follower_id"], r["followed_id"], r["kind"]) for r in structures.suggestion_rows(shown).collect()] == [("9", "7", "suggested")]
+    profile = spark.createDataFrame([("s", json.dumps({"data": {"user": user}}))], "source string, json string")
+    assert structures.profile_rows(profile).first()["bio"] == "x" * 200
+
+
 def test_nested_json_and_pages(spark):
     df = spark.createDataFrame([('{"a": [{"k": 1}, {"b": {"k": {"k": 2}}}]}',), ("{",)], "t string")
     assert [r[0] for r in df.select(captures.values_at_key("t", F.lit("k"))).collect()] == [["1", '{"k": 2}', "2"], []]
