@@ -8,10 +8,11 @@ signature is a minimum over copied runs.
 128 coordinates give 32 bands of 4; two sets of similarity 0.8 share no band with probability below 1e-7.
 Documents with equal shingle sets collapse into one class first. Buckets of at most SMALL classes yield all
 their pairs. A larger bucket yields two links a member: to the bucket's smallest class and to the smallest
-of its salted subgroup. All links are confirmed on full shingle sets and joined into components. Then the
-members of large buckets that are not yet in the bucket's commonest component meet all members of the
-bucket in blocks of bounded size, and pairs that share at least two bands (all but 2e-6 of the pairs at
-0.8) are confirmed too. So no bucket is cut off, and none emits all its pairs.
+of its salted subgroup. All links are confirmed on full shingle sets and joined into components. Where
+members of a large bucket are still in different components, the members of such buckets form families;
+every member outside its family's commonest component is then compared, on full sets and in cells of
+bounded size, with all of the family, and a cell returns only as many links as join its components. So no
+bucket is cut off, and none emits all its pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from strataloom.llm.common import WordHashes, mixed, rows_of, shingles_of, stage
 PERCENT = 80
 COORDINATES, ROWS = 128, 4
 UNIVERSE = 1 << 20
-SMALL, BLOCK = 16, 512
+#: Classes of a bucket that yields all pairs, and shingles on either side of a cell.
+SMALL, CELL = 16, 1 << 20
 #: Bits of the prefilter that the verification broadcasts: 2**26, that is 8 MB whatever the input.
 FILTER_BITS = 26
 #: Rounds of star contraction; each at least halves what is left of a path.
@@ -147,29 +149,69 @@ def first_links(members: DataFrame) -> DataFrame:
     return pairs.union(star).union(sub).where("a < b").distinct()
 
 
-def block_links(members: DataFrame, labels: DataFrame, keys: DataFrame) -> DataFrame:
-    """Pairs of large buckets that the stars left in different components: every member outside its bucket's commonest component against all members, in blocks."""
-    wide = members.where(F.col("n") > SMALL).select("key", "id").join(labels, "id", "left").withColumn("c", F.coalesce("component_id", "id"))
-    counts = wide.groupBy("key", "c").count()
-    main = counts.groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("kinds"), F.sum("count").alias("n")).where("kinds > 1")
-    open_ = wide.join(main, "key").join(keys, "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    lone = open_.where("c <> main")
-    ask = lone.select("key", "id", "c", "keys", F.lit(True).alias("asks"), F.col("block").alias("x"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("y"))
-    asked = lone.select("key", F.col("block").alias("x")).distinct()
-    tell = open_.select("key", "id", "c", "keys", F.lit(False).alias("asks"), F.col("block").alias("y")).join(asked, "key")
+def families(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, c, family, ask) of the members of large buckets that the stars left in several components.
+
+    c is a member's component so far. Members that share such a bucket, directly or through others, are one
+    family; ask is true for those outside the family's commonest component.
+    """
+    wide = members.where(F.col("n") > SMALL).select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
+    mixed_keys = wide.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("id").alias("lead")).where("x <> y").select("key", "lead")
+    open_ = staged(wide.join(mixed_keys, "key"))
+    found = components(open_.select(F.col("lead").alias("a"), F.col("id").alias("b")))
+    each = open_.select("id", "c").distinct().join(found, "id", "left").select("id", "c", F.coalesce("component_id", "id").alias("family"))
+    counts = each.groupBy("family", "c").count()
+    main = counts.groupBy("family").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+    return staged(each.join(main, "family").select("id", "c", "family", (F.col("c") != F.col("main")).alias("ask")))
+
+
+def family_links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components within families: every asking member against all members, on full shingle sets.
+
+    Askers and members meet in cells of about CELL shingles a side, dealt by a hash of the id. A cell gives as
+    many links as join the components it holds, not all pairs.
+    """
+    weighed = found.join(sets, "id")
+    ask = F.col("ask")
+    sums = weighed.groupBy("family").agg(F.sum("n").alias("all"), F.sum(F.when(ask, F.col("n"))).alias("asked"))
+    grid = sums.select("family", F.ceil(F.col("all") / CELL).alias("ys"), F.ceil(F.col("asked") / CELL).alias("xs"))
+    placed = weighed.join(grid, "family").withColumn("x", F.pmod(F.xxhash64("id", F.lit(1)), "xs")).withColumn("y", F.pmod(F.xxhash64("id", F.lit(2)), "ys"))
+    columns = ["family", "x", "y", "id", "c", "n", "shingles", "asks"]
+    asking = placed.where(ask).withColumn("y", F.explode(F.expr("sequence(0, ys - 1)"))).withColumn("asks", F.lit(True)).select(columns)
+    told = placed.withColumn("x", F.explode(F.expr("sequence(0, xs - 1)"))).withColumn("asks", F.lit(False)).select(columns)
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         q, d = group[group.asks], group[~group.asks]
-        out = []
+        out: list[tuple[int, int]] = []
         if len(q) and len(d):
-            dk, di, dc = np.stack(d["keys"].to_numpy()), d["id"].to_numpy(), d["c"].to_numpy()
-            for i, c, k in zip(q["id"], q["c"], q["keys"], strict=True):
-                hit = ((dk == k).sum(axis=1) >= 2) & (dc != c)
-                out += [(min(i, j), max(i, j)) for j in di[hit]]
+            size, label, ids = d["n"].to_numpy(), d["c"].to_numpy(), d["id"].to_numpy()
+            flat = np.concatenate(d["shingles"].to_numpy())
+            order = np.argsort(flat, kind="stable")
+            owner = np.repeat(np.arange(len(d)), size)[order]
+            values, starts, counts = np.unique(flat[order], return_index=True, return_counts=True)
+            parent: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while (up := parent.get(c, c)) != c:
+                    parent[c] = c = parent.get(up, up)
+                return c
+
+            for i, c, n, own in zip(q["id"], q["c"], q["n"], q["shingles"], strict=True):
+                at = np.searchsorted(values, own).clip(max=len(values) - 1)
+                at = at[values[at] == own]
+                lengths = counts[at]
+                ends = np.cumsum(lengths)
+                places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - lengths), lengths)
+                common = np.bincount(owner[places], minlength=len(d))
+                near = np.flatnonzero((100 * common >= percent * (n + size - common)) & (label != c))
+                for k in near[np.unique(label[near], return_index=True)[1]]:
+                    x, y = root(c), root(int(label[k]))
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        out.append((min(i, ids[k]), max(i, ids[k])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    both = ask.unionByName(tell.select("key", "id", "c", "keys", "asks", "x", "y"))
-    return both.groupBy("key", "x", "y").applyInPandas(meet, "a long, b long").distinct()
+    return asking.unionByName(told).groupBy("family", "x", "y").applyInPandas(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -193,10 +235,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) ->
     ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     links = staged(confirmed(pairs, staged(shingle_sets(docs, ids(pairs), words)), percent))
     labels = staged(components(links))
-    more = staged(block_links(members, labels, classes.select("id", "keys")))
-    if not more.isEmpty():
-        extra = confirmed(more, staged(shingle_sets(docs, ids(more), words)), percent)
-        labels = staged(components(links.union(extra)))
+    left = families(members, labels)
+    if not left.isEmpty():
+        more = staged(family_links(left, staged(shingle_sets(docs, left.select("id"), words)), percent))
+        labels = staged(components(links.union(more)))
     found = classes.select("set_id", "id").join(labels, "id", "left").select("set_id", F.coalesce("component_id", "id").alias("c"))
     # one row a class, so the few hot classes of equal sets are split by the join, not by a group
     out = seen.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left")
