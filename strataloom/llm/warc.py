@@ -40,7 +40,7 @@ def warc_record(record_id: Column, url: Column, body: Column) -> Column:
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """(archive, seq, start, end, hash) of records (archive, seq, payload), staged: ranges follow from the order of seq within each archive.
+    """(archive, block, place, seq, copy, start, end, hash) of records (archive, seq, payload), staged: ranges follow from the order of seq within each archive.
 
     Nulls in archive and seq count as values of their own that come first. Records that share a seq lie one
     after another in the order of their hashes; a null payload is an empty record.
@@ -56,7 +56,8 @@ def leaves(records: DataFrame) -> DataFrame:
     joined = rows.join(bases, rows["archive"].eqNullSafe(bases["a"]) & (rows["block"] == bases["b"]))
     order = W.partitionBy("archive", "block").orderBy(F.asc_nulls_first("seq"), "hash")
     ordered = joined.withColumn("end", F.col("base") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("place", F.row_number().over(order))
-    return ordered.select("archive", "block", "place", "seq", (F.col("end") - F.col("size")).alias("start"), "end", "hash")
+    ordered = ordered.withColumn("copy", F.row_number().over(W.partitionBy("archive", "block", "seq").orderBy("hash")))
+    return ordered.select("archive", "block", "place", "seq", "copy", (F.col("end") - F.col("size")).alias("start"), "end", "hash")
 
 
 def parents(nodes: DataFrame, by: list[Column], order: list[str]) -> DataFrame:
@@ -98,13 +99,14 @@ def audit(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
     """archive, seq, start, end, status ('damaged', 'missing', 'unexpected') and both hashes of every record in which the right replica differs from the left.
 
     Only children of differing nodes are compared. A record whose bytes are intact but whose range moved,
-    because a record before it changed its size, is not reported. Identical or empty replicas give no rows.
+    because a record before it changed its size, is not reported. Records that share a sequence number are
+    paired in the order of their hashes. Identical or empty replicas give no rows.
     """
     bad = staged(differing(left[-1], right[-1], ["archive", "node"]).select("archive", "node"))
     for k in range(len(left) - 2, 0, -1):
         up = F.lit(0).cast("long") if k == len(left) - 2 else F.floor(F.col("node") / FANOUT)
         bad = staged(differing(under(left[k], bad, up), under(right[k], bad, up), ["archive", "node"]).select("archive", "node"))
-    rows = differing(under(left[0], bad, F.col("block")), under(right[0], bad, F.col("block")), ["archive", "block", "seq", "place"])
+    rows = differing(under(left[0], bad, F.col("block")), under(right[0], bad, F.col("block")), ["archive", "block", "seq", "copy"])
     moved = F.col("l.hash").eqNullSafe(F.col("r.hash"))
     status = F.when(F.col("r").isNull(), "missing").when(F.col("l").isNull(), "unexpected").otherwise("damaged")
     side = F.coalesce("l", "r")
