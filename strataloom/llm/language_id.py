@@ -26,8 +26,8 @@ SLOTS = 1 << SLOT_BITS
 #: Training rows and landmarks over all languages, and the languages learned (the commonest).
 TRAIN, LANDMARKS, MOST = 2_000, 160, 200
 RIDGE, SHARPNESS = 1e-3, 6.0
-#: Texts scored at once.
-ROWS = 128
+#: Texts, and characters, scored at once.
+ROWS, CHARS = 64, 1 << 18
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -69,7 +69,7 @@ class LanguageModel:
         if not hasattr(self, "landmarks"):
             self.landmarks = unpacked(self.bits)
         plain = [texts[i] for i in known]
-        for a, b in slices_of(plain, ROWS):
+        for a, b in slices_of(plain, ROWS, CHARS):
             out = SHARPNESS * (kernel(presence(plain[a:b]), self.landmarks) @ self.weights)
             out = np.exp(out - out.max(axis=1, keepdims=True))
             best = out.argmax(axis=1)
@@ -89,20 +89,24 @@ def fit(docs: DataFrame, train: int = TRAIN, landmarks: int = LANDMARKS) -> Lang
     language and answers UNKNOWN.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST).collect()]
-    if not names:
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST).collect()}
+    if not counts:
         return LanguageModel([], [], np.empty((0, 0)))
-    order = W.partitionBy("lang").orderBy("h", "doc_id")
-    ranked = rows.where(F.col("lang").isin(names)).select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    chosen = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(2, train // len(names)))
+    names, each = list(counts), max(2, train // len(counts))
+    # hashes are even over 64 bits, so the `each` smallest lie below this bound but for a chance under 1e-9; what it lets through is few rows a language, whatever the table's size
+    bounds = F.create_map(*(F.lit(x) for n, c in counts.items() for x in (n, int(-(2**63) + min(1.0, (3 * each + 60) / c) * (2**64 - 2**11)))))
+    hashed = rows.where(F.col("lang").isin(names)).select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    few = hashed.where(F.col("h") <= bounds[F.col("lang")])
+    chosen = few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= each)
     chosen = chosen.groupBy("doc_id").agg(F.min("rank").alias("rank"), F.min("lang").alias("lang"))
     picked = rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most `train` ids
 
     def pack(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices_of(texts, ROWS):
-                bits = np.packbits(presence(texts[a:b]).astype(bool), axis=1)
+            for a in range(0, batch.num_rows, ROWS):
+                texts = batch.column("text").slice(a, ROWS).to_pylist()
+                b = a + len(texts)
+                bits = np.concatenate([np.packbits(presence(texts[x:y]).astype(bool), axis=1) for x, y in slices_of(texts, ROWS, CHARS)])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("lang", "rank", "h")), pa.array([r.tobytes() for r in bits], pa.binary())], ["lang", "rank", "h", "bits"])
 
     sample = staged(picked.select("lang", "rank", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text").mapInArrow(pack, "lang string, rank int, h long, bits binary"))
@@ -135,7 +139,11 @@ def predicted(text: Column, spark: SparkSession, model: LanguageModel) -> Column
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def work(texts: pa.Array) -> pa.Array:
-        names, scores = held.value.score(texts.to_pylist())
+        names, scores = [], []
+        for at in range(0, len(texts), 256):
+            more = held.value.score(texts.slice(at, 256).to_pylist())
+            names += more[0]
+            scores += more[1]
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return work(text)
