@@ -1,6 +1,6 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-Frequent pieces (what the pre-tokenizer's pattern cuts) are counted over the whole corpus; the commonest
+Words are counted over the whole corpus; the pieces (what the pre-tokenizer's pattern cuts) of the commonest
 LEXICON of them are encoded exactly once and compiled into a minimal acyclic automaton whose shared suffixes
 carry number outputs: the sum of the outputs along a piece's path is its ordinal, which addresses its ids.
 The automaton is one file that Spark ships to every executor, where workers memory-map it, so its pages are
@@ -16,8 +16,10 @@ import re
 import sys
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 
 from strataloom.llm.common import rows_of
 
-#: Pieces compiled into the lexicon, and pieces a worker remembers before it starts afresh.
-LEXICON, MEMORY = 65_536, 150_000
-#: Longer pieces are merged without being remembered or counted.
+#: Words compiled into the lexicon, and chunks a worker remembers before it starts afresh.
+LEXICON, MEMORY = 65_536, 300_000
+#: Longer words are not counted, longer pieces merged with a heap.
 LONG = 64
 
 
@@ -56,7 +58,20 @@ def piece_pattern() -> re.Pattern:
     # White_Space of Unicode, fixed values
     blank = r"\t-\r\x20\x85\xa0  -     　"
     # the vocabulary's own pattern, fixed value
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{blank}{letters}{numbers}]+|[{blank}]+(?![^{blank}])|[{blank}]+")
+    # letters and numbers are tried before the contractions, which start with neither
+    return re.compile(rf" ?[{letters}]+| ?[{numbers}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{blank}{letters}{numbers}]+|[{blank}]+(?![^{blank}])|[{blank}]+")
+
+
+#: Blanks other than space and line end, and the mark that parts chunks; commas and stops before a blank that do not follow a letter or number.
+ODD_BLANK = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")
+ODD_POINT = re.compile(r"[,.](?<![^\W_][,.])[ \n]")
+
+
+def regular(text: str) -> bool:
+    """Whether blanks are single spaces or single line ends between other characters, and commas and stops before them follow a letter or number."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not ODD_BLANK.search(text) and not ODD_POINT.search(text)
 
 
 class Vocabulary:
@@ -70,6 +85,7 @@ class Vocabulary:
         self.ids = {raw(t): i for t, i in data["model"]["vocab"].items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"])
         self.ranks = {(self.ids[raw(a)], self.ids[raw(b)]): (k, self.ids[raw(a + b)]) for k, (a, b) in enumerate(pairs)}
+        self.none = (len(self.ranks), -1)
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -81,7 +97,26 @@ class Vocabulary:
             self.tokens[i] = t.encode()
 
     def merge(self, piece: bytes) -> list[int]:
-        """Exact merges by rank, leftmost first. A heap over a linked list keeps long pieces at n log n."""
+        """Exact merges by rank, leftmost first."""
+        if len(piece) > LONG:
+            return self.merge_long(piece)
+        ids, ranks, none = [self.byte_ids[b] for b in piece], self.ranks, self.none
+        pairs = [ranks.get(p, none) for p in zip(ids, ids[1:])]
+        while pairs:
+            best = min(pairs)
+            if best is none:
+                break
+            i = pairs.index(best)
+            ids[i] = best[1]
+            del ids[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = ranks.get((ids[i - 1], ids[i]), none)
+            if i < len(pairs):
+                pairs[i] = ranks.get((ids[i], ids[i + 1]), none)
+        return ids
+
+    def merge_long(self, piece: bytes) -> list[int]:
+        """The same with a heap over a linked list, which keeps long pieces at n log n."""
         import heapq
 
         ids = [self.byte_ids[b] for b in piece]
@@ -106,16 +141,26 @@ class Vocabulary:
                     heapq.heappush(heap, (found[0], x, found[1], ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
+    def marked(self, text: str) -> bool:
+        """Whether an added token stands in the text."""
+        return any(t in text for t in self.added)
+
     def pieces(self, text: str) -> list[str]:
         """Pieces in order; an added token is a piece of its own."""
         find = piece_pattern().findall
-        if self.cut is None or not any(t in text for t in self.added):
+        if not self.marked(text):
             return find(text)
         out: list[str] = []
         for part in self.cut.split(text):
             out += [part] if part in self.added else find(part)
         return out
 
+    def chunks(self, text: str) -> list[str]:
+        """The text in parts that the pattern never reaches across: in regular texts words with the space before them, line ends, and commas and stops before blanks; else pieces."""
+        if not regular(text) or self.marked(text):
+            return self.pieces(text)
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").replace(",\0", "\0,\0").replace(".\0", "\0.\0").split("\0")
+
 
 # ---------------------------------------------------------------- the lexicon
 
@@ -169,8 +214,7 @@ def compile_lexicon(entries: list[tuple[bytes, list[int]]], path: str) -> None:
     blocks = [first, final, label, target, output, starts, [x for _, i in entries for x in i]]
     head = [root, *map(len, blocks)]
     with open(path, "wb") as f:
-        f.write(np.asarray(head, np.int32).tobytes())
-        for b in blocks:
+        for b in (head, *blocks):
             f.write(np.asarray(b, np.int32).tobytes())
 
 
@@ -178,7 +222,7 @@ class Lexicon:
     """A memory-mapped transducer."""
 
     def __init__(self, path: str):
-        data = np.memmap(path, np.int32, "r")
+        data = np.asarray(np.memmap(path, np.int32, "r"))  # plain views of the mapped file, which are cheaper to slice
         self.root, sizes, at = int(data[0]), data[1:8], 8
         parts = []
         for size in sizes:
@@ -220,37 +264,46 @@ class Encoder:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.starts, self.lengths, self.flat, self.size = [], [], [], 0
+        # typed arrays, which numpy reads in place
+        self.starts, self.lengths, self.flat = array("q"), array("q"), array("i")
 
-    def learn(self, pieces: list[str]) -> None:
-        """Ids of pieces not met before."""
+    def learn(self, chunks: list[str]) -> None:
+        """Ids of chunks not met before: of their pieces, the lexicon's as it has them, others merged."""
+        find = piece_pattern().findall
+        # letters alone are one piece
+        split = [[c] if c.removeprefix(" ").isalpha() or c in self.vocabulary.added else find(c) for c in chunks]
+        pieces = sorted(set().union(*split))
         raw = [p.encode() for p in pieces]
         found = self.lexicon.ordinals(raw) if self.lexicon else np.full(len(raw), -1)
+        known = {}
         for piece, data, ordinal in zip(pieces, raw, found.tolist(), strict=True):
             if piece in self.vocabulary.added:
-                ids = [self.vocabulary.added[piece]]
+                known[piece] = [self.vocabulary.added[piece]]
             elif ordinal >= 0:
-                ids = self.lexicon.ids[self.lexicon.starts[ordinal] : self.lexicon.starts[ordinal + 1]].tolist()
+                known[piece] = self.lexicon.ids[self.lexicon.starts[ordinal] : self.lexicon.starts[ordinal + 1]].tolist()
             else:
-                ids = self.vocabulary.merge(data)
-            self.number[piece] = len(self.starts)
-            self.starts.append(self.size)
-            self.lengths.append(len(ids))
-            self.flat += ids
-            self.size += len(ids)
+                known[piece] = self.vocabulary.merge(data)
+        for chunk, parts in zip(chunks, split, strict=True):
+            before = len(self.flat)
+            for p in parts:
+                self.flat.extend(known[p])
+            self.number[chunk] = len(self.starts)
+            self.starts.append(before)
+            self.lengths.append(len(self.flat) - before)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the offsets of the texts."""
-        if len(self.number) > MEMORY or self.size > 16 * MEMORY:
+        if len(self.number) > MEMORY or len(self.flat) > 16 * MEMORY:
             self.forget()
-        split = [self.vocabulary.pieces(t) for t in texts]
+        split = [self.vocabulary.chunks(t) for t in texts]
         new = set().union(*split) - self.number.keys() if split else set()
         if new:
             self.learn(sorted(new))
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        which = np.fromiter((self.number[p] for s in split for p in s), np.int64, int(counts.sum()))
-        starts, lengths = np.asarray(self.starts, np.int64), np.asarray(self.lengths, np.int64)
-        flat = gathered(np.asarray(self.flat, np.int32), starts[which], lengths[which]) if len(which) else np.empty(0, np.int32)
+        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        # copies, as the arrays grow later
+        starts, lengths, ids = np.array(self.starts, np.int64), np.array(self.lengths, np.int64), np.array(self.flat, np.int32)
+        flat = gathered(ids, starts[which], lengths[which]) if len(which) else np.empty(0, np.int32)
         ends = np.concatenate([[0], np.cumsum(lengths[which])]) if len(which) else np.zeros(1, np.int64)
         return flat, ends[np.concatenate([[0], np.cumsum(counts)])]
 
@@ -277,25 +330,26 @@ def text_slices(texts: list, most: int = 1 << 20):
         yield at, len(texts)
 
 
-def piece_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """(piece, count) over all texts: counted in each task first, summed after a shuffle of distinct pieces."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, count) of the blank-delimited words over all texts: counted in each task first, summed after a shuffle of distinct words."""
 
     def work(batches):
-        vocabulary, seen = vocabulary_of(vocabulary_path), Counter()
+        seen = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "count"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "count"])
 
         for (texts,) in rows_of(batches, "text"):
             for t in texts.to_pylist():
-                seen.update(vocabulary.pieces(t or ""))
+                if t:
+                    seen.update(t.split())
             if len(seen) > MEMORY:
                 yield out()
                 seen.clear()
         yield out()
 
-    counted = docs.select("text").mapInArrow(work, "piece string, count long")
-    return counted.where(F.length("piece") <= LONG).groupBy("piece").agg(F.sum("count").alias("count"))
+    counted = docs.select("text").mapInArrow(work, "word string, count long")
+    return counted.where(F.length("word") <= LONG).groupBy("word").agg(F.sum("count").alias("count"))
 
 
 @lru_cache(4)
@@ -309,10 +363,10 @@ def encoder_of(vocabulary_path: str, lexicon_name: str) -> Encoder:
 
 
 def ship_lexicon(docs: DataFrame, vocabulary_path: str, size: int = LEXICON) -> str:
-    """Compile the corpus's commonest pieces and ship the file to all executors; returns its name. The driver holds `size` rows of at most LONG characters."""
+    """Compile the pieces of the corpus's commonest words and ship the file to all executors; returns its name. The driver holds `size` words of at most LONG characters."""
     vocabulary = vocabulary_of(vocabulary_path)
-    top = piece_counts(docs, vocabulary_path).orderBy(F.desc("count"), "piece").limit(size).collect()
-    words = sorted({r["piece"].encode() for r in top if r["piece"] not in vocabulary.added})
+    top = word_counts(docs).orderBy(F.desc("count"), "word").limit(size).collect()
+    words = sorted({p.encode() for r in top for p in piece_pattern().findall(" " + r["word"]) if p not in vocabulary.added})
     handle, path = tempfile.mkstemp(prefix="lexicon-", suffix=".bin")
     os.close(handle)
     compile_lexicon([(w, vocabulary.merge(w)) for w in words], path)
