@@ -165,8 +165,8 @@ class Vocabulary:
 # ---------------------------------------------------------------- the lexicon
 
 
-def compile_lexicon(entries: list[tuple[bytes, list[int]]], path: str) -> None:
-    """Write the minimal acyclic transducer of entries (sorted by bytes, distinct) to one file.
+def compile_lexicon(entries: list[tuple[bytes, list[int]]]) -> bytes:
+    """The minimal acyclic transducer of entries (sorted by bytes, distinct), as the content of one file.
 
     States are merged bottom-up as their words end (a register of equal right languages), each state counts
     the words below it, and an arc's output is the number of words before it in its state; so a word's
@@ -213,9 +213,7 @@ def compile_lexicon(entries: list[tuple[bytes, list[int]]], path: str) -> None:
     starts = np.cumsum([0, *(len(i) for _, i in entries)])
     blocks = [first, final, label, target, output, starts, [x for _, i in entries for x in i]]
     head = [root, *map(len, blocks)]
-    with open(path, "wb") as f:
-        for b in (head, *blocks):
-            f.write(np.asarray(b, np.int32).tobytes())
+    return b"".join(np.asarray(b, np.int32).tobytes() for b in (head, *blocks))
 
 
 class Lexicon:
@@ -363,13 +361,23 @@ def encoder_of(vocabulary_path: str, lexicon_name: str) -> Encoder:
 
 
 def ship_lexicon(docs: DataFrame, vocabulary_path: str, size: int = LEXICON) -> str:
-    """Compile the pieces of the corpus's commonest words and ship the file to all executors; returns its name. The driver holds `size` words of at most LONG characters."""
-    vocabulary = vocabulary_of(vocabulary_path)
-    top = word_counts(docs).orderBy(F.desc("count"), "word").limit(size).collect()
-    words = sorted({p.encode() for r in top for p in piece_pattern().findall(" " + r["word"]) if p not in vocabulary.added})
+    """Compile the pieces of the corpus's commonest words and ship the file to all executors; returns its name.
+
+    One task compiles `size` words of at most LONG characters; the driver holds the compiled file only.
+    """
+
+    def build(batches):
+        vocabulary, words = vocabulary_of(vocabulary_path), set()
+        for batch in batches:
+            for word in batch.column("word").to_pylist():
+                words.update(p.encode() for p in piece_pattern().findall(" " + word) if p not in vocabulary.added)
+        yield pa.RecordBatch.from_arrays([pa.array([compile_lexicon([(w, vocabulary.merge(w)) for w in sorted(words)])], pa.binary())], ["file"])
+
+    top = word_counts(docs).orderBy(F.desc("count"), "word").limit(size).select("word")
+    rows = top.mapInArrow(build, "file binary").collect()
     handle, path = tempfile.mkstemp(prefix="lexicon-", suffix=".bin")
-    os.close(handle)
-    compile_lexicon([(w, vocabulary.merge(w)) for w in words], path)
+    with os.fdopen(handle, "wb") as f:
+        f.write(max((bytes(r["file"]) for r in rows), key=len, default=compile_lexicon([])))
     docs.sparkSession.sparkContext.addFile(path)
     return os.path.basename(path)
 
