@@ -6,6 +6,9 @@ geometric mean of what each holds. Landmarks come from a bounded sample of the t
 features are its kernel values against them, whitened by the landmarks' own kernel matrix; ridge regression
 fits one output a language. A batch of texts is scored by two matrix products.
 
+A long text would hold n-grams in almost every slot, whatever its language. It is therefore taken in pieces of
+at most PIECE code points, and its kernel values are those of its pieces, averaged by their sizes.
+
 Only the sample is bounded (TRAIN rows, MOST languages); texts are whole in training and in scoring.
 """
 
@@ -28,6 +31,8 @@ TRAIN, LANDMARKS, MOST = 2_000, 160, 200
 RIDGE, SHARPNESS = 1e-3, 6.0
 #: Texts, and characters, scored at once.
 ROWS, CHARS = 64, 1 << 18
+#: Code points a piece of a text has at most.
+PIECE = 8192
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -50,8 +55,46 @@ def kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return (x @ landmarks.T) / np.sqrt(np.maximum(own, 1))[:, None] / np.sqrt(np.maximum(other, 1))
 
 
-def unpacked(bits: list[bytes]) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), SLOTS // 8), axis=1).astype(np.float32)
+def pieces_of(text: str) -> list[tuple[str, float]]:
+    """Pieces of even size and their shares of the text; a piece reaches on to the ends of the n-grams that start in it."""
+    n = -(-len(text) // PIECE) or 1
+    cuts = [k * len(text) // n for k in range(n + 1)]
+    return [(text[a : b + WIDTHS[-1] - 1], (b - a) / len(text) if text else 1.0) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def embedded(texts: list[str]) -> np.ndarray:
+    """One row a text, whose products with other rows are kernel values: the presence rows of its pieces, each of length 1, averaged by size."""
+    out = np.zeros((len(texts), SLOTS), np.float32)
+    parts = [(i, *piece) for i, t in enumerate(texts) for piece in pieces_of(t.lower())]
+    plain = [p for _, p, _ in parts]
+    owner, share = np.array([i for i, _, _ in parts], np.int64), np.array([w for _, _, w in parts], np.float32)
+    for a, b in slices_of(plain, ROWS, CHARS):
+        rows = presence(plain[a:b])
+        rows *= (share[a:b] / np.sqrt(np.maximum(rows.sum(axis=1), 1)))[:, None]
+        first = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+        out[owner[a:b][first]] += np.add.reduceat(rows, first, axis=0)
+    return out
+
+
+def packed(texts: list[str]) -> list[bytes]:
+    """The rows of embedded: bits for a text of one piece, float32 values for others."""
+    out = []
+    for a, b in slices_of(texts, ROWS, CHARS):
+        for t, row in zip(texts[a:b], embedded(texts[a:b]), strict=True):
+            out.append(np.packbits(row > 0).tobytes() if len(t.lower()) <= PIECE else row.tobytes())
+    return out
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """The rows of embedded from their packed form."""
+    out = np.empty((len(rows), SLOTS), np.float32)
+    for i, row in enumerate(rows):
+        if len(row) == SLOTS // 8:
+            bits = np.unpackbits(np.frombuffer(row, np.uint8))
+            out[i] = bits / np.sqrt(max(1, np.count_nonzero(bits)))
+        else:
+            out[i] = np.frombuffer(row, np.float32)
+    return out
 
 
 class LanguageModel:
@@ -70,7 +113,7 @@ class LanguageModel:
             self.landmarks = unpacked(self.bits)
         plain = [texts[i] for i in known]
         for a, b in slices_of(plain, ROWS, CHARS):
-            out = SHARPNESS * (kernel(presence(plain[a:b]), self.landmarks) @ self.weights)
+            out = SHARPNESS * ((embedded(plain[a:b]) @ self.landmarks.T) @ self.weights)
             out = np.exp(out - out.max(axis=1, keepdims=True))
             best = out.argmax(axis=1)
             for i, k, s in zip(known[a:b], best, out[np.arange(len(best)), best] / out.sum(axis=1), strict=True):
@@ -106,8 +149,7 @@ def fit(docs: DataFrame, train: int = TRAIN, landmarks: int = LANDMARKS) -> Lang
             for a in range(0, batch.num_rows, ROWS):
                 texts = batch.column("text").slice(a, ROWS).to_pylist()
                 b = a + len(texts)
-                bits = np.concatenate([np.packbits(presence(texts[x:y]).astype(bool), axis=1) for x, y in slices_of(texts, ROWS, CHARS)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("lang", "rank", "h")), pa.array([r.tobytes() for r in bits], pa.binary())], ["lang", "rank", "h", "bits"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("lang", "rank", "h")), pa.array(packed(texts), pa.binary())], ["lang", "rank", "h", "bits"])
 
     sample = staged(picked.select("lang", "rank", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text").mapInArrow(pack, "lang string, rank int, h long, bits binary"))
     marks = sample.where(F.col("rank") <= max(2, landmarks // len(names))).orderBy("lang", "rank", "h").select("bits").collect()
@@ -116,15 +158,14 @@ def fit(docs: DataFrame, train: int = TRAIN, landmarks: int = LANDMARKS) -> Lang
     def against(batches):
         held = unpacked(bits)
         for batch in batches:
-            packed = batch.column("bits").to_pylist()
-            for a in range(0, len(packed), ROWS):
-                k = kernel(unpacked(packed[a : a + ROWS]), held)
+            for a in range(0, batch.num_rows, ROWS):
+                k = unpacked(batch.column("bits").slice(a, ROWS).to_pylist()) @ held.T
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, len(k)) for c in ("lang", "rank", "h")), pa.array([r.astype(np.float32).tobytes() for r in k], pa.binary())], ["lang", "rank", "h", "k"])
 
     seen = sample.mapInArrow(against, "lang string, rank int, h long, k binary").orderBy("lang", "rank", "h").collect()
     k = np.stack([np.frombuffer(bytes(r["k"]), np.float32) for r in seen]).astype(np.float64)
     held = unpacked(bits).astype(np.float64)
-    values, vectors = np.linalg.eigh(kernel(held, held))
+    values, vectors = np.linalg.eigh(held @ held.T)
     good = values > 1e-6 * values.max()
     white = vectors[:, good] / np.sqrt(values[good])
     features = k @ white

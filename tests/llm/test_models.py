@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +21,33 @@ def test_language_of_held_out_rows(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_of_long_texts_with_numbers(spark, docs):
+    model, dice = language_id.fit(docs), random.Random(7)
+    for lang in ("en", "de", "es", "fr"):
+        words = [w for r in docs.where(F.col("lang") == lang).orderBy("doc_id").limit(200).collect() for w in r["text"].split()]
+        assert words
+        for size in (20_000, 1_200_000):
+            made, n = [], 0
+            while n < size:
+                made.append(f"{dice.getrandbits(64):x}" if dice.random() < 0.05 else str(dice.getrandbits(40)) if dice.random() < 0.05 else dice.choice(words))
+                n += len(made[-1]) + 1
+            names, scores = model.score([" ".join(made), "x"])
+            print(lang, size, names[0], round(scores[0], 3))
+            assert names[0] == lang and scores[0] > 0.6
+
+
+def test_pieces_are_the_whole_text(monkeypatch):
+    monkeypatch.setattr(language_id, "PIECE", 10)
+    text = "abcdefghijklmnopqrstuvwxyz" * 3
+    pieces = language_id.pieces_of(text)
+    assert max(len(p) for p, _ in pieces) <= 13 and sum(w for _, w in pieces) == pytest.approx(1)
+    assert all(any(text[i : i + 4] in p for p, _ in pieces) for i in range(len(text) - 3))
+    rows = [language_id.presence([p])[0] for p, _ in pieces]
+    want = sum(w * r / np.sqrt(r.sum()) for (_, w), r in zip(pieces, rows, strict=True))
+    got = language_id.embedded(["a", text, ""])
+    assert np.allclose(got[1], want) and np.allclose(language_id.unpacked(language_id.packed(["a", text, ""])), got)
+
+
 def test_kernel_against_sets():
     texts = ["abcab", "abc", "xyz abc", ""]
     got = language_id.kernel(language_id.presence(texts), language_id.presence(texts))
