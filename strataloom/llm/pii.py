@@ -1,7 +1,7 @@
 """Surrogates for personal data.
 
 Entities are found by one pattern over the whole text: e-mail addresses, phone numbers, IPv4 addresses, payment
-cards (with a valid check digit), secrets assigned to a named setting, and names after a title or a known
+cards (with a valid check digit), values assigned to a setting whose name says that they are secret, and names after a title or a known
 given name. Each is replaced by a value of its own kind and format that a keyed hash of its canonical form
 picks, so an entity has the same surrogate everywhere. Given names change within their gender and script;
 titles stay; surnames are built in the script of the original, with its gendered ending.
@@ -36,11 +36,21 @@ CONSONANTS, VOWELS = "bdfgklmnprstvz", "aeiou"
 CYRILLIC_CONSONANTS, CYRILLIC_VOWELS = "бвгдзклмнпрстф", "аеиоу"
 
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_%+\-][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+"
-PHONE = r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?![\p{L}\p{N}])"
+#: International forms with + or 00, area codes in brackets, 3-3-4 with separators, and forms with a leading 0.
+GROUPS = r"[ .\-]?(?:\(\d{1,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?![\p{L}\p{N}])"
+INTERNATIONAL = rf"(?<![\p{{L}}\p{{N}}+])(?:\+\d{{1,3}}|(?<![.,/\-])00[1-9]\d{{0,2}})(?:{GROUPS}|(?:[ .\-/]{{0,2}}\(?\d{{1,4}}\)?){{2,5}})"
+BRACKETS = r"(?:1[ .\-]?)?\(\d{2,5}\)[ .\-]?\d{2,4}(?:[ .\-]?\d{2,4}){1,2}"
+THREES = r"(?:1[ .\-])?(?:\d{3}-\d{3}-|\d{3}\.\d{3}\.|[2-9]\d\d [2-9]\d\d[ \-])\d{4}"
+ZERO = r"0[1-9](?:(?:[ .\-]\d{2}){4}|\d{8,9}|\d{1,4}[ .\-/]\d{3,8}(?:[ .\-]\d{2,4}){0,2})"
+PHONE = rf"(?:{INTERNATIONAL}|(?<![\p{{L}}\p{{N}}+.,/\-])(?=[01(2-9])(?:{BRACKETS}|{THREES}|{ZERO})(?![.,/\-]\d))(?![\p{{L}}\p{{N}}])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?![\p{{L}}\p{{N}}]|\.\d)"
-CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}+|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7})(?![\p{L}\p{N}])"
-SECRET = r"""(?<![\p{L}\p{N}_\-])(?=[A-Za-z0-9_\-]{16})(?<=(?i:token|secret|password|api_key|apikey)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9_\-]{16,}+"""
+CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}+|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{4,5})(?![\p{L}\p{N}])"
+#: A match of SECRET starts at the setting's name; OPENED is what stands before the value: name, = or :, opening quote.
+SETTING = r"""(?=[TtSsPpAa])(?i:token|secret|password|passwd|passphrase|pwd|(?:api|access|secret|private)[_\-]?key)\\?["'`]?\]?\s{0,8}[=:]{1,2}>?[ \t]*+(?:\r?\n[ \t]*+){0,2}(?:(?i:bearer|basic)[ \t]++)?"""
+OPENED = SETTING + r"""(?:[rRbBuUfF]{0,2}\\?["'`]{1,3})?"""
+CLOSED = "|".join(rf"[rRbBuUfF]{{0,2}}{q}(?!{q})[^{q}\\\r\n]*+(?:\\.[^{q}\\\r\n]*+)*+(?={q})" for q in "\"'`")
+SECRET = rf"""{SETTING}(?:{CLOSED}|(?!["'`]{{2}}[,;)}}\]])(?:[rRbBuUfF]{{0,2}}\\?["'`]{{1,3}})?+(?!(?i:null|none|true|false)(?:[\s,;)}}\]]|$))(?=[^=:>])[^\s"'`]*[^\s"'`\\,;.)}}\]])"""
 NAME = r"\p{Lu}[\p{L}'\-]++"
 PERSON = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.? {NAME}(?: {NAME})?|(?:{'|'.join(n for names in GIVEN.values() for n in names)}) {NAME})"
 PATTERN = "|".join((SECRET, EMAIL, PHONE, IP, CARD, PERSON))
@@ -65,17 +75,19 @@ def matches_of(text: Column) -> Column:
 
 def kind_of(raw: str) -> str:
     """SQL for the kind of a match; NULL for digits that are no card."""
-    digits = f"regexp_replace({raw}, '[ -]', '')"
-    return f"""CASE WHEN contains({raw}, '@') THEN 'email' WHEN startswith({raw}, '+') THEN 'phone'
+    digits = f"regexp_replace({raw}, '[^0-9]', '')"
+    count = f"char_length({digits})"
+    card = f"{digits} RLIKE '^(4|5[1-5]|2[2-7]|3[47]|6)' AND {luhn(digits)} % 10 = 0"
+    return f"""CASE WHEN {raw} RLIKE {quoted('^' + SETTING)} THEN 'secret' WHEN contains({raw}, '@') THEN 'email'
       WHEN {raw} RLIKE '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' THEN 'ip'
-      WHEN {digits} RLIKE '^[0-9]+$' THEN CASE WHEN {digits} RLIKE '^(4|5[1-5]|2[2-7]|3[47]|6)' AND {luhn(digits)} % 10 = 0 THEN 'card' END
-      WHEN {raw} RLIKE '^[A-Za-z0-9_-]{{16,}}$' THEN 'secret' ELSE 'person' END"""
+      WHEN {raw} RLIKE '^[0-9+(][0-9 ()./-]*$' THEN CASE WHEN {raw} RLIKE '^[+0(]' OR {count} < 13 THEN CASE WHEN {count} BETWEEN 8 AND 15 THEN 'phone' END WHEN {card} THEN 'card' END
+      ELSE 'person' END"""
 
 
 def canonical(kind: str, raw: str) -> str:
     """SQL for the form in which mentions of one entity agree."""
     return f"""CASE {kind} WHEN 'email' THEN lower({raw}) WHEN 'card' THEN regexp_replace({raw}, '[^0-9]', '')
-      WHEN 'phone' THEN trim(regexp_replace({raw}, '[^0-9+]+', ' ')) WHEN 'surname' THEN lower({raw}) ELSE {raw} END"""
+      WHEN 'phone' THEN regexp_replace({raw}, '[^0-9+]', '') WHEN 'surname' THEN lower({raw}) ELSE {raw} END"""
 
 
 def stream_of(kind: str, value: str, attempt: str, key: str = KEY) -> str:
@@ -116,14 +128,15 @@ def surrogate(kind: str, value: str, attempt: str, stream: str) -> str:
     local, domain = f"substring_index({value}, '@', 1)", f"substring_index({value}, '@', -1)"
     body = f"concat(substr({value}, 1, 1), substr({by_character(value, stream)}, 2, char_length({value}) - 2))"
     check = f"(10 - ({luhn(f'concat({body}, 0)')}) % 10) % 10"
-    rest = f"substr({value}, char_length(substring_index({value}, ' ', 1)) + 1)"
+    kept = f"CASE WHEN {value} RLIKE '^[+][17]' THEN 2 WHEN {value} RLIKE '^([+]|00[17])' THEN 3 WHEN {value} LIKE '00%' THEN 4 WHEN {value} LIKE '0%' THEN 1 ELSE 0 END"
+    longer = f"substr(reverse({stream}), 1, greatest({attempt} - 2, 0))"  # short values may have no free surrogate of their own length
     octets = ", ".join([f"1 + {number_at(stream, '0')} % 223", *(number_at(stream, str(i)) for i in (1, 2)), f"1 + {number_at(stream, '3')} % 254"])
     return f"""CASE {kind}
       WHEN 'email' THEN concat({by_character(local, stream)}, '@', {by_character(f"substring_index({domain}, '.', size(split({domain}, '[.]')) - 1)", f"reverse({stream})")}, '.example')
-      WHEN 'phone' THEN concat(substring_index({value}, ' ', 1), {by_character(rest, stream)})
+      WHEN 'phone' THEN concat(substr({value}, 1, {kept}), {by_character(f"substr({value}, 1 + {kept})", stream)})
       WHEN 'ip' THEN concat_ws('.', {octets})
       WHEN 'card' THEN concat({body}, {check})
-      WHEN 'secret' THEN {by_character(value, stream)}
+      WHEN 'secret' THEN concat({by_character(value, stream)}, {longer})
       WHEN 'surname' THEN {surname(value, stream, attempt)} END"""
 
 
@@ -145,10 +158,12 @@ GIVEN_ARRAY = f"array({', '.join(quoted(n) for names in GIVEN.values() for n in
 
 
 def units_of(matches: str) -> str:
-    """SQL: each match as an array of units (raw, kind), the words of a person's name one by one; titles and digits that are no card have no kind."""
+    """SQL: each match as an array of units (raw, kind), the words of a person's name one by one, a secret after what opens it; titles, openings and digits that are no card or phone have no kind."""
     word = f"CASE WHEN array_contains({TITLE_ARRAY}, rtrim('.', w)) THEN NULL WHEN array_contains({GIVEN_ARRAY}, w) THEN 'given' ELSE 'surname' END"
     words = f"transform(split(x.m, ' '), w -> named_struct('raw', w, 'kind', {word}))"
-    return f"transform(transform({matches}, m -> named_struct('m', m, 'k', {kind_of('m')})), x -> CASE WHEN x.k = 'person' THEN {words} ELSE array(named_struct('raw', x.m, 'kind', x.k)) END)"
+    opened = f"regexp_extract(x.m, {quoted('^' + OPENED)}, 0)"
+    secret = f"array(named_struct('raw', {opened}, 'kind', cast(NULL AS string)), named_struct('raw', substr(x.m, 1 + char_length({opened})), 'kind', x.k))"
+    return f"transform(transform({matches}, m -> named_struct('m', m, 'k', {kind_of('m')})), x -> CASE WHEN x.k = 'person' THEN {words} WHEN x.k = 'secret' THEN {secret} ELSE array(named_struct('raw', x.m, 'kind', x.k)) END)"
 
 
 #: The fields that are added to a unit, in this order.
@@ -181,7 +196,7 @@ def rewritten(units: str, attempts: str, key: str = KEY) -> str:
         surrogate=surrogate("u.kind", "u.value", "u.attempt", "u.stream"),
     )
     new = f"CASE WHEN u.kind IS NULL THEN u.raw WHEN u.kind = 'given' THEN {given_map(key)}[u.raw] ELSE {as_written('u.raw', 'u.kind', 'u.surrogate')} END"
-    return f"transform({steps}, us -> array_join(transform(us, u -> {new}), ' '))"
+    return f"transform({steps}, us -> array_join(transform(us, u -> {new}), CASE WHEN element_at(us, -1).kind = 'secret' THEN '' ELSE ' ' END))"
 
 
 def assigned(entities: DataFrame, key: str = KEY, attempts: int = ATTEMPTS) -> DataFrame:

@@ -76,3 +76,38 @@ def test_awkward_rows(spark):
 def test_long_texts_without_blanks(spark):
     docs = [(1, "a" * 200_000), (2, "1" * 200_000), (3, "a.b-" * 50_000), (4, "@" * 100_000), (5, "A" * 100_000)]
     assert {i: r["text"] for i, r in texts(spark, docs).items()} == dict(docs)
+
+
+def test_secrets_phones_and_cards_of_any_form(spark):
+    gone = {
+        1: ('password = "hunter2x"', "hunter2x"),
+        2: ('{"api_key": "q7!x y\\"z9", "user": "bob"}', 'q7!x y\\"z9'),
+        3: ("DB_PASSWORD='p@ss,w0rd!'; next", "p@ss,w0rd!"),
+        4: ("secret: ab1, then", "ab1"),
+        5: ("call (555) 555-1234 now", "(555) 555-1234"),
+        6: ("call 0044 20 7946 0958 now", "0044 20 7946 0958"),
+        7: ("call 555-867-5309 or", "555-867-5309"),
+        8: ("ruf 0171 5551234 an", "0171 5551234"),
+        9: ("appelez 06 12 34 56 78.", "06 12 34 56 78"),
+        10: ("call +15558675309 now", "+15558675309"),
+        11: ("pay 3782 822463 10005 now", "3782 822463 10005"),
+        12: ("token: Bearer abc.def-1 x", "abc.def-1"),
+        13: ("passwd=****", "****"),
+        14: ("+33 6 12 34 56 78 est", "+33 6 12 34 56 78"),
+    }
+    same = {50: "on 01.02.2020 12:30 and 2020-01-02", 51: '"password": null, token = ""', 52: "pay 3782 822463 10006", 53: "the token and a password", 54: "120 200 300 400 at 0.12345678901"}
+    got = texts(spark, [(i, t) for i, (t, _) in gone.items()] + list(same.items()))
+    for i, (text, value) in gone.items():
+        before, after = text.split(value)
+        new = got[i]["text"]
+        assert new.startswith(before) and new.endswith(after) and new[len(before) : len(new) - len(after)] != value, new
+        assert got[i]["n_entities"] == 1
+    assert {i: got[i]["text"] for i in same} == same
+    assert got[2]["kinds"] == ["secret"] and got[5]["kinds"] == ["phone"] and got[11]["kinds"] == ["card"]
+    assert re.search(r"\(\d{3}\) \d{3}-\d{4} now", got[5]["text"]) and valid_card(re.search(r"\d{4} \d{6} \d{5}", got[11]["text"])[0])
+
+
+def test_short_secrets_find_free_surrogates(spark):
+    got = texts(spark, [(i, f"password = {i}") for i in range(10)])
+    made = [got[i]["text"] for i in range(10)]
+    assert len(set(made)) == 10 and not set(made) & {f"password = {i}" for i in range(10)}
