@@ -196,6 +196,20 @@ def chunk_tree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.tree_roots(integrity.chunk_hashes(rows, "r_regionkey", "r_name", 4), "r_regionkey")
 
 
+@query(
+    """WITH RECURSIVE f AS (SELECT 'region/' || r_regionkey AS path, r_name AS v FROM region UNION ALL SELECT 'part/' || p_partkey, p_name FROM part),
+    c AS (SELECT path, i, sha256(substr(v, i::INT * 4 + 1, 4)) AS h FROM (SELECT *, unnest(range(greatest(ceil(strlen(v) / 4)::BIGINT, 1))) AS i FROM f)),
+    t AS (SELECT path, list(h ORDER BY i) AS h FROM c GROUP BY path
+      UNION ALL SELECT path, list_transform(range(0, (len(h) + 1) // 2), lambda i: sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], h[2 * i + 1]))) FROM t WHERE len(h) > 1)
+    SELECT path, h[1] AS root FROM t WHERE len(h) = 1"""
+)
+def name_tree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of every region's and part's name, whatever its length; chunk_tree_roots has names of two chunks only."""
+    named = lambda name, key, text: b.table(spark, sf_dir, name).select(F.concat_ws("/", F.lit(name), key).alias("path"), F.col(text).alias("v"))
+    files = named("region", "r_regionkey", "r_name").unionByName(named("part", "p_partkey", "p_name"))
+    return integrity.tree_roots(integrity.chunk_hashes(files, "path", "v", 4), "path")
+
+
 INDEX = "SELECT split_part(url, '/', 3) AS archive, url, CASE WHEN contains(html, '<script>') THEN 'text/html' END AS mime, page_id AS seen FROM pages"
 
 

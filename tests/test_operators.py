@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators import enrich, graph, hierarchy, incorporate, integrity, media, reconcile, resolve, tags
+from strataloom.plans import registry
 from strataloom.sources import captures, structures
 from strataloom.streaming.incremental import activity, incorporated
 
@@ -240,3 +241,18 @@ def test_imports(spark, tmp_path):
     assert [tuple(r) for r in captures.imported(spark, str(tmp_path / "a.csv"), ["name", "notes"], ["name"]).collect()] == [("x", "")]
     with pytest.raises(ValueError):
         captures.imported(spark, str(tmp_path / "a.csv"), ["name"], ["tag"])
+
+
+def test_roots_of_all_names(spark):
+    folder = "/root/testdata/sf0.001"
+    names = {f"{t}/{r[0]}": r[1] for t, k, v in (("region", "r_regionkey", "r_name"), ("part", "p_partkey", "p_name")) for r in spark.read.parquet(f"{folder}/{t}.parquet").select(k, v).collect()}
+    sizes = {-(-len(v) // 4) for v in names.values()}
+    assert {1, 2, 3} <= sizes  # one chunk, pairs and odd layers
+
+    def root(layer):
+        while len(layer) > 1:
+            layer = [hashlib.sha256((a + b).encode()).hexdigest() for a, b in zip(layer[::2], layer[1::2] + layer[-1:] * (len(layer) % 2), strict=True)]
+        return layer[0]
+
+    got = {r["path"]: r["root"] for r in registry.QUERIES["name_tree_roots"](spark, folder).collect()}
+    assert got == {k: root([hashlib.sha256(v[i : i + 4].encode()).hexdigest() for i in range(0, max(len(v), 1), 4)]) for k, v in names.items()}
