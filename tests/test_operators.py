@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import io
 import json
@@ -192,6 +193,33 @@ def test_wacz_capture(spark, tmp_path):
     assert [(r["url"], r["status"], r["mime"], bytes(r["body"])) for r in rows] == [("https://x/1", 200, "text/html", b"<p>")]
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_wacz_archives_are_read_by_ranges(spark, tmp_path, packed):
+    shrink = gzip.compress if packed else bytes
+    name, data, index = "data.warc" + ".gz" * packed, b"", []
+    for i in range(60):
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\nbody {i} ".encode() + random.Random(i).randbytes(300)
+        record = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: https://x/{i}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+        if i % 3:  # the index lacks some records, and one place is wrong
+            index.append(f'x,{i})/ 2020 {{"url": "https://x/{i}", "offset": "{len(data) + 7 * (i == 4)}", "filename": "{name}"}}\n')
+        data += shrink(record)
+    for at, how in enumerate((zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED)):
+        with zipfile.ZipFile(tmp_path / f"{at} x.wacz", "w") as z:
+            z.writestr(f"archive/{name}", data, how)
+            z.writestr("indexes/index.cdx.gz", gzip.compress("".join(reversed(index)).encode()), zipfile.ZIP_STORED)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)  # stands for the limit of a cell
+    try:
+        files = spark.read.format("binaryFile").load(str(tmp_path)).select("path")
+        ranges = captures.wacz_ranges(files, 2000).collect()
+        rows = captures.wacz_responses(spark, str(tmp_path), 2000).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    stored = sorted((r["start"], r["end"]) for r in ranges if r["base"] >= 0)
+    assert len(stored) > 5 and stored[0][0] == 0 and stored[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(stored, stored[1:], strict=False))
+    assert sorted((r["source"][-8:], r["url"]) for r in rows) == sorted((f"{k} x.wacz"[-8:], f"https://x/{i}") for k in (0, 1) for i in range(60))
+    assert all(bytes(r["body"]).startswith(f"body {r['url'].split('/')[-1]} ".encode()) for r in rows)
+
+
 def test_payloads_become_entities(spark):
     user = {"pk": "7", "username": "ann", "full_name": "Ann"}
     child = {"id": "m2", "media_type": 2, "video_versions": [{"url": "https://x/v/b.mp4?q"}]}
