@@ -102,8 +102,7 @@ class Analyser:
     def log_mel(self, samples: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(frames, MELS) log-mel energies, and the frames' log energies."""
         x = self.resample((np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128)
-        if len(x) < FRAME:
-            x = np.pad(x, (0, FRAME - len(x)))
+        x = np.pad(x, (0, FRAME - len(x) if len(x) < FRAME else (FRAME - len(x)) % HOP))  # the last frame is full
         frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
         mels, energy = [], []
         for at in range(0, len(frames), 1024):  # bounded memory for long values

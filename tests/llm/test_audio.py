@@ -75,3 +75,11 @@ def test_tensors_and_contract(spark):
     assert audio.audio_features(media.limit(1).withColumn("media", F.lit(None).cast("binary"))).first()["payload"] is None
     crc = frame(spark, docs).select(F.crc32(F.expr("substring(cast(text AS binary), -32, 32)")).alias("c"), "text").where("doc_id = 7").first()
     assert crc["c"] == zlib.crc32(docs[6][1].encode()[-32:])
+
+
+def test_last_bytes_touch_the_features():
+    analyser = audio.Analyser()
+    for blocks in (2, 3, 5, 6, 11):
+        data = bytes(i * 37 % 251 for i in range(blocks * audio.BLOCK))
+        one, two = (analyser.log_mel(x)[0] for x in (data, data[:-24] + bytes(255 - x for x in data[-24:])))
+        assert one.shape == two.shape and not np.array_equal(one, two)
