@@ -96,7 +96,7 @@ def under(level: DataFrame, bad: DataFrame, parent: Column) -> DataFrame:
 
 
 def audit(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
-    """archive, seq, start, end, status ('damaged', 'missing', 'unexpected') and both hashes of every record in which the right replica differs from the left.
+    """archive, seq, copy, start, end, status ('damaged', 'missing', 'unexpected') and both hashes of every record in which the right replica differs from the left.
 
     Only children of differing nodes are compared. A record whose bytes are intact but whose range moved,
     because a record before it changed its size, is not reported. Records that share a sequence number are
@@ -110,7 +110,7 @@ def audit(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
     moved = F.col("l.hash").eqNullSafe(F.col("r.hash"))
     status = F.when(F.col("r").isNull(), "missing").when(F.col("l").isNull(), "unexpected").otherwise("damaged")
     side = F.coalesce("l", "r")
-    return rows.where(~moved).select("archive", "seq", side["start"].alias("start"), side["end"].alias("end"), status.alias("status"), F.col("l.hash").alias("left_hash"), F.col("r.hash").alias("right_hash"))
+    return rows.where(~moved).select("archive", "seq", "copy", side["start"].alias("start"), side["end"].alias("end"), status.alias("status"), F.col("l.hash").alias("left_hash"), F.col("r.hash").alias("right_hash"))
 
 
 def page_replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,9 +125,9 @@ def page_replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record in the first replica with its range, hash and what the audit of the second says of it."""
     left, right = (merkle_tree(r) for r in page_replicas(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    found = audit(left, right).select(F.col("archive").alias("a"), F.col("seq").alias("s"), "status")
+    found = audit(left, right).select(F.col("archive").alias("a"), F.col("seq").alias("s"), F.col("copy").alias("c"), "status")
     records = left[0]
-    joined = records.join(found, records["archive"].eqNullSafe(found["a"]) & records["seq"].eqNullSafe(found["s"]), "left")
+    joined = records.join(found, records["archive"].eqNullSafe(found["a"]) & records["seq"].eqNullSafe(found["s"]) & (records["copy"] == found["c"]), "left")
     return joined.select(
         F.col("seq").alias("page_id"), F.col("archive").cast("long").alias("archive"), F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), F.lower(F.hex("hash")).alias("record_sha256"), F.coalesce("status", F.lit("intact")).alias("status")
     )

@@ -45,3 +45,11 @@ def test_awkward_rows(spark):
     assert found(empty, empty) == set() and len(found(empty, tree)) == 3
     pages = frame(spark, [(1, None)]).selectExpr("doc_id AS page_id", "text AS html", "cast(NULL AS string) AS url")
     assert warc.page_replicas(pages)[0].count() == 1
+
+
+def test_repeated_page_gives_a_row_a_record(spark, tmp_path):
+    hit = next(i for i in range(5000) if hashlib.md5(str(i).encode()).hexdigest().startswith(warc.DAMAGED))
+    pages = spark.createDataFrame([(hit, "u", "one"), (hit, "u", "two"), (hit + 1, "u", "x")], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r["page_id"], r["status"]) for r in warc.op7_warc_fixity(spark, str(tmp_path)).collect())
+    assert got == [(hit, "damaged")] * 2 + [(hit + 1, "intact")]
