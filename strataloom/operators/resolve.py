@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.operators.lineage import checkpointed
+from strataloom.operators.skew import join_values
 
 #: Rounds after which a search for clusters is given up with an error; each at least halves the longest path.
 ROUNDS = 60
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every id in links (a, b): the smallest id that can be reached. Alternating large-star and small-star contraction; each round is two map-side combined minima and joins."""
-    edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+def components(links: DataFrame, cut: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
+    """(id, component) of every id in links (a, b): the smallest id that can be reached.
+
+    Alternating large-star and small-star contraction; each round is two map-side combined minima and joins. A
+    hub that very many links share meets them without a shuffle (join_values). cut: how the lineage is cut.
+    """
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     seen = None
     for _ in range(ROUNDS):
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("s")).first()
         if mark["n"] == 0 or mark == seen:
             return edges.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("component"))
-        seen = mark
+        seen, total = mark, 2 * mark["n"]
         both = edges.union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
-        large = both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = checkpointed(small.union(down.select("hi", F.col("m").alias("lo"))).distinct())
+        least = both.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("size")).select("hi", F.least("hi", "m").alias("m"), "size")
+        large = join_values(both, least, "hi", "size", total).where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
+        down = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("size"))
+        small = join_values(large, down, "hi", "size", total).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        edges = cut(small.union(down.select("hi", F.col("m").alias("lo"))).distinct())
     raise RuntimeError("the search for components did not settle")
 
 
@@ -36,10 +42,10 @@ def clusters(rows: DataFrame, order: str, keys: list[Column]) -> DataFrame:
 
     A value's rows are linked to its first row only, so a value that most rows share costs one link a row.
     """
-    slots = reduce(DataFrame.unionByName, (rows.select(F.col(order).alias("b"), F.lit(k).alias("slot"), c.cast("string").alias("value")) for k, c in enumerate(keys)))
-    slots = slots.where("value IS NOT NULL")
-    first = slots.groupBy("slot", "value").agg(F.min("b").alias("a"))
-    found = components(slots.join(first, ["slot", "value"]).select("a", "b"))
+    slots = reduce(DataFrame.unionByName, (rows.select(F.col(order).alias("b"), F.struct(F.lit(k).alias("slot"), c.cast("string").alias("value")).alias("key")) for k, c in enumerate(keys)))
+    slots = slots.where("key.value IS NOT NULL")
+    first = slots.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("size"))
+    found = components(join_values(slots, first, "key", "size", slots.count()).select("a", "b"))
     return rows.join(found, rows[order] == found["id"], "left").withColumn("cluster", F.coalesce("component", order)).drop("id", "component")
 
 
