@@ -15,9 +15,9 @@ def chunk_hashes(files: DataFrame, path: str, content: str, size: int) -> DataFr
 
 
 def pair_up(hashes: Column) -> Column:
-    """One layer up: hashes of neighbouring pairs' texts; an odd last one pairs with itself."""
+    """One layer up: the hashes of neighbouring pairs' digests (32 bytes each, given and returned as hexadecimal text); an odd last one pairs with itself."""
     pairs = F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / 2).cast("int"))
-    return F.transform(pairs, lambda i: F.sha2(F.concat(F.get(hashes, 2 * i), F.coalesce(F.get(hashes, 2 * i + 1), F.get(hashes, 2 * i))).cast("binary"), 256))
+    return F.transform(pairs, lambda i: F.sha2(F.unhex(F.concat(F.get(hashes, 2 * i), F.coalesce(F.get(hashes, 2 * i + 1), F.get(hashes, 2 * i)))), 256))
 
 
 def tree_roots(chunks: DataFrame, path: str, layers: int = 40) -> DataFrame:
@@ -54,3 +54,15 @@ def asset_log(log: DataFrame, rows: DataFrame) -> DataFrame:
     """log and rows (asset_id, filenames, acquired_at) as one row an asset: all its filenames and the time it was first acquired."""
     both = log.unionByName(rows)
     return both.groupBy("asset_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("filenames")))).alias("filenames"), F.min("acquired_at").alias("acquired_at"))
+
+
+def digest_list(files: DataFrame) -> DataFrame:
+    """(path, sha256) of files (path, content), in the order of their paths."""
+    return files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256")).orderBy("path")
+
+
+def verified_copy(source: DataFrame, target: DataFrame) -> DataFrame:
+    """(path, status) of every file that source or target (path, content) has: same, different, missing (not copied) or unexpected."""
+    a, b = (d.select("path", F.sha2(F.col("content").cast("binary"), 256).alias(n)) for d, n in ((source, "a"), (target, "b")))
+    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "unexpected").when(F.col("a") == F.col("b"), "same").otherwise("different")
+    return a.join(b, "path", "full_outer").select("path", status.alias("status"))
