@@ -20,18 +20,12 @@ class Term:
     prefix: bool
 
 
-def boolean_query(text: str | None) -> str | None:
-    """Plain words are all required; a text that uses the operators + - * is taken as it is; blank is no query."""
-    if not text or not text.strip():
-        return None
-    if any(c in text for c in "+-*"):
-        return text
-    return " ".join(f'+"{w}"' for w in text.split())
-
-
-def terms(query: str) -> list[Term]:
+def boolean_query(text: str | None) -> list[Term]:
+    """The terms of a search text. Of a text that uses + - or *, the terms it marks (and quoted phrases); of any other every blank-delimited word, required. A blank text has none."""
+    asked = (text or "").strip()
+    marked = TERM.findall(asked) if any(c in asked for c in "+-*") else [("+", word, "") for word in asked.split()]
     found = []
-    for sign, phrase, word in TERM.findall(query):
+    for sign, phrase, word in marked:
         words = tuple(w.lower() for w in re.split(r"[^\w]+", phrase or word) if w)
         if words:
             found.append(Term(sign, words, word.endswith("*")))
@@ -51,17 +45,16 @@ def holds(term: Term, words: Column) -> Column:
     return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {' '.join(term.words)} "))
 
 
-def matches(query: str | None, words: Column) -> Column:
-    """Whether a row's words meet the query: every + term, no - term, and one of the plain terms where there is no + term. A blank query matches nothing, and neither does one of excluded terms only."""
-    asked = terms(query or "")
-    must, never, may = ([t for t in asked if t.sign == s] for s in ("+", "-", ""))
+def matches(query: list[Term], words: Column) -> Column:
+    """Whether a row's words meet the query: every + term, no - term, and one of the plain terms where there is no + term. A query without terms matches nothing, and neither does one of excluded terms only."""
+    must, never, may = ([t for t in query if t.sign == s] for s in ("+", "-", ""))
     if not must and not may:
         return F.lit(False)
     wanted = [holds(t, words) for t in must] or [reduce(lambda a, b: a | b, [holds(t, words) for t in may])]
     return reduce(lambda a, b: a & b, wanted + [~holds(t, words) for t in never])
 
 
-def relevance(query: str | None, words: Column) -> Column:
+def relevance(query: list[Term], words: Column) -> Column:
     """How many words of the row are words of the query's wanted terms."""
-    wanted = sorted({w for t in terms(query or "") if t.sign != "-" for w in t.words})
+    wanted = sorted({w for t in query if t.sign != "-" for w in t.words})
     return F.size(F.filter(words, lambda w: w.isin(*wanted))).cast("long") if wanted else F.lit(0).cast("long")

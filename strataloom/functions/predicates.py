@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,15 +21,16 @@ COMPARE = {
 
 @dataclass(frozen=True)
 class Searchable:
-    """The columns that filters and orders may name, with their type: text, number or date."""
+    """The columns that filters and orders may name, with their type: text, number or date; aliases: names that stand for another column."""
 
     columns: Mapping[str, str]
+    aliases: Mapping[str, str] = field(default_factory=dict)
 
     def column(self, ref: object) -> tuple[Column, str]:
         name = ref.get("var") if isinstance(ref, Mapping) else ref
         if not isinstance(name, str) or name not in self.columns:
             raise ValueError(f"not a searchable column: {name!r}")
-        return F.col(name), self.columns[name]
+        return F.col(self.aliases.get(name, name)), self.columns[name]
 
 
 def value_of(value: object, kind: str) -> Column:
@@ -68,10 +69,13 @@ def predicate(rule: Mapping, table: Searchable) -> Column:
     return COMPARE[op](column, value_of(value, kind))
 
 
-def ordering(name: str | None, direction: str | None, table: Searchable, fallback: str, tiebreak: str) -> list[Column]:
-    """Order by a whitelisted column, else by the fallback; only 'asc' ascends. The tiebreak makes pages stable."""
-    column = F.col(name if name in table.columns else fallback)
-    return [column.asc() if direction == "asc" else column.desc(), F.col(tiebreak).desc()]
+def ordering(name: str | None, direction: str | None, table: Searchable, fallback: str | Column, tiebreak: str) -> list[Column]:
+    """Order by a whitelisted column, ascending for 'asc' in any case and else descending. Without such a column the fallback holds as it is (a name: descending), whatever direction is asked. The tiebreak makes pages stable."""
+    if name in table.columns:
+        order = F.col(name).asc() if (direction or "").lower() == "asc" else F.col(name).desc()
+    else:
+        order = F.col(fallback).desc() if isinstance(fallback, str) else fallback
+    return [order, F.col(tiebreak).desc()]
 
 
 def page(rows, order: list[Column], number: int, size: int):

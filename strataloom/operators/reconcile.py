@@ -45,28 +45,42 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], values: list[str],
     return rows.groupBy(*keys).agg(*(chosen(v) for v in values))
 
 
+def blank(x: object) -> bool:
+    return x is None or (isinstance(x, (list, dict)) and not x) or (isinstance(x, str) and not x.strip())
+
+
 def deep_merge(a: object, b: object) -> object:
-    """Objects merge key by key, lists join without repeats, of other values the first that is not empty stays."""
+    """Objects merge key by key, lists join with each element where it comes first; of two other values the first that is not empty stays, null where both are. What only one object has stays as it is, empty or not."""
     if isinstance(a, dict) and isinstance(b, dict):
-        return {k: deep_merge(a.get(k), b.get(k)) for k in {**a, **b}}
+        return {k: deep_merge(a[k], b[k]) if k in a and k in b else a.get(k, b.get(k)) for k in {**a, **b}}
     if isinstance(a, list) and isinstance(b, list):
-        once = {json.dumps(x, sort_keys=True): x for x in reversed(a + b)}
-        return list(reversed(once.values()))
-    blank = lambda x: x is None or x in ("", [], {}) or (isinstance(x, str) and not x.strip())
+        return once(a + b)
     return next((x for x in (a, b) if not blank(x)), None)
 
 
+def once(items: list) -> list:
+    """Each item where it comes first; objects are equal whatever the order of their keys."""
+    found: dict[str, object] = {}
+    for x in items:
+        found.setdefault(json.dumps(x, sort_keys=True), x)
+    return list(found.values())
+
+
 @F.pandas_udf(T.StringType())
 def merged_json(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Two JSON objects as text, merged with the first preferred; text that is not JSON counts as none, and two nones give {}."""
+    """Two JSON objects as text, merged with the first preferred; text that is no JSON object counts as none. Where one is none the other is the result, and {} where both are."""
 
     def parsed(text):
         try:
-            return json.loads(text) if isinstance(text, str) else None
+            found = json.loads(text) if isinstance(text, str) else None
         except ValueError:
             return None
+        return found if isinstance(found, dict) else None
 
-    out = (deep_merge(parsed(x), parsed(y)) for x, y in zip(a, b, strict=True))
+    def merged(x, y):
+        return deep_merge(x, y) if x is not None and y is not None else x if y is None else y
+
+    out = (merged(parsed(x), parsed(y)) for x, y in zip(a, b, strict=True))
     return pd.Series([json.dumps({} if m is None else m, sort_keys=True, ensure_ascii=False) for m in out])
 
 
@@ -76,10 +90,19 @@ def largest_copy(rows: DataFrame, keys: list[str], url: str, size: str) -> DataF
     return found.select(*keys, url, size, "copies")
 
 
-def keepers(sessions: DataFrame, key: str, id_: str, ranks: Mapping[str, int], fields: list[str]) -> DataFrame:
-    """Sessions that share a key become the one with the smallest id: with the best status by rank, and each field from the first session that has it. `merged` counts what it stands for."""
+def keepers(sessions: DataFrame, key: str, id_: str, ranks: Mapping[str, int], fields: list[str], own_first: bool = False) -> DataFrame:
+    """Sessions that share a key become the one with the smallest id: with the best status by rank, and each field from the first session that has it; `merged` counts what it stands for.
+
+    own_first: after the kept session itself, fields come from the session of the best status (of equal ones the smallest id) that has them, and only null is missing.
+    """
     rank = F.lit(-1)
     for name, value in ranks.items():
         rank = F.when(F.col("status") == name, F.lit(value)).otherwise(rank)
-    first = [F.min_by(F.col(f), F.when(full(F.col(f), sessions.schema[f].dataType).isNotNull(), F.col(id_))).alias(f) for f in fields]
-    return sessions.groupBy(key).agg(F.min(id_).alias(id_), F.max_by("status", F.struct(rank, F.col("status"))).alias("status"), *first, F.count("*").alias("merged"))
+    order, rows = F.col(id_), sessions
+    if own_first:
+        least = sessions.groupBy(key).agg(F.min(id_).alias("_least"))
+        rows = sessions.join(least, key)
+        order = F.struct(F.when(F.col(id_) == F.col("_least"), 0).otherwise(1), -rank, F.col(id_))
+    there = lambda f: F.col(f).isNotNull() if own_first else full(F.col(f), sessions.schema[f].dataType).isNotNull()
+    first = [F.min_by(F.col(f), F.when(there(f), order)).alias(f) for f in fields]
+    return rows.groupBy(key).agg(F.min(id_).alias(id_), F.max_by("status", F.struct(rank, F.col("status"))).alias("status"), *first, F.count("*").alias("merged"))
