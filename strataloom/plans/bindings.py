@@ -88,6 +88,69 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("canonical_id"), F.col("event_type").alias("session"), F.col("ts").alias("seen_at"), F.col("event_id").alias("ord"), note.alias("note"), "value")
 
 
+def raw_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations with types as captures have them: none, follower, following, suggested."""
+    kind = F.expr("CASE event_id % 4 WHEN 0 THEN 'follower' WHEN 1 THEN 'suggested' WHEN 2 THEN 'following' END")
+    n = table(spark, sf_dir, "customer").count()
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("follower_id"), (F.col("event_id") % F.lit(n)).alias("other_id"), kind.alias("kind"))
+
+
+def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases comment on the post with their number."""
+    rows = table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    return rows.select(F.col("event_id").alias("id"), F.col("event_id").alias("post_id"), F.col("user_id").alias("account_id"), F.col("ts").alias("publication_date"), F.col("props").alias("text"))
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second lines tag an account in their media, third ones in their post."""
+    key = F.concat_ws("/", F.lit("m"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber IN (2, 3)")
+    return rows.select((F.col("l_suppkey") * 3).alias("tagged_account_id"), F.when(F.col("l_linenumber") == 3, F.col("l_orderkey")).alias("post_id"), F.when(F.col("l_linenumber") == 2, key).alias("media_key"))
+
+
+def full_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts with platform, identifiers, raw data and post counts; every fourth has an earlier address among its identifiers."""
+    rows = accounts(spark, sf_dir).withColumn("platform", F.lit("instagram"))
+    old = F.when(F.col("id") % 4 == 0, F.concat(F.lit("url_old_"), "url_suffix", F.lit("/")))
+    data = F.expr("CASE id % 4 WHEN 0 THEN '{\"is_verified\": true}' WHEN 1 THEN '{\"is_verified\": \"true\"}' WHEN 2 THEN '{\"is_verified\": false}' ELSE 'no json' END")
+    counts = posts(spark, sf_dir).groupBy(F.col("account_id").alias("id")).agg(F.count("*").alias("post_count"))
+    return rows.withColumn("identifiers", F.array_compact(F.array(F.concat(F.lit("url_"), "url_suffix"), old))).withColumn("data", data).join(counts, "id", "left")
+
+
+def full_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posts(spark, sf_dir).select("*", F.concat(F.lit("p/"), "id").alias("url_suffix"), F.lit("instagram").alias("platform"), F.concat(F.lit("p"), "id").alias("id_on_platform"))
+
+
+def full_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media with an address, words about them and, for every third post, a thumbnail."""
+    rows = media(spark, sf_dir)
+    return rows.select(
+        "*", F.concat(F.lit("v/"), "media_key").alias("url_suffix"), F.lit("instagram").alias("platform"), F.concat_ws(" ", "media_type", F.lit("of"), F.date_format("publication_date", "yyyy")).alias("annotation"),
+        F.when(F.col("post_id") % 3 == 0, F.concat(F.lit("thumbs/"), "media_key")).alias("thumbnail_path"),
+    )
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as sessions, with their first turn as notes; every third has no address."""
+    first = table(spark, sf_dir, "conversations").where("turn = 0")
+    suffix = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("archived/"), "conv_id"))
+    return first.select(F.col("conv_id").alias("id"), suffix.alias("url_suffix"), F.lit("instagram").alias("platform"), F.col("text").alias("notes"), F.timestamp_seconds(F.col("conv_id") % 50 * 86400).alias("archived_at"))
+
+
+def session_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media(spark, sf_dir).select((F.col("post_id") % 100).alias("session_id"), "media_key")
+
+
+def media_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(part_id, media_key): parts of the media of first lines."""
+    return media(spark, sf_dir).where(F.split_part("media_key", F.lit("/"), F.lit(3)) == "1").select(F.concat(F.lit("part/"), "media_key").alias("part_id"), "media_key").distinct()
+
+
+def part_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(part_id, tag_id): what is tagged in the part of a first line, by its order."""
+    return media_parts(spark, sf_dir).select("part_id", (F.split_part("media_key", F.lit("/"), F.lit(2)).cast("long") % 25).alias("tag_id"))
+
+
 SQL = {
     "accounts": "SELECT c_custkey AS id, c_name AS display_name, lower(replace(c_name, '#', '_')) AS url_suffix, c_mktsegment AS bio, c_acctbal AS balance FROM customer",
     "posts": "SELECT o_orderkey AS id, o_custkey AS account_id, o_orderdate AS publication_date, o_orderpriority AS caption FROM orders",
@@ -103,5 +166,15 @@ SQL = {
     "relations": "SELECT user_id AS follower_id, event_id % (SELECT count(*) FROM customer) AS other_id, CASE event_type " + " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in KINDS.items()) + " END AS kind FROM events WHERE event_type IN (" + ", ".join(f"'{e}'" for e in KINDS) + ")",
     "likes": "SELECT l_orderkey AS post_id, l_suppkey AS account_id FROM lineitem",
     "observations": "SELECT user_id AS canonical_id, event_type AS session, ts AS seen_at, event_id AS ord, CASE WHEN event_id % 5 = 0 THEN '' ELSE props END AS note, value FROM events",
+    "raw_relations": "SELECT user_id AS follower_id, event_id % (SELECT count(*) FROM customer) AS other_id, CASE event_id % 4 WHEN 0 THEN 'follower' WHEN 1 THEN 'suggested' WHEN 2 THEN 'following' END AS kind FROM events",
+    "comments": "SELECT event_id AS id, event_id AS post_id, user_id AS account_id, ts AS publication_date, props AS text FROM events WHERE event_type = 'purchase'",
+    "tagged": "SELECT l_suppkey * 3 AS tagged_account_id, CASE WHEN l_linenumber = 3 THEN l_orderkey END AS post_id, CASE WHEN l_linenumber = 2 THEN concat_ws('/', 'm', l_orderkey, l_linenumber, l_partkey, l_suppkey) END AS media_key FROM lineitem WHERE l_linenumber IN (2, 3)",
+    "full_accounts": """SELECT a.*, 'instagram' AS platform, CASE WHEN id % 4 = 0 THEN ['url_' || url_suffix, 'url_old_' || url_suffix || '/'] ELSE ['url_' || url_suffix] END AS identifiers,
+      CASE id % 4 WHEN 0 THEN true WHEN 2 THEN false END AS verified, n AS post_count FROM accounts a LEFT JOIN (SELECT account_id, count(*) AS n FROM posts GROUP BY 1) ON account_id = id""",
+    "full_posts": "SELECT *, 'p/' || id AS url_suffix, 'instagram' AS platform, 'p' || id AS id_on_platform FROM posts",
+    "full_media": "SELECT *, 'v/' || media_key AS url_suffix, 'instagram' AS platform, media_type || ' of ' || strftime(publication_date, '%Y') AS annotation, CASE WHEN post_id % 3 = 0 THEN 'thumbs/' || media_key END AS thumbnail_path FROM media",
+    "sessions": "SELECT conv_id AS id, CASE WHEN conv_id % 3 <> 0 THEN 'archived/' || conv_id END AS url_suffix, 'instagram' AS platform, text AS notes, make_timestamp((conv_id % 50 * 86400 * 1000000)::BIGINT) AS archived_at FROM conversations WHERE turn = 0",
+    "session_media": "SELECT post_id % 100 AS session_id, media_key FROM media",
+    "media_parts": "SELECT DISTINCT 'part/' || media_key AS part_id, media_key FROM media WHERE split_part(media_key, '/', 3) = '1'",
+    "part_tags": "SELECT part_id, split_part(media_key, '/', 2)::BIGINT % 25 AS tag_id FROM media_parts",
 }
-

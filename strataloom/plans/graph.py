@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.operators import graph as g
 from strataloom.operators import hierarchy, tags
+from strataloom.operators.lineage import checkpointed
 from strataloom.plans import bindings as b
 from strataloom.plans.query import query, stated
 
@@ -35,7 +36,10 @@ def score_sql(weights: dict[str, float]) -> dict[str, str]:
 
 
 def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.ties(b.relations(spark, sf_dir), b.likes(spark, sf_dir), b.posts(spark, sf_dir))
+    """Relations that are ties to a post or media are edges already; the others are follows and suggestions."""
+    rows, near = b.relations(spark, sf_dir), F.col("kind").isin("follow", "suggested")
+    direct = rows.where(~near).select(F.col("follower_id").alias("src"), F.col("other_id").alias("dst"), "kind")
+    return g.ties(rows.where(near), b.likes(spark, sf_dir), b.posts(spark, sf_dir), direct=direct)
 
 
 def kernel_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,16 +77,88 @@ def community_kernel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def community_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = g.candidates(edges_of(spark, sf_dir), kernel_of(spark, sf_dir))
+    top = checkpointed(g.candidates(edges_of(spark, sf_dir), kernel_of(spark, sf_dir)))  # TOP rows, which four sides need
     accounts = b.accounts(spark, sf_dir).select(F.col("id").alias("candidate_id"), "display_name", "url_suffix")
     counts = g.follow_counts(b.relations(spark, sf_dir)).withColumnRenamed("account_id", "candidate_id")
     posts = b.posts(spark, sf_dir).groupBy(F.col("account_id").alias("candidate_id")).agg(F.count("*").alias("post_count"))
-    out = F.broadcast(top)  # TOP rows
+    out = F.broadcast(top)
     for side in (accounts, counts, posts):
         out = out.join(side.join(F.broadcast(top.select("candidate_id")), "candidate_id", "left_semi"), "candidate_id", "left")
     return out.select("candidate_id", "score", "display_name", "url_suffix", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("followers", "following", "post_count")))
 
 
+TIES = """SELECT follower_id AS src, other_id AS dst, CASE WHEN kind = 'suggested' THEN 'suggested' ELSE 'follow' END AS kind FROM raw_relations
+  UNION ALL SELECT l.account_id, p.account_id, 'like' FROM likes l JOIN posts p ON l.post_id = p.id UNION ALL SELECT c.account_id, p.account_id, 'comment' FROM comments c JOIN posts p ON c.post_id = p.id
+  UNION ALL SELECT p.account_id, tagged_account_id, 'tag' FROM tagged t JOIN posts p ON t.post_id = p.id UNION ALL SELECT m.account_id, tagged_account_id, 'tag' FROM tagged t JOIN (SELECT DISTINCT media_key, account_id FROM media) m USING (media_key)"""
+TIE_TABLES = ("raw_relations", "likes", "posts", "comments", "tagged", "accounts", "media", "account_tags")
+
+
+def all_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owners = b.media(spark, sf_dir).select("media_key", "account_id").distinct()
+    return g.ties(b.raw_relations(spark, sf_dir), b.likes(spark, sf_dir), b.posts(spark, sf_dir), b.comments(spark, sf_dir), b.tagged(spark, sf_dir), owners)
+
+
+@query(stated("SELECT kind, count(*) AS n, sum(src * 31 + dst)::BIGINT AS mark FROM e GROUP BY kind", *TIE_TABLES, e=f"SELECT * FROM ({TIES}) WHERE src <> dst"))
+def community_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ties by kind: every relation type but suggested is a follow, and comments and tags lead to who owns the post or media."""
+    return all_ties(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("src") * 31 + F.col("dst")).alias("mark"))
+
+
+@query(
+    stated(
+        "SELECT candidate_id, round(score, 6) AS score, kernel_connections FROM scores WHERE candidate_id NOT IN (SELECT id FROM kernel)",
+        *TIE_TABLES, **(score_sql(ALL_KINDS) | {"e": f"SELECT * FROM ({TIES}) WHERE src <> dst"}),
+    )
+)
+def community_tie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.candidates(all_ties(spark, sf_dir), kernel_of(spark, sf_dir), weights=ALL_KINDS, top=None).withColumn("score", F.round("score", 6))
+
+
+@query(
+    stated(
+        """SELECT c.candidate_id AS id, c.score, a.display_name, a.verified AS is_verified, coalesce(a.post_count, 0) AS post_count, coalesce(f.followers, 0)::BIGINT AS followers, coalesce(f.following, 0)::BIGINT AS following,
+          coalesce(t.thumbnails, '') AS thumbnails, coalesce(t.n, 0) AS media_count
+        FROM (SELECT * FROM scores WHERE candidate_id NOT IN (SELECT id FROM kernel) ORDER BY score DESC, candidate_id LIMIT 50) c JOIN full_accounts a ON a.id = c.candidate_id
+        LEFT JOIN (SELECT id, sum(i) AS followers, sum(o) AS following FROM (SELECT follower_id AS id, 0 AS i, 1 AS o FROM raw_relations WHERE kind IS NULL OR kind <> 'suggested' UNION ALL SELECT other_id, 1, 0 FROM raw_relations WHERE kind IS NULL OR kind <> 'suggested') GROUP BY id) f ON f.id = c.candidate_id
+        LEFT JOIN (SELECT account_id, string_agg(coalesce(thumbnail_path, local_url), ';' ORDER BY rn) FILTER (WHERE rn <= 8) AS thumbnails, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY publication_date DESC, media_key) AS rn FROM full_media WHERE local_url IS NOT NULL) GROUP BY 1) t ON t.account_id = c.candidate_id""",
+        *TIE_TABLES, "full_accounts", "full_media", **(score_sql(g.WEIGHTS) | {"e": f"SELECT * FROM ({TIES}) WHERE src <> dst"}),
+    )
+)
+def community_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best candidates as they are shown."""
+    top = checkpointed(g.candidates(all_ties(spark, sf_dir), kernel_of(spark, sf_dir)).select(F.col("candidate_id").alias("id"), "score"))
+    rows = g.cards(top, b.full_accounts(spark, sf_dir), b.raw_relations(spark, sf_dir), b.full_media(spark, sf_dir), [F.desc("publication_date"), F.col("media_key")])
+    return rows.select("id", "score", "display_name", "is_verified", "post_count", "followers", "following", F.array_join("thumbnails", ";").alias("thumbnails"), "media_count")
+
+
+@query(stated("SELECT account_id AS id, string_agg(DISTINCT name, ';' ORDER BY name) AS applied FROM account_tags JOIN tags ON id = tag_id WHERE tag_id IN (SELECT id FROM below) GROUP BY 1", "tags", "tag_edges", "account_tags", below="SELECT 1001::BIGINT AS id UNION SELECT sub FROM below JOIN tag_edges ON super = id"))
+def tag_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.tag_kernel(b.tags(spark, sf_dir), b.tag_edges(spark, sf_dir), b.account_tags(spark, sf_dir), REGION_TAG).withColumn("applied", F.array_join("applied", ";"))
+
+
+@query(stated("SELECT 'tag' AS kind, id, NULL::BIGINT AS sub FROM below UNION ALL SELECT 'edge', super, sub FROM tag_edges WHERE super IN (SELECT id FROM below) AND sub IN (SELECT id FROM below)", "tag_edges", below=BELOW))
+def tag_dropdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some, among = tags.dropdown(b.tags(spark, sf_dir).unionByName(spark.sql("SELECT 2000L AS id, 'all' AS name, 'root' AS tag_type")), b.tag_edges(spark, sf_dir), ROOT_TAG)
+    return some.select(F.lit("tag").alias("kind"), "id", F.lit(None).cast("long").alias("sub")).union(among.select(F.lit("edge"), "super", "sub"))
+
+
+@query("SELECT n_nationkey::BIGINT AS tag_id, i AS id, 'a' || i AS url_suffix FROM (SELECT n_nationkey, unnest(range(n_nationkey % 4)) AS i FROM nation WHERE n_nationkey % 5 <> 0)")
+def tag_dismissals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dismissed accounts out of JSON; every fifth text is cut off, and items without an id count nothing."""
+    items = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(i.alias("id"), F.concat(F.lit("a"), i).alias("url_suffix")))
+    kept = F.filter(items, lambda x: x["id"] < F.col("n_nationkey") % 4)
+    text = F.to_json(F.concat(kept, F.array(F.struct(F.lit(None).cast("int").alias("id"), F.lit("nobody").alias("url_suffix")))))
+    cut = F.when(F.col("n_nationkey") % 5 == 0, F.substring(text, 1, 9)).otherwise(text)
+    rows = b.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), cut.alias("community_dismissals"))
+    return g.dismissed(rows).select("tag_id", "id", "url_suffix")
+
+
+@query(stated("SELECT 'https://www.instagram.com/' || a.url_suffix AS url, coalesce(string_agg(DISTINCT t.name, ';' ORDER BY t.name), '') AS tags FROM accounts a LEFT JOIN account_tags x ON x.account_id = a.id LEFT JOIN tags t ON t.id = x.tag_id WHERE a.bio = 'MACHINERY' GROUP BY ALL", "accounts", "account_tags", "tags"))
+def kernel_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = b.account_tags(spark, sf_dir).join(b.tags(spark, sf_dir).select(F.col("id").alias("tag_id"), "name"), "tag_id")
+    return g.kernel_csv(b.accounts(spark, sf_dir).where("bio = 'MACHINERY'").select("id", "url_suffix"), named)
+
+
 @query(
     stated(
         f"""SELECT tag_id, name AS tag_name, tag_type AS tag_type_name, count(DISTINCT account_id) AS count FROM account_tags JOIN tags ON id = tag_id
@@ -242,3 +318,40 @@ def annotation_import_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.union(b.accounts(spark, sf_dir).select("url_suffix", F.lit("no such tag"), F.lit(None).cast("string")))
     out = tags.annotation_import(rows, b.accounts(spark, sf_dir), b.tags(spark, sf_dir), b.account_tags(spark, sf_dir))
     return out.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("account_id", "tag_id")})
+
+
+# ---------------------------------------------------------------- access, imports and guards of tags
+
+FLAGS = "SELECT *, id % 3 = 0 AS quick_access, id % 7 = 6 AS omitted FROM tags"
+
+
+def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.tags(spark, sf_dir).withColumn("quick_access", F.col("id") % 3 == 0).withColumn("omitted", F.col("id") % 7 == 6)
+
+
+@query(
+    stated(
+        """SELECT 'tag' AS part, name, NULL::BIGINT AS super, NULL::BIGINT AS sub FROM f WHERE quick_access UNION ALL SELECT 'list', name, NULL, NULL FROM f WHERE NOT omitted
+        UNION ALL SELECT 'edge', s.tag_type, super, sub FROM e JOIN f s ON s.id = super JOIN f t ON t.id = sub WHERE s.tag_type = t.tag_type AND NOT s.omitted AND NOT t.omitted""",
+        "tags", f=f"{FLAGS.replace('FROM tags', '')} FROM tags WHERE tag_type = 'nation'", e="SELECT n_nationkey::BIGINT AS super, n_nationkey::BIGINT + 1 AS sub FROM nation",
+    )
+)
+def tag_quick_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is offered for accounts; edges from each nation to the next stand in for a hierarchy within a type."""
+    types = spark.sql("SELECT * FROM VALUES ('nation', true, '[\"account\"]'), ('region', true, '[\"media\"]') AS t(name, quick_access, affinity)")
+    edges = b.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("super"), (F.col("n_nationkey") + 1).cast("long").alias("sub"))
+    got = tags.quick_access(flagged(spark, sf_dir), types, edges, "account")
+    none = F.lit(None).cast("long")
+    lists = got.dropdowns.select(F.explode("tags").alias("t")).select(F.lit("list").alias("part"), F.col("t.name").alias("name"), none.alias("super"), none.alias("sub"))
+    return got.tags.select(F.lit("tag").alias("part"), "name", none.alias("super"), none.alias("sub")).union(lists).union(got.edges.select(F.lit("edge"), "tag_type", "super", "sub"))
+
+
+@query(stated("SELECT t.id, t.name, coalesce(string_agg(DISTINCT s.name, ';' ORDER BY s.name), '') AS parents FROM (SELECT * FROM tags WHERE tag_type = 'nation' AND contains(lower(name), '1') ORDER BY name, id LIMIT 5 OFFSET 5) t LEFT JOIN tag_edges e ON e.sub = t.id LEFT JOIN tags s ON s.id = e.super GROUP BY ALL", "tags", "tag_edges"))
+def tag_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.listed(b.tags(spark, sf_dir), b.tag_edges(spark, sf_dir), "nation", "1", 2, 5).select("id", "name", F.array_join("parents", ";").alias("parents"))
+
+
+@query(stated("SELECT 'type' AS kind, x.name AS id, count(t.id) = 0 AS allowed, count(t.id) AS uses FROM (VALUES ('nation'), ('region'), ('unused')) x(name) LEFT JOIN tags t ON t.tag_type = x.name GROUP BY ALL UNION ALL SELECT 'tag', t.id::VARCHAR, count(a.tag_id) = 0, count(a.tag_id) FROM tags t LEFT JOIN account_tags a ON a.tag_id = t.id GROUP BY t.id", "tags", "account_tags"))
+def tag_delete_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = spark.sql("SELECT * FROM VALUES ('nation'), ('region'), ('unused') AS t(name)")
+    return tags.deletable(types, b.tags(spark, sf_dir), b.account_tags(spark, sf_dir))

@@ -68,7 +68,7 @@ def test_scores(spark):
 def test_coverage(spark):
     rows = [("a", 0, 9), ("a", 10, 19), ("a", 30, 39), ("b", 5, 9), ("c", 0, 4), ("c", 2, 12), ("c", None, 3)]
     got = media.coverage(spark.createDataFrame(rows, "k string, s long, e long"), ["k"], "s", "e")
-    assert {r["k"]: (r["covered"], r["segments_used"]) for r in got.collect()} == {"a": (20, 2), "b": (0, 0), "c": (13, 2)}
+    assert {r["k"]: (r["covered"], r["segments_used"]) for r in got.collect()} == {"a": (20, 2), "b": (0, 0), "c": (13, 3)}
     parts = spark.createDataFrame([("a", "f", 0, 3, b"abcd"), ("a", "f", 2, 5, b"cdef"), ("a", "f", 9, 9, b"z")], "asset_id string, filename string, start long, end long, content binary")
     assert bytes(media.joined_assets(parts).first()["content"]) == b"abcdef"
 
@@ -87,7 +87,7 @@ def test_fold_and_merge(spark):
     assert tuple(reconcile.fold(rows, ["k"], ["ord"], ["s", "n"], newest=False).first()) == ("k", "a", 0)
     pairs = spark.createDataFrame([('{"a": {"x": 1, "l": [1, {"p": 1, "q": 2}]}}', '{"a": {"x": 2, "l": [{"q": 2, "p": 1}, 3]}, "b": ""}'), (None, None), ("no json", '{"z": 0}')], "a string, b string")
     got = [json.loads(r[0]) for r in pairs.select(reconcile.merged_json("a", "b")).collect()]
-    assert got == [{"a": {"x": 1, "l": [1, {"p": 1, "q": 2}, 3]}, "b": None}, {}, {"z": 0}]
+    assert got == [{"a": {"x": 1, "l": [1, {"p": 1, "q": 2}, 3]}, "b": ""}, {}, {"z": 0}]
 
 
 ENTITY = incorporate.Entity("account", ("bio",))
@@ -149,7 +149,7 @@ def test_redaction(spark):
 def test_hash_tree(spark):
     def root(layer):
         while len(layer) > 1:
-            layer = [hashlib.sha256((layer[i] + (layer[i + 1] if i + 1 < len(layer) else layer[i])).encode()).hexdigest() for i in range(0, len(layer), 2)]
+            layer = [hashlib.sha256(bytes.fromhex(layer[i] + (layer[i + 1] if i + 1 < len(layer) else layer[i]))).hexdigest() for i in range(0, len(layer), 2)]
         return layer[0]
 
     data = {"a": b"", "b": b"12345", "c": bytes(range(50)), "d": b"1234"}
@@ -279,7 +279,7 @@ def test_roots_of_all_names(spark):
 
     def root(layer):
         while len(layer) > 1:
-            layer = [hashlib.sha256((a + b).encode()).hexdigest() for a, b in zip(layer[::2], layer[1::2] + layer[-1:] * (len(layer) % 2), strict=True)]
+            layer = [hashlib.sha256(bytes.fromhex(a + b)).hexdigest() for a, b in zip(layer[::2], layer[1::2] + layer[-1:] * (len(layer) % 2), strict=True)]
         return layer[0]
 
     got = {r["path"]: r["root"] for r in registry.QUERIES["name_tree_roots"](spark, folder).collect()}
