@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strataloom.operators.lineage import checkpointed
 from strataloom.operators.reconcile import full, preferred
 from strataloom.operators.resolve import clusters, dual_key_lookup
 
 
+@dataclass(frozen=True)
+class Reference:
+    """A value that names another entity: its column, the columns that hold the other's platform id and address, and what becomes of a row whose other is unknown: kept without it, dropped, or set aside."""
+
+    column: str
+    to: str
+    id: str
+    url: str | None = None
+    missing: str = "keep"
+
+
 @dataclass(frozen=True)
 class Entity:
-    """What the upsert knows of an entity type: its values, and whether rows without a platform id are refused."""
+    """What the upsert knows of an entity type: its values, whether rows without a platform id are refused, and what it refers to (columns that are among the values)."""
 
     name: str
     values: tuple[str, ...]
     needs_platform_id: bool = False
+    references: tuple[Reference, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -29,54 +44,125 @@ class Stored:
     observed: DataFrame
 
 
-def collapsed(rows: DataFrame, entity: Entity, key: str) -> DataFrame:
-    """One row a key; later rows (by ord) win value by value."""
-    place = lambda c: F.when(full(F.col(c), rows.schema[c].dataType).isNotNull(), F.col("ord"))
-    columns = [c for c in ("id_on_platform", "url_suffix", *entity.values) if c != key]
-    return rows.groupBy(key).agg(*(F.max_by(c, place(c)).alias(c) for c in columns), F.min("ord").alias("ord"))
+#: The seven types in the order in which they refer to one another.
+ENTITIES = {
+    e.name: e
+    for e in (
+        Entity("accounts", ("display_name", "bio")),
+        Entity("posts", ("publication_date", "caption", "account_id"), True, (Reference("account_id", "accounts", "account_id", "account_url_suffix", "set aside"),)),
+        Entity("media", ("media_type", "local_url", "post_id"), False, (Reference("post_id", "posts", "post_id", None, "set aside"),)),
+        Entity("comments", ("text", "publication_date", "parent_id", "post_id", "account_id"), False, (Reference("post_id", "posts", "post_id", "post_url_suffix", "drop"), Reference("account_id", "accounts", "account_id", "account_url_suffix"))),
+        Entity("likes", ("post_id", "account_id"), True, (Reference("post_id", "posts", "post_id", "post_url_suffix", "drop"), Reference("account_id", "accounts", "account_id", "account_url_suffix"))),
+        Entity("tagged_accounts", ("tagged_account_id", "post_id", "media_id", "x", "y"), True, (Reference("tagged_account_id", "accounts", "tagged_account_id", "tagged_url_suffix"), Reference("post_id", "posts", "post_id"), Reference("media_id", "media", "media_id"))),
+        Entity("account_relations", ("kind", "follower_id", "followed_id"), True, (Reference("follower_id", "accounts", "follower_id", "follower_url_suffix", "set aside"), Reference("followed_id", "accounts", "followed_id", "followed_url_suffix", "set aside"))),
+    )
+}
+
+
+def collapsed(rows: DataFrame, entity: Entity, *keys: str, order: str = "ord") -> DataFrame:
+    """One row a key; later rows win value by value. `order` becomes that of the first row."""
+    place = lambda c: F.when(full(F.col(c), rows.schema[c].dataType).isNotNull(), F.col(order))
+    columns = [c for c in ("id_on_platform", "url_suffix", *entity.values) if c not in keys]
+    return rows.groupBy(*keys).agg(*(F.max_by(c, place(c)).alias(c) for c in columns), F.min(order).alias(order))
 
 
 def incorporate(stored: Stored, rows: DataFrame, session: str, entity: Entity) -> Stored:
-    """stored with the rows (ord, id_on_platform, url_suffix, values) that a session saw.
+    """stored with the rows (ord, id_on_platform, url_suffix, values) that one session saw; see incorporate_sessions."""
+    return incorporate_sessions(stored, rows.withColumn("session", F.lit(session)), entity)
+
+
+def incorporate_sessions(stored: Stored, rows: DataFrame, entity: Entity) -> Stored:
+    """stored with the rows (session, ord, id_on_platform, url_suffix, values) of any number of sessions, taken together in the order of their names.
 
-    Rows without any identifier are left out, and those without platform id where the type needs one. Rows of
-    the session that share an identifier are one entity. An entity is known by its address, else by its
+    Rows without any identifier are left out, and those without platform id where the type needs one. Rows that
+    share an identifier are one entity. An entity is known by its address, else by its
     platform id; entities that turn out to be one canonical are merged. New canonicals get ids after the
-    largest, in the order of ord, so a repeated run gives the same ids. Values: the session's earlier
-    observation wins over the rows, the observation over the canonical. The platform id stays the first,
-    the address becomes the newest, identifiers only grow.
+    largest, in the order of session and ord, so a repeated run gives the same ids. Values: a session's earlier
+    observation wins over the rows, the newest session's observation over older ones and the canonical. The
+    platform id stays the first, the address becomes the newest, identifiers only grow.
     """
     known = rows.where("id_on_platform IS NOT NULL" if entity.needs_platform_id else "id_on_platform IS NOT NULL OR url_suffix IS NOT NULL")
-    one = collapsed(clusters(known, "ord", [F.col("id_on_platform"), F.col("url_suffix")]), entity, "cluster").drop("cluster")
-    found = dual_key_lookup(one, stored.canonical)
+    ranks = known.select("session").distinct().withColumn("rank", F.row_number().over(W.orderBy("session")))  # a row a session
+    placed = known.join(ranks, "session").withColumn("seq", F.col("rank").cast("long") * (1 << 40) + F.col("ord"))
+    clustered = clusters(placed, "seq", [F.col("id_on_platform"), F.col("url_suffix")])
+    found = dual_key_lookup(collapsed(clustered, entity, "cluster", order="seq"), stored.canonical)
     top = stored.canonical.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top")).first()["top"]
-    fresh = numbered(found.where("canonical_id IS NULL").drop("canonical_id"), "ord", top)
-    old = collapsed(found.where("canonical_id IS NOT NULL"), entity, "canonical_id")
-    seen = old.unionByName(fresh).drop("ord")
+    fresh = numbered(found.where("canonical_id IS NULL").select("cluster", "seq"), "seq", top)
+    ids = found.where("canonical_id IS NOT NULL").select("cluster", "canonical_id").unionByName(fresh.select("cluster", "canonical_id"))
+    seen = collapsed(clustered.join(ids, "cluster"), entity, "canonical_id", "session", "rank", order="seq")
     fields = stored.observed.schema
 
-    # observations: what this session saw of the canonical before wins
-    mine = stored.observed.where(F.col("session") == session).select("canonical_id", *(F.col(v).alias(f"_{v}") for v in entity.values))
-    now = seen.join(mine, "canonical_id", "left").select(
-        "canonical_id", F.lit(session).alias("session"), "id_on_platform", "url_suffix", *(preferred(F.col(f"_{v}"), F.col(v), fields[v].dataType).alias(v) for v in entity.values)
+    # observations: what a session saw of the canonical before wins
+    mine = stored.observed.select("canonical_id", "session", *(F.col(v).alias(f"_{v}") for v in entity.values))
+    now = seen.join(mine, ["canonical_id", "session"], "left").select(
+        "canonical_id", "session", "rank", "id_on_platform", "url_suffix", *(preferred(F.col(f"_{v}"), F.col(v), fields[v].dataType).alias(v) for v in entity.values)
+    )
+    observed = stored.observed.join(now.select("canonical_id", "session"), ["canonical_id", "session"], "left_anti").unionByName(now.select(*stored.observed.columns))
+
+    # canonicals: the newest observation wins
+    newest = lambda v: F.max_by(v, F.when(full(F.col(v), fields[v].dataType).isNotNull(), F.col("rank"))).alias(f"_{v}")
+    names = F.flatten(F.array_sort(F.collect_list(F.struct("rank", F.array_compact(F.array(F.concat(F.lit("id_"), "id_on_platform"), F.concat(F.lit("url_"), "url_suffix"))).alias("n"))))["n"])
+    side = now.groupBy(F.col("canonical_id").alias("id")).agg(
+        F.min_by("id_on_platform", F.when(F.col("id_on_platform").isNotNull(), F.col("rank"))).alias("_pid"),
+        F.max_by("url_suffix", F.when(F.col("url_suffix").isNotNull(), F.col("rank"))).alias("_url"),
+        names.alias("_names"),
+        *(newest(v) for v in entity.values),
     )
-    others = stored.observed.where(F.col("session") != session).unionByName(stored.observed.where(F.col("session") == session).join(now, "canonical_id", "left_anti"))
-    observed = others.unionByName(now.select(*stored.observed.columns))
-
-    # canonicals: the newer observation wins
-    side = now.select(F.col("canonical_id").alias("id"), F.col("id_on_platform").alias("_pid"), F.col("url_suffix").alias("_url"), *(F.col(v).alias(f"_{v}") for v in entity.values))
     joined = stored.canonical.join(side, "id", "full_outer")
-    names = F.array_compact(F.array(F.concat(F.lit("id_"), F.col("_pid")), F.concat(F.lit("url_"), F.col("_url"))))
+    none = F.array().cast("array<string>")
     canonical = joined.select(
         "id",
         F.coalesce("id_on_platform", "_pid").alias("id_on_platform"),
         F.coalesce("_url", "url_suffix").alias("url_suffix"),
-        F.array_union(F.coalesce("identifiers", F.array().cast("array<string>")), names).alias("identifiers"),
+        F.array_union(F.coalesce("identifiers", none), F.coalesce("_names", none)).alias("identifiers"),
         *(preferred(F.col(f"_{v}"), F.col(v), fields[v].dataType).alias(v) for v in entity.values),
     )
     return Stored(canonical.select(*stored.canonical.columns), observed)
 
 
+def referred(rows: DataFrame, reference: Reference, known: DataFrame) -> DataFrame:
+    """rows in which the reference's column holds the canonical id of what it names, by address, else by platform id; null where that is unknown."""
+    out = rows.withColumn("_pid", F.col(reference.id).cast("string")).withColumn("_url", F.regexp_replace(F.col(reference.url), "/+$", "") if reference.url else F.lit(None).cast("string"))
+    bare = known.select("id", F.col("id_on_platform").alias("_pid"), F.regexp_replace("url_suffix", "/+$", "").alias("_url"))
+    found = dual_key_lookup(out, bare, "_url", "_pid")
+    return found.withColumn(reference.column, F.col("canonical_id")).drop("canonical_id", "_pid", "_url")
+
+
+def incorporate_all(stored: Mapping[str, Stored], streams: Mapping[str, DataFrame]) -> tuple[dict[str, Stored], DataFrame]:
+    """All seven types of any number of sessions, each after those that it refers to, and the rows set aside (type, session, ord, reason).
+
+    streams: by type, rows (session, ord, id_on_platform, url_suffix, values and the columns of references). Types
+    without a stream stay as they are. Rows whose other is unknown are treated as their reference says.
+    """
+    out, aside = dict(stored), []
+    for name, entity in ENTITIES.items():
+        if name not in streams or name not in stored:
+            continue
+        rows = streams[name]
+        for reference in entity.references:
+            rows = referred(rows, reference, out[reference.to].canonical)
+            if reference.missing == "set aside":
+                lost = rows.where(F.col(reference.column).isNull())
+                aside.append(lost.select(F.lit(name).alias("type"), "session", "ord", F.lit(f"{reference.column} is unknown").alias("reason")))
+            if reference.missing != "keep":
+                rows = rows.where(F.col(reference.column).isNotNull())
+        done = incorporate_sessions(stored[name], checkpointed(rows), entity)
+        out[name] = Stored(checkpointed(done.canonical), checkpointed(done.observed))
+    spark = next(iter(stored.values())).canonical.sparkSession
+    nothing = spark.createDataFrame([], "type string, session string, ord long, reason string")
+    return out, reduce(DataFrame.unionByName, aside, nothing)
+
+
+def empty_store(spark: SparkSession, entity: Entity, types: Mapping[str, str]) -> Stored:
+    """A store without rows; types: SQL types of the values, string where none is given."""
+    values = ", ".join(f"{v} {types.get(v, 'string')}" for v in entity.values)
+    return Stored(spark.createDataFrame([], f"id long, id_on_platform string, url_suffix string, identifiers array<string>, {values}"), spark.createDataFrame([], f"canonical_id long, session string, {values}"))
+
+
+#: SQL types of the values that are no text.
+VALUE_TYPES = {"publication_date": "timestamp", "x": "double", "y": "double"} | {r.column: "long" for e in ENTITIES.values() for r in e.references}
+
+
 def numbered(rows: DataFrame, order: str, top: int) -> DataFrame:
     """rows with canonical_id = top + 1, top + 2, ... in ascending order of `order` (distinct).
 

@@ -6,13 +6,17 @@ an item then gives posts, media, accounts and tagged accounts, whichever kind it
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.functions.normalize import cdn_filename, like_id, shortcode, tagged_id
+from strataloom.functions.normalize import cdn_filename, like_id, relation_id, shortcode, tagged_id
+from strataloom.operators.lineage import checkpointed
+from strataloom.operators.reconcile import full
+from strataloom.operators.resolve import clusters
+from strataloom.sources.captures import body_bytes, page_scripts, values_at_key
 
 USER = "struct<pk: string, id: string, username: string, full_name: string, biography: string>"
 IMAGES = "struct<candidates: array<struct<url: string, width: int, height: int>>>"
@@ -25,6 +29,8 @@ ITEM = f"""struct<pk: string, id: string, code: string, shortcode: string, taken
 REEL = f"struct<id: string, reel_type: string, user: {USER}>"
 REEL_NODE = f"struct<id: string, reel_type: string, user: {USER}, items: array<{ITEM}>>"
 COMMENT = f"struct<pk: string, id: string, text: string, created_at: long, parent_comment_id: string, user: {USER}>"
+#: Keys of payloads without posts, under data. Fixed values.
+COMMENTS, LIKERS, CHAINING = "xdt_api__v1__media__media_id__comments__connection", "xdt_api__v1__likes__media_id__likers", "xdt_api__v1__discover__chaining"
 
 
 @dataclass(frozen=True)
@@ -40,7 +46,7 @@ class Payload:
 
 def in_reels(nodes: str) -> str:
     """SQL for the items of reels, each with its reel."""
-    return f"flatten(transform({nodes}, n -> transform(n.items, i -> named_struct('item', i, 'reel', named_struct('id', n.id, 'reel_type', n.reel_type, 'user', n.user)))))"
+    return f"flatten(transform({nodes}, n -> transform(coalesce(n.items, array()), i -> named_struct('item', i, 'reel', named_struct('id', n.id, 'reel_type', n.reel_type, 'user', n.user)))))"
 
 
 EDGES, REELS = f"struct<edges: array<struct<node: {ITEM}>>>", f"struct<edges: array<struct<node: {REEL_NODE}>>>"
@@ -56,18 +62,31 @@ KINDS = {
 }
 
 
+def merged_shape() -> str:
+    """One schema that holds every payload kind, so that a payload is parsed once whatever is in it. A part of another form than its kind's is null and leaves the others as they are."""
+    under = {p.keys[1]: p.schema for p in KINDS.values() if p.keys[0] == "data"}
+    under |= {COMMENTS: f"struct<edges: array<struct<node: {COMMENT}>>>", LIKERS: f"struct<users: array<{USER}>>", CHAINING: f"struct<users: array<{USER}>>", "user": USER}
+    top = {p.keys[0]: p.schema for p in KINDS.values() if p.keys[0] != "data"} | {"comments": f"array<{COMMENT}>", "users": f"array<{USER}>"}
+    return f"struct<data: struct<{', '.join(f'{k}: {v}' for k, v in under.items())}>, {', '.join(f'{k}: {v}' for k, v in top.items())}>"
+
+
+def parsed(payloads: DataFrame) -> DataFrame:
+    """payloads with their json as `p`, computed once for all that reads it; text that is no JSON gives null."""
+    return checkpointed(payloads.withColumn("p", F.from_json("json", merged_shape())).drop("json"))
+
+
 def items_of(payloads: DataFrame) -> DataFrame:
-    """(source, kind, place, item, reel, dated) of the post-like items in payloads (source, json). A payload that cannot be read, or of no known kind, gives none; one may hold several kinds."""
-    out = []
-    for kind, p in KINDS.items():
-        shape, value = p.schema, "p"
-        for key in reversed(p.keys):
-            shape = f"struct<{key}: {shape}>"
-        parsed = payloads.select("source", F.from_json("json", shape).alias("p")).select("source", F.expr(".".join((value, *p.keys))).alias("v"))
-        rows = parsed.select("source", F.posexplode(F.expr(p.items)).alias("place", "x"))
-        item, reel = (F.col("x.item"), F.col("x.reel").cast(REEL)) if p.reels else (F.col("x"), F.lit(None).cast(REEL))
-        out.append(rows.select("source", F.lit(kind).alias("kind"), "place", item.cast(ITEM).alias("item"), reel.alias("reel"), F.lit(p.dated).alias("dated")).where("item IS NOT NULL"))
-    return reduce(DataFrame.unionByName, out)
+    """payloads' columns but json or p, and (kind, place, item, reel, dated), of the post-like items in payloads (source, json or p). A payload that cannot be read, or of no known kind, gives none; one may hold several kinds."""
+    rows = payloads if "p" in payloads.columns else payloads.withColumn("p", F.from_json("json", merged_shape())).drop("json")
+
+    def of(kind: str, p: Payload) -> str:
+        found = re.sub(r"\bv\b", ".".join(("p", *p.keys)), p.items)
+        item, reel = ("x.item", "x.reel") if p.reels else ("x", f"cast(NULL AS {REEL})")
+        made = f"transform({found}, (x, k) -> named_struct('kind', '{kind}', 'place', k, 'item', {item}, 'reel', {reel}, 'dated', {str(p.dated).lower()}))"
+        return f"coalesce({made}, array())"
+
+    each = rows.withColumn("x", F.explode(F.expr(f"concat({', '.join(of(k, p) for k, p in KINDS.items())})"))).drop("p")
+    return each.select("*", "x.*").drop("x").where("item IS NOT NULL")
 
 
 def reel_suffix(post: Column) -> Column:
@@ -101,6 +120,7 @@ def post_rows(items: DataFrame) -> DataFrame:
         item_post(i).alias("id_on_platform"),
         F.coalesce(reel_suffix(item_post(i)), F.concat(F.lit("p/"), code)).alias("url_suffix"),
         F.coalesce(owner(i)["pk"], owner(i)["id"]).alias("account_id"),
+        named(owner(i)).alias("account_url_suffix"),
         F.when(F.col("dated"), F.timestamp_seconds(i["taken_at"])).alias("publication_date"),
         F.when(F.col("dated"), i["caption"]["text"]).alias("caption"),
     )
@@ -136,8 +156,8 @@ def tagged(items: DataFrame) -> DataFrame:
 
 
 def flattened(payloads: DataFrame) -> dict[str, DataFrame]:
-    """The entity streams of payloads (source, json): accounts, posts, media, tagged_accounts."""
-    items = items_of(payloads)
+    """The streams of post-like items in payloads (source, json): accounts, posts, media, tagged_accounts. The items are worked out once."""
+    items = checkpointed(items_of(payloads))
     tags = tagged(items)
     owners = items.select("source", owner(F.col("item")).alias("user")).unionByName(tags.select("source", "user")).where("user IS NOT NULL")
     account, name = F.coalesce(F.col("user.pk"), F.col("user.id")), F.concat(F.col("user.username"), F.lit("/"))
@@ -145,10 +165,161 @@ def flattened(payloads: DataFrame) -> dict[str, DataFrame]:
         "accounts": owners.select("source", *account_row("user")),
         "posts": post_rows(items),
         "media": media_rows(items),
-        "tagged_accounts": tags.select("source", tagged_id(F.lit(None).cast("string"), account, name, F.col("post_id"), F.col("media_id")).alias("id_on_platform"), account.alias("tagged_account_id"), "post_id", "media_id", "x", "y"),
+        "tagged_accounts": tags.select("source", tagged_id(F.lit(None).cast("string"), account, name, F.col("post_id"), F.col("media_id")).alias("id_on_platform"), account.alias("tagged_account_id"), name.alias("tagged_url_suffix"), "post_id", "media_id", "x", "y"),
     }
 
 
+#: Keys that page scripts hold anywhere, and whether they stand under data in a payload. Fixed values.
+PAGE_KEYS = {"xdt_api__v1__media__shortcode__web_info": True, "xdt_api__v1__profile_timeline": False, "xdt_api__v1__feed__reels_media__connection": True, "xdt_api__v1__feed__reels_media": True, COMMENTS: True}
+
+
+def page_payloads(pages: DataFrame) -> DataFrame:
+    """(source, url, context_id, target_id, json): payloads in the scripts of pages (source, url, html), each under the key where responses have it. context_id is the page's post, which its comments belong to."""
+    blocks = pages.select("source", "url", F.explode(page_scripts(F.col("html"))).alias("script"))
+    keys = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(d).alias("data")) for k, d in PAGE_KEYS.items()))
+    held = blocks.withColumn("k", F.explode(keys)).where(F.col("script").contains(F.col("k.key")))
+    values = held.select("source", "url", "k", F.explode(values_at_key(F.col("script"), F.col("k.key"))).alias("v")).where(F.col("v").startswith("{"))
+    inner = F.concat(F.lit('{"'), F.col("k.key"), F.lit('": '), F.col("v"), F.lit("}"))
+    made = values.withColumn("json", F.when(F.col("k.data"), F.concat(F.lit('{"data": '), inner, F.lit("}"))).otherwise(inner))
+    posts = made.where(F.col("k.key") == "xdt_api__v1__media__shortcode__web_info").groupBy("source", "url").agg(F.max(F.get_json_object("v", "$.items[0].pk")).alias("context_id"))
+    return made.join(posts, ["source", "url"], "left").select("source", "url", "context_id", F.lit(None).cast("string").alias("target_id"), "json")
+
+
+def response_payloads(entries: DataFrame) -> DataFrame:
+    """(source, url, context_id, target_id, json) of routed HAR entries: GraphQL and API responses as they are, pages through page_payloads. The post of comments and likes, and the account of suggestions, come from the request's variables or address."""
+    url, body = F.col("request.url"), body_bytes(F.col("response.content")).cast("string")
+    variables = F.get(F.filter("request.postData.params", lambda p: p["name"] == "variables"), F.lit(0))["value"]
+    in_url = F.nullif(F.regexp_extract(url, r"media/([^/?]+)", 1), F.lit(""))
+    asked = entries.where("route IN ('graphql', 'api')").select(
+        "source", url.alias("url"), F.when(F.col("route") == "graphql", F.get_json_object(variables, "$.media_id")).otherwise(in_url).alias("context_id"), F.get_json_object(variables, "$.target_id").alias("target_id"), body.alias("json")
+    )
+    pages = entries.where("route = 'page'").select("source", url.alias("url"), body.alias("html"))
+    return asked.unionByName(page_payloads(pages))
+
+
+def coded_suffix(post_id: Column) -> Column:
+    """The address of a post by its number."""
+    number = F.when(post_id.rlike("^[0-9]{1,18}$"), shortcode(F.try_to_number(post_id, F.lit("9" * 18)).cast("long")))
+    return F.concat(F.lit("p/"), number, F.lit("/"))
+
+
+def named(user: Column) -> Column:
+    return F.concat(F.nullif(user["username"], F.lit("None")), F.lit("/"))
+
+
+def bundle(payloads: DataFrame) -> dict[str, DataFrame]:
+    """All seven streams of payloads (source, url, context_id, target_id, json), parsed once: accounts, posts, media, comments, likes, account_relations, tagged_accounts.
+
+    Lists of users are likes under .../likers/ and follows under .../friendships/; a connection of comments or of
+    likers counts wherever it comes. Rows of several payloads stand beside one another; see deduplicated.
+    """
+    held = parsed(payloads)
+    out = flattened(held)
+    p, url = F.col("p"), F.coalesce("url", F.lit(""))
+    data = p["data"]
+    none = F.array().cast(f"array<{COMMENT}>")
+    answered = F.when(url.contains("/comments/"), F.transform(p["comments"], lambda c: c.withField("parent_comment_id", F.lit(None).cast("string"))))
+    found = held.select("source", "context_id", F.explode(F.concat(F.coalesce(data[COMMENTS]["edges"]["node"], none), F.coalesce(answered, none))).alias("c"))
+    post = coded_suffix(F.col("context_id"))
+    user_id = F.coalesce("c.user.pk", "c.user.id")
+    comments = found.select(
+        "source", F.coalesce("c.pk", "c.id").alias("id_on_platform"), F.concat(post, F.lit("c/"), F.coalesce("c.pk", "c.id"), F.lit("/")).alias("url_suffix"), F.col("context_id").alias("post_id"), post.alias("post_url_suffix"),
+        user_id.alias("account_id"), named(F.col("c.user")).alias("account_url_suffix"), F.col("c.text").alias("text"), F.col("c.parent_comment_id").alias("parent_id"), F.timestamp_seconds("c.created_at").alias("publication_date"),
+    )
+    nobody = F.array().cast(f"array<{USER}>")
+    liked = F.coalesce(data[LIKERS]["users"], nobody)
+    likers = held.select("source", "context_id", F.explode(F.concat(liked, F.coalesce(F.when(url.contains("/likers/"), p["users"]), nobody))).alias("u"))
+    liker = F.coalesce("u.pk", "u.id")
+    likes = likers.select("source", like_id(F.lit(None).cast("string"), F.col("context_id"), liker).alias("id_on_platform"), F.col("context_id").alias("post_id"), post.alias("post_url_suffix"), liker.alias("account_id"), named(F.col("u")).alias("account_url_suffix"))
+    target = F.nullif(F.regexp_extract(url, r"friendships/([^/?]+)", 1), F.lit(""))
+    near = held.where(url.contains("/friendships/")).select("source", target.alias("target"), url.contains("followers").alias("into"), F.explode(p["users"]).alias("u"), F.lit("follower").alias("kind"))
+    shown = held.select("source", F.col("target_id").alias("target"), F.lit(False).alias("into"), F.explode(data[CHAINING]["users"]).alias("u"), F.lit("suggested").alias("kind"))
+    related = near.unionByName(shown)
+    other = F.coalesce("u.id", "u.pk")
+    ends = {"follower_id": F.when(F.col("into"), other).otherwise(F.col("target")), "followed_id": F.when(F.col("into"), F.col("target")).otherwise(other)}
+    suffixes = {"follower_url_suffix": F.when(F.col("into"), named(F.col("u"))), "followed_url_suffix": F.when(~F.col("into"), named(F.col("u")))}
+    relations = related.select("source", *(c.alias(k) for k, c in (ends | suffixes).items()), "kind")
+    relations = relations.select("source", relation_id(F.lit(None).cast("string"), F.col("follower_id"), F.col("followed_id"), F.col("kind")).alias("id_on_platform"), *ends, *suffixes, "kind")
+    bare = lambda rows, column: rows.where(F.col(column).isNotNull()).select("source", F.col(column).dropFields("full_name", "biography").withField("full_name", F.lit(None).cast("string")).withField("biography", F.lit(None).cast("string")).alias("user"))
+    profile = held.where(data["user"]["biography"].isNotNull()).select("source", data["user"].alias("user"))
+    people = bare(found.select("source", F.col("c.user").alias("user")), "user").unionByName(likers.unionByName(related, allowMissingColumns=True).select("source", F.col("u").alias("user"))).unionByName(profile)
+    out["accounts"] = out["accounts"].unionByName(people.select("source", *account_row("user")))
+    return out | {"comments": comments, "likes": likes, "account_relations": relations}
+
+
+@dataclass(frozen=True)
+class Identity:
+    """The columns by which rows of a stream are one entity, and whether later rows fill in or replace what earlier ones say."""
+
+    keys: tuple[str, ...]
+    merged: bool = False
+
+
+#: Which rows of one session are one entity, by stream.
+IDENTITIES = {
+    "accounts": Identity(("id_on_platform", "url_suffix"), True),
+    "posts": Identity(("id_on_platform", "url_suffix"), True),
+    "media": Identity(("id_on_platform", "url_suffix"), True),
+    "comments": Identity(("id_on_platform", "url_suffix")),
+    "likes": Identity(("id_on_platform",)),
+    "account_relations": Identity(("id_on_platform",)),
+    "tagged_accounts": Identity(("id_on_platform",)),
+}
+
+
+def deduplicated(streams: dict[str, DataFrame], order: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """Each stream with one row an entity and source. Rows that share a key, directly or through others, are one: of merged streams each value is that of the last row that has it, of others the first row stays.
+
+    Rows are ordered by the given columns, else by all they hold, so that a stage that runs again finds the same order. A row without any key is an entity of its own.
+    """
+    out = {}
+    for name, rows in streams.items():
+        how, columns = IDENTITIES[name], rows.columns
+        numbered_rows = checkpointed(rows.distinct().withColumn("ord", F.concat(F.to_json(F.struct(*(order or {}).get(name, []), *columns)), F.lit(""))))
+        keys = [F.when(F.col(k).isNotNull(), F.concat_ws("\0", "source", k)) for k in how.keys]
+        grouped = clusters(numbered_rows, "ord", keys)
+        if how.merged:
+            filled = lambda c: F.when(full(F.col(c), rows.schema[c].dataType).isNotNull(), F.col("ord"))
+            picked = [F.max_by(c, filled(c)).alias(c) for c in columns if c != "source"]
+        else:
+            picked = [F.min_by(c, "ord").alias(c) for c in columns if c != "source"]
+        out[name] = grouped.groupBy("source", "cluster").agg(*picked).select(*columns)
+    return out
+
+
+def with_local_files(media: DataFrame, files: DataFrame) -> DataFrame:
+    """media (source, url_suffix, ...) with local_url: the path of the source's file (source, path) of the same name; of several the smallest path."""
+    names = files.groupBy("source", F.element_at(F.split("path", "/"), -1).alias("url_suffix")).agg(F.min("path").alias("local_url"))
+    return media.join(names, ["source", "url_suffix"], "left").select(*media.columns, "local_url")
+
+
+def session_entities(entries: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+    """The seven streams of captured sessions: HAR entries (routed) to payloads, to rows, to entities, with their local files."""
+    out = deduplicated(bundle(response_payloads(entries)))
+    return out | {"media": with_local_files(out["media"], files)}
+
+
+def nested_sessions(streams: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Which post and account each row of a session lies under, by platform ids and addresses: media, comments, likes and tagged accounts with `post` (null for orphans), posts with `account` (by address, else by id), relations with `account` (the follower, else the followed)."""
+    accounts, posts = streams["accounts"], streams["posts"].select("source", F.col("id_on_platform").alias("post_id")).where("post_id IS NOT NULL").distinct().withColumn("post", F.col("post_id"))
+    by_id = accounts.where("id_on_platform IS NOT NULL").groupBy("source", F.col("id_on_platform").alias("_id")).agg(F.max(F.coalesce("id_on_platform", "url_suffix")).alias("_found_id"))
+    by_name = accounts.where("url_suffix IS NOT NULL").groupBy("source", F.col("url_suffix").alias("_name")).agg(F.max(F.coalesce("id_on_platform", "url_suffix")).alias("_found_name"))
+
+    def owned(rows: DataFrame, *ends: tuple[Column, Column]) -> DataFrame:
+        found = []
+        for k, (id_, name) in enumerate(ends):
+            for side, key, value, own in ((by_name, "_name", "_found_name", name), (by_id, "_id", "_found_id", id_)):
+                known = side.select(F.col("source").alias("_s"), F.col(key).alias("_key"), F.col(value).alias(f"{value}{k}"))
+                rows = rows.join(known, (F.col("source") == F.col("_s")) & (own == F.col("_key")), "left").drop("_s", "_key")
+                found.append(F.col(f"{value}{k}"))
+        return rows.withColumn("account", F.coalesce(*found)).drop(*(f"{v}{k}" for k in range(len(ends)) for v in ("_found_name", "_found_id")))
+
+    under = {n: streams[n].join(posts, ["source", "post_id"], "left") for n in ("media", "comments", "likes", "tagged_accounts")}
+    under["posts"] = owned(streams["posts"], (F.col("account_id"), F.col("account_url_suffix")))
+    under["account_relations"] = owned(streams["account_relations"], (F.col("follower_id"), F.col("follower_url_suffix")), (F.col("followed_id"), F.col("followed_url_suffix")))
+    return under
+
+
 def comment_rows(payloads: DataFrame) -> DataFrame:
     """Comments of payloads (source, post_id, json) with a list `comments`."""
     parsed = payloads.select("source", "post_id", F.explode(F.from_json("json", f"struct<comments: array<{COMMENT}>>")["comments"]).alias("c"))
