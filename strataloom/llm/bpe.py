@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-Words are counted over the whole corpus; the pieces (what the pre-tokenizer's pattern cuts) of the commonest
-LEXICON of them are encoded exactly once and compiled into a minimal acyclic automaton whose shared suffixes
+Words are counted over the whole corpus; the pieces (what the pre-tokenizer's pattern cuts) of the commonest,
+LEXICON of them at most, are encoded exactly once and compiled into a minimal acyclic automaton whose shared suffixes
 carry number outputs: the sum of the outputs along a piece's path is its ordinal, which addresses its ids.
 The automaton is one file that Spark ships to every executor, where workers memory-map it, so its pages are
 shared. All of a slice's new pieces walk it together, one byte a step. Pieces it does not hold are merged
@@ -14,10 +14,9 @@ import json
 import os
 import re
 import sys
-import tempfile
 import unicodedata
+import uuid
 from array import array
-from collections import Counter
 from functools import lru_cache
 from itertools import chain
 
@@ -27,10 +26,10 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import rows_of
+from strataloom.llm.common import rows_of, staged, write_file
 
-#: Words compiled into the lexicon, and chunks a worker remembers before it starts afresh.
-LEXICON, MEMORY = 65_536, 300_000
+#: Words compiled into the lexicon at most, and chunks that a worker remembers.
+LEXICON, MEMORY = 65_536, 100_000
 #: Longer words are not counted, longer pieces merged with a heap.
 LONG = 64
 
@@ -290,17 +289,20 @@ class Encoder:
             self.lengths.append(len(self.flat) - before)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and the offsets of the texts."""
-        if len(self.number) > MEMORY or len(self.flat) > 16 * MEMORY:
-            self.forget()
+        """Flat ids and the offsets of the texts. Once MEMORY chunks are known, which the common ones soon are, more are remembered for this call only."""
         split = [self.vocabulary.chunks(t) for t in texts]
         new = set().union(*split) - self.number.keys() if split else set()
+        kept, used = len(self.starts), len(self.flat)
         if new:
             self.learn(sorted(new))
         counts = np.fromiter(map(len, split), np.int64, len(split))
         which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        # copies, as the arrays grow later
+        # copies, as the arrays grow and shrink later
         starts, lengths, ids = np.array(self.starts, np.int64), np.array(self.lengths, np.int64), np.array(self.flat, np.int32)
+        if len(self.starts) > MEMORY:
+            for chunk in new:
+                del self.number[chunk]
+            del self.starts[kept:], self.lengths[kept:], self.flat[used:]
         flat = gathered(ids, starts[which], lengths[which]) if len(which) else np.empty(0, np.int32)
         ends = np.concatenate([[0], np.cumsum(lengths[which])]) if len(which) else np.zeros(1, np.int64)
         return flat, ends[np.concatenate([[0], np.cumsum(counts)])]
@@ -329,41 +331,41 @@ def text_slices(texts: list, most: int = 1 << 20):
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, count) of the blank-delimited words over all texts: counted in each task first, summed after a shuffle of distinct words."""
+    """(word, count) of the blank-delimited words of at most LONG characters over all texts, counted with map-side combination."""
+    words = docs.select(F.explode(F.split("text", r"\s+")).alias("word")).where((F.col("word") != "") & (F.char_length("word") <= LONG))
+    return words.groupBy("word").agg(F.count("*").alias("count"))
 
-    def work(batches):
-        seen = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "count"])
 
-        for (texts,) in rows_of(batches, "text"):
-            for t in texts.to_pylist():
-                if t:
-                    seen.update(t.split())
-            if len(seen) > MEMORY:
-                yield out()
-                seen.clear()
-        yield out()
+def frequent_words(docs: DataFrame, size: int) -> DataFrame:
+    """(word) of the words that occur most often and more than once, at most `size`: those from the smallest count on whose words still fit.
 
-    counted = docs.select("text").mapInArrow(work, "word string, count long")
-    return counted.where(F.length("word") <= LONG).groupBy("word").agg(F.sum("count").alias("count"))
+    The cut-off comes from a histogram over 16 classes a doubling of the count, a few hundred rows whatever
+    the corpus; so no ranking of all words takes place.
+    """
+    counts = staged(word_counts(docs).where("count > 1").withColumn("class", F.floor(F.log2("count") * 16).cast("int")))
+    least, held = None, 0
+    for row in counts.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("class")).collect():
+        held += row["n"]
+        if held > size:
+            break
+        least = row["class"]
+    return counts.where(F.col("class") >= least if least is not None else F.lit(False)).select("word")
 
 
-@lru_cache(4)
+@lru_cache(1)
 def vocabulary_of(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(4)
+@lru_cache(1)
 def encoder_of(vocabulary_path: str, lexicon_name: str) -> Encoder:
     return Encoder(vocabulary_of(vocabulary_path), Lexicon(SparkFiles.get(lexicon_name)))
 
 
 def ship_lexicon(docs: DataFrame, vocabulary_path: str, size: int = LEXICON) -> str:
-    """Compile the pieces of the corpus's commonest words and ship the file to all executors; returns its name.
+    """Compile the pieces of the corpus's commonest words into a file in the shared folder and ship it to all executors; returns its name.
 
-    One task compiles `size` words of at most LONG characters; the driver holds the compiled file only.
+    One task compiles at most `size` words of at most LONG characters; the driver holds the compiled file only.
     """
 
     def build(batches):
@@ -373,17 +375,15 @@ def ship_lexicon(docs: DataFrame, vocabulary_path: str, size: int = LEXICON) ->
                 words.update(p.encode() for p in piece_pattern().findall(" " + word) if p not in vocabulary.added)
         yield pa.RecordBatch.from_arrays([pa.array([compile_lexicon([(w, vocabulary.merge(w)) for w in sorted(words)])], pa.binary())], ["file"])
 
-    top = word_counts(docs).orderBy(F.desc("count"), "word").limit(size).select("word")
-    rows = top.mapInArrow(build, "file binary").collect()
-    handle, path = tempfile.mkstemp(prefix="lexicon-", suffix=".bin")
-    with os.fdopen(handle, "wb") as f:
-        f.write(max((bytes(r["file"]) for r in rows), key=len, default=compile_lexicon([])))
+    rows = frequent_words(docs, size).coalesce(1).mapInArrow(build, "file binary").collect()
+    data = max((bytes(r["file"]) for r in rows), key=len, default=compile_lexicon([]))
+    path = write_file(docs.sparkSession, data, f"lexicon-{uuid.uuid4().hex}.bin")
     docs.sparkSession.sparkContext.addFile(path)
     return os.path.basename(path)
 
 
-def encode(docs: DataFrame, vocabulary_path: str, lexicon_size: int = LEXICON) -> DataFrame:
-    """(doc_id, ids array<int>) a row of docs, as the vocabulary's own library encodes whole texts without added special tokens; an added token's text within a text is that token.
+def encode(docs: DataFrame, vocabulary_path: str, lexicon_size: int = LEXICON, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>) a row of docs, as the vocabulary's own library encodes whole texts without added special tokens; an added token's text within a text is that token. decoded: also the text that these ids decode to, made by the same worker.
 
     Null and empty texts have no ids. A null doc_id is carried along, repeated rows are encoded each, an
     empty table gives an empty table, other columns are ignored.
@@ -396,10 +396,22 @@ def encode(docs: DataFrame, vocabulary_path: str, lexicon_size: int = LEXICON) -
             plain = [t or "" for t in texts.to_pylist()]
             for a, b in text_slices(plain):
                 flat, offsets = encoder.encode(plain[a:b])
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["doc_id", "ids"])
+                columns = [ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
+                if decoded:
+                    columns.append(pa.array(texts_of(flat, offsets, vocabulary_path), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+        encoder.forget()  # the worker may serve other operators next
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded)
+
+
+def texts_of(flat: np.ndarray, offsets: np.ndarray, vocabulary_path: str) -> list[str]:
+    """The texts of flat ids from offset to offset."""
+    tokens, starts, lengths = token_bytes(vocabulary_path)
+    data = gathered(tokens, starts[flat], lengths[flat]).tobytes()
+    ends = np.concatenate([[0], np.cumsum(lengths[flat])])[offsets].tolist()
+    return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def decode(ids: Column, vocabulary_path: str) -> Column:
@@ -407,20 +419,17 @@ def decode(ids: Column, vocabulary_path: str) -> Column:
 
     @F.arrow_udf("string")
     def work(column: pa.Array) -> pa.Array:
-        tokens, starts, lengths = token_bytes(vocabulary_path)
-        out = []
+        out: list[str | None] = []
         for at in range(0, len(column), 64):
             part = column.slice(at, 64)
-            flat, offsets = np.asarray(part.flatten()), np.concatenate([[0], np.cumsum(np.asarray(part.value_lengths().fill_null(0)))])
-            data = gathered(tokens, starts[flat], lengths[flat]).tobytes()
-            ends = np.concatenate([[0], np.cumsum(lengths[flat])])[offsets]
-            out += [data[a:b].decode("utf-8", "replace") if known else None for a, b, known in zip(ends, ends[1:], part.is_valid().to_pylist(), strict=False)]
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(part.value_lengths().fill_null(0)))])
+            out += [t if known else None for t, known in zip(texts_of(np.asarray(part.flatten()), offsets, vocabulary_path), part.is_valid().to_pylist(), strict=True)]
         return pa.array(out, pa.string())
 
     return work(ids)
 
 
-@lru_cache(4)
+@lru_cache(1)
 def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tokens = vocabulary_of(path).tokens
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
@@ -433,18 +442,11 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def digests(encoded: DataFrame, vocabulary_path: str, *more: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode's rows, with more of their columns."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode's rows with their decoded texts, and more of their columns."""
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return encoded.select(
-        "doc_id",
-        *more,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(listed, 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), vocabulary_path), 256).alias("decoded_sha256"),
-    )
+    return encoded.select("doc_id", *more, F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = default_vocabulary()
-    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_vocabulary(), decoded=True))

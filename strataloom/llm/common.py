@@ -16,6 +16,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Distinct words whose hashes a worker remembers before it starts afresh.
 WORD_MEMORY = 200_000
+#: Bytes of a slice of an Arrow batch that is worked on at once.
+SLICE = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +38,16 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_file(spark: SparkSession, data: bytes, name: str) -> str:
+    """The path of a new file in the shared folder that holds data."""
+    path = f"{shared_dir(spark)}/{name}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(data))
+    out.close()
+    return path
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a staged folder that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -90,11 +102,16 @@ def shingles_of(text: bytes | None, size: int, memory: WordHashes) -> np.ndarray
 
 
 def rows_of(batches: Iterator, *columns: str) -> Iterator[tuple]:
-    """Arrow batches as slices of at most 256 rows, so that what is built from one slice stays small."""
+    """Arrow batches as slices of at most 256 rows and about SLICE bytes (one row at least), so that what is built from one slice stays small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        at = 0
+        while at < batch.num_rows:
+            take = min(256, batch.num_rows - at)
+            while take > 1 and batch.slice(at, take).nbytes > SLICE:
+                take = (take + 1) // 2
+            part = batch.slice(at, take)
             yield tuple(part.column(part.schema.get_field_index(c)) for c in columns)
+            at += take
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strataloom.llm import bpe
@@ -24,7 +25,7 @@ def test_against_the_library(spark, library):
     rng = random.Random(6)
     docs = AWKWARD + [(100 + k, t) for k, t in enumerate(TEXTS)] + [(200 + k, "".join(rng.choice("ab 'sé日\n1.") for _ in range(200))) for k in range(20)]
     path = bpe.default_vocabulary()
-    rows = bpe.digests(bpe.encode(frame(spark, docs), path, lexicon_size=50), path, "ids").collect()
+    rows = bpe.digests(bpe.encode(frame(spark, docs), path, lexicon_size=50, decoded=True), "ids").collect()
     assert len(rows) == len(docs)
     for r in rows:
         ids = library.encode(dict(docs)[r["doc_id"]] or "", add_special_tokens=False).ids
@@ -37,6 +38,25 @@ def test_empty_table(spark):
     assert bpe.encode(frame(spark, AWKWARD).limit(0), bpe.default_vocabulary()).count() == 0
 
 
+def test_decoding_alone(spark, library):
+    rows = [(1, [15496, 995]), (2, None), (3, []), (4, [447, 50256])]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    got = {r["doc_id"]: r["t"] for r in df.select("doc_id", bpe.decode(F.col("ids"), bpe.default_vocabulary()).alias("t")).collect()}
+    assert got == {i: None if ids is None else library.decode(ids, skip_special_tokens=False) for i, ids in rows}
+
+
+def test_null_and_repeated_ids(spark, library):
+    docs = [(None, "one two"), (1, "one two"), (1, "three"), (None, None)]
+    rows = bpe.encode(frame(spark, docs), bpe.default_vocabulary()).collect()
+    assert sorted((r["doc_id"] or 0, len(r["ids"])) for r in rows) == sorted((i or 0, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in docs)
+
+
+def test_frequent_words_fit(spark):
+    docs = frame(spark, [(i, "the the cat " + "dog " * (i % 3) + f"w{i} " + "x" * 80) for i in range(30)])
+    words = lambda size: {r["word"] for r in bpe.frequent_words(docs, size).collect()}
+    assert words(50) == {"the", "cat", "dog"} and words(1) == {"the"} and words(0) == set()
+
+
 def test_lexicon_is_minimal_and_exact(tmp_path):
     words = sorted({b"tap", b"taps", b"top", b"tops", b"a", b"banana", b""})
     entries = [(w, [k, 7]) for k, w in enumerate(words)]
