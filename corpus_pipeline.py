@@ -17,29 +17,31 @@ LEAST_SCORE = 0.35
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs in whose text a language is found with a score of LEAST_SCORE or more. Null and empty texts and texts without a letter go; repeated rows are judged each; null ids are carried along; an empty table gives an empty table."""
     model = language_id.fit(docs)
     marked = docs.select(F.struct(*docs.columns).alias("row"), language_id.predicted(F.col("text"), spark, model).alias("p"))
     return marked.where((F.col("p.lang_pred") != language_id.UNKNOWN) & (F.col("p.score") >= LEAST_SCORE)).select("row.*")
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with texts without the lines that a smaller doc_id holds, and n_chars counted anew. Null texts become empty ones; rows without an id pass unchanged; rows that repeat an id are one document and all stay; other columns stay, whatever their names."""
     return line_dedup.deduplicated(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs but those with a near duplicate of smaller doc_id, directly or through others. Empty texts duplicate nothing; rows that repeat a kept id, and rows without an id, all stay; an empty table gives an empty table."""
     kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs sampled by calibrated probabilities. Null sources and languages count as empty; texts without words are kept with the asked fraction; rows that repeat an id share their hash; an empty table gives an empty table."""
     return mixing.sampled(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, and the digests of ids and of the text decoded from them."""
-    path = bpe.default_vocabulary()
-    encoded = bpe.encode(docs, path)
-    return bpe.digests(encoded, path, "ids")
+    """doc_id, ids, and the digests of ids and of the text decoded from them, a row of docs; null and empty texts have no ids, null ids are carried along."""
+    return bpe.digests(bpe.encode(docs, bpe.default_vocabulary(), decoded=True), "ids")
 
 
 STAGES = [
