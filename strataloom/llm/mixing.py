@@ -2,7 +2,8 @@
 
 Documents are measured once (tokens, topic) and summed to cells of source, language and topic. The cells'
 token mass is scaled to the target share of each source, language and topic in turn, round after round,
-until it settles. A cell's calibrated weight is its fitted mass over its own; a document is kept with
+until it settles. Where margins contradict one another it settles between them, and the largest error of a margin
+is reported (margin_error). A cell's calibrated weight is its fitted mass over its own; a document is kept with
 probability min(1, s * weight), where s makes the expected tokens the asked fraction of all, and the
 decision is a hash of doc_id, so it is the same wherever the document lies.
 
@@ -12,6 +13,8 @@ scalars only. All of it is DataFrame code.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +23,10 @@ from strataloom.llm.common import staged
 MARGINS = ("source", "lang", "topic")
 #: Share of all tokens that is kept, and the exponent that draws each margin's shares towards equality (1: as they are, 0: equal).
 FRACTION, EXPONENT, SEED = 0.7, 0.7, "mix-1"
-#: At most so many rounds; settled when the cells' mass moves by less than TOLERANCE of all; steps of the search for s.
-ROUNDS, TOLERANCE, STEPS = 12, 1e-10, 12
+#: Raking stops when a round moves less than TOLERANCE of all mass, or after ROUNDS; steps of the search for s.
+ROUNDS, TOLERANCE, STEPS = 200, 1e-9, 12
+#: Rounds written out in the SQL, enough to settle the tables it is meant for.
+SQL_ROUNDS = 24
 
 
 def token_count(text: Column) -> Column:
@@ -40,9 +45,9 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def cell_keys() -> list[Column]:
-    """Source, language and topic of a document; a null counts as empty."""
-    return [F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic_of(F.col("text")).alias("topic")]
+def cell_keys(topic: Column | None = None) -> list[Column]:
+    """Source, language and topic of a document; a null counts as empty. topic: a column of the caller's own instead of topic_of."""
+    return [F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), (topic_of(F.col("text")) if topic is None else F.coalesce(topic, F.lit(""))).alias("topic")]
 
 
 def tempered(cells: DataFrame, margin: str, exponent: float) -> DataFrame:
@@ -51,24 +56,31 @@ def tempered(cells: DataFrame, margin: str, exponent: float) -> DataFrame:
     return mass.select(margin, F.pow(F.col("m").cast("double"), F.lit(exponent)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells (margins, tokens) with `mass`, whose margins have the shares of targets, as far as the cells that exist allow.
-
-    targets: a table (margin, target) for each margin to be fitted; targets of values that no cell has are
-    left out and the rest scaled to one. Values without a target keep no mass. Cells without tokens have mass 0.
-    """
+def wanted_shares(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """targets (margin, target) of the values that have tokens, scaled to one, staged."""
     wanted = {}
     for margin, target in targets.items():
         there = target.join(cells.where("tokens > 0").select(margin).distinct(), margin)
         total = there.agg(F.sum("target")).first()[0] or 1.0
         wanted[margin] = staged(there.select(margin, (F.col("target") / total).alias("target")))
+    return wanted
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells (margins, tokens) with `mass`, whose margins have the shares of targets, as far as the cells that exist allow (see margin_error).
+
+    targets: a table (margin, target) for each margin to be fitted; targets of values that no cell has are
+    left out and the rest scaled to one. Values without a target keep no mass. Cells without tokens have mass 0.
+    """
+    wanted = wanted_shares(cells, targets)
     fitted = staged(cells.withColumn("mass", F.col("tokens").cast("double")).withColumn("was", F.lit(0.0)))
     for _ in range(rounds):
+        # each margin's factors are staged, as a plan that sums what it also scales would double with every margin
         now = fitted.withColumn("was", F.col("mass"))
         for margin, target in wanted.items():
             sums = now.groupBy(margin).agg(F.sum("mass").alias("held")).join(target, margin, "left")
-            factor = sums.select(margin, F.coalesce(F.when(F.col("held") > 0, F.col("target") / F.col("held")), F.lit(0.0)).alias("factor"))
-            now = now.join(factor, margin).withColumn("mass", F.col("mass") * F.col("factor")).drop("factor")
+            factors = staged(sums.select(margin, F.coalesce(F.when(F.col("held") > 0, F.col("target") / F.col("held")), F.lit(0.0)).alias("factor")))
+            now = now.join(factors, margin).withColumn("mass", F.col("mass") * F.col("factor")).drop("factor")
         fitted = staged(now.select(cells.columns + ["mass", "was"]))
         moved = fitted.agg(F.sum(F.abs(F.col("mass") - F.col("was")))).first()[0]
         if moved is None or moved < tolerance:
@@ -76,6 +88,16 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     return fitted.drop("was")
 
 
+def margin_error(fitted: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest difference between the share of all mass that a value of a margin has and its target; 0 without cells."""
+    total = fitted.agg(F.sum("mass")).first()[0] or 1.0
+    sides = []
+    for margin, target in wanted_shares(fitted, targets).items():
+        sums = fitted.groupBy(margin).agg((F.sum("mass") / total).alias("share"))
+        sides.append(sums.join(target, margin, "left").select(F.abs(F.col("share") - F.coalesce("target", F.lit(0.0))).alias("e")))
+    return reduce(DataFrame.union, sides).agg(F.max("e")).first()[0] or 0.0
+
+
 def probabilities(fitted: DataFrame, fraction: float = FRACTION, steps: int = STEPS) -> DataFrame:
     """fitted with `probability`: min(1, s * mass / tokens), and `fraction` where a cell has no tokens."""
     weight = F.col("mass") / F.col("tokens")
@@ -100,34 +122,35 @@ def chance(doc_id: Column, seed: str = SEED) -> Column:
 
 
 def plan_mix(measured: DataFrame, fraction: float = FRACTION, exponent: float = EXPONENT, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The cells (margins, tokens, docs, mass, probability) of measured (margins, tokens)."""
+    """The cells (margins, tokens, docs, mass, probability, margin_error) of measured (margins, tokens)."""
     cells = staged(measured.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
     targets = targets or {m: tempered(cells, m, exponent) for m in MARGINS}
-    return staged(probabilities(rake(cells, targets), fraction))
+    fitted = rake(cells, targets)
+    return staged(probabilities(fitted, fraction).withColumn("margin_error", F.lit(margin_error(fitted, targets))))
 
 
-def mix(docs: DataFrame, fraction: float = FRACTION, exponent: float = EXPONENT, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, probability and kept a row of docs.
+def mix(docs: DataFrame, fraction: float = FRACTION, exponent: float = EXPONENT, targets: dict[str, DataFrame] | None = None, topic: Column | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, tokens, probability, kept and margin_error (one number for all rows) a row of docs.
 
     Null sources and languages count as empty strings; null and empty texts have no tokens and are kept with
-    probability `fraction`; rows that repeat a doc_id share their decision; an empty table gives an empty
-    table; other columns are ignored.
+    probability `fraction`; rows that repeat a doc_id share the hash that decides; an empty table gives an
+    empty table; other columns are ignored.
     """
-    measured = staged(docs.select("doc_id", *cell_keys(), token_count(F.col("text")).alias("tokens")))
-    cells = plan_mix(measured, fraction, exponent, targets).select(*MARGINS, "probability")
-    return measured.join(cells, list(MARGINS)).select("doc_id", *MARGINS, "tokens", "probability", (chance(F.col("doc_id")) < F.col("probability")).alias("kept"))
+    measured = staged(docs.select("doc_id", *cell_keys(topic), token_count(F.col("text")).alias("tokens")))
+    cells = plan_mix(measured, fraction, exponent, targets).select(*MARGINS, "probability", "margin_error")
+    return measured.join(cells, list(MARGINS)).select("doc_id", *MARGINS, "tokens", "probability", (chance(F.col("doc_id")) < F.col("probability")).alias("kept"), "margin_error")
 
 
-def sampled(docs: DataFrame, fraction: float = FRACTION, exponent: float = EXPONENT) -> DataFrame:
+def sampled(docs: DataFrame, fraction: float = FRACTION, exponent: float = EXPONENT, topic: Column | None = None) -> DataFrame:
     """The rows of docs that mix keeps, with docs' columns."""
-    measured = staged(docs.select(*cell_keys(), token_count(F.col("text")).alias("tokens")))
+    measured = staged(docs.select(*cell_keys(topic), token_count(F.col("text")).alias("tokens")))
     cells = plan_mix(measured, fraction, exponent).select(F.struct(*MARGINS).alias("cell"), F.col("probability").alias("p"))
-    return docs.join(cells, F.struct(*cell_keys()) == F.col("cell")).where(chance(docs["doc_id"]) < F.col("p")).select(*(docs[c] for c in docs.columns))
+    return docs.join(cells, F.struct(*cell_keys(topic)) == F.col("cell")).where(chance(docs["doc_id"]) < F.col("p")).select(*(docs[c] for c in docs.columns))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.withColumn("probability", F.round("probability", 6))
+    return out.withColumn("probability", F.round("probability", 6)).drop("margin_error")
 
 
 def op2_sql() -> str:
@@ -145,7 +168,7 @@ def op2_sql() -> str:
             f"t_{margin} AS MATERIALIZED (SELECT {margin}, x / sum(x) OVER () AS target FROM (SELECT {margin}, power(sum(tokens), {EXPONENT}) AS x FROM w0 GROUP BY {margin} HAVING sum(tokens) > 0))"
         )
     last = "w0"
-    for k in range(ROUNDS):
+    for k in range(SQL_ROUNDS):
         for margin in MARGINS:
             name = f"w{k + 1}_{margin}"
             parts.append(

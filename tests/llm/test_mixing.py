@@ -49,3 +49,31 @@ def test_awkward_rows(spark):
     kept = sorted(str(r["doc_id"]) for r in rows if r["kept"])
     out = mixing.sampled(docs)
     assert out.columns == docs.columns and sorted(str(r["doc_id"]) for r in out.collect()) == kept
+
+
+def test_contradicting_margins_settle_and_tell_their_error(spark):
+    rows = [(i, "a b c d", "en" if s < 2 else "de", f"s{s}") for i in range(40) for s in (0, 0, 1, 2)[i % 4 : i % 4 + 1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {
+        "source": spark.createDataFrame([("s0", 0.2), ("s1", 0.2), ("s2", 0.6)], "source string, target double"),
+        "lang": spark.createDataFrame([("en", 0.7), ("de", 0.3)], "lang string, target double"),
+    }
+    out = mixing.mix(docs, targets=targets).collect()
+    # languages come last, so sources miss their targets by as much as the two disagree: 0.35, 0.35 and 0.3
+    assert {round(r["margin_error"], 6) for r in out} == {0.3} and len(out) == 40
+    agreed = mixing.mix(docs, targets={"source": targets["source"]}).first()
+    assert agreed["margin_error"] < 1e-9
+
+
+def test_production_rounds_settle(spark):
+    shares = [{"a": 0.4, "b": 0.4, "c": 0.2}, {"en": 0.6, "de": 0.4}, {"x": 0.7, "y": 0.3}]
+    targets = {m: spark.createDataFrame(list(s.items()), f"{m} string, target double") for m, s in zip(mixing.MARGINS, shares, strict=True)}
+    got = {(r["source"], r["lang"], r["topic"]): r["mass"] for r in mixing.rake(table(spark), targets).collect()}
+    assert got == pytest.approx(raked(CELLS, shares), abs=1e-3)
+
+
+def test_own_topics_and_repeated_rows(spark):
+    docs = frame(spark, [(1, "a b"), (1, "a b"), (2, "c"), (None, None)])
+    rows = mixing.mix(docs, topic=F.col("key")).collect()
+    assert len(rows) == 4 and {r["topic"] for r in rows} == {"x"}
+    assert len({r["kept"] for r in rows if r["doc_id"] == 1}) == 1
