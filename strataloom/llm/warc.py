@@ -2,9 +2,10 @@
 
 Records lie in archives, one after another, so a record covers the range of offsets [start, end). A replica's
 tree has the records' hashes as leaves, blocks of consecutive records above them and FANOUT nodes under each
-node beyond that, up to one root an archive; a node's hash covers its children's hashes and ranges in order.
-An audit compares two replicas' roots and descends, level by level, only below nodes that differ, down to the
-records that are damaged, missing or unexpected.
+node beyond that, up to one root an archive; a node's hash covers its children's hashes and their ranges, counted from
+the node's own start, in order. So a record that changes its size changes the nodes above it and no others,
+although all that follows it moves. An audit compares two replicas' roots and descends, level by level, only below
+nodes that differ, down to the records that are damaged, missing or unexpected.
 
 Offsets come in two steps (sums of blocks, then records within a block), so an archive that holds most of the
 records is not one task's work. All of it is DataFrame code; hashes are staged as 32 bytes a record.
@@ -61,10 +62,11 @@ def leaves(records: DataFrame) -> DataFrame:
 
 
 def parents(nodes: DataFrame, by: list[Column], order: list[str]) -> DataFrame:
-    """One node a group of `by`: its range and the hash of its children's ranges and hashes, in order."""
+    """One node a group of `by`: its range and the hash of its children's ranges, from its own start on, and hashes, in order."""
     child = F.struct(*order, "start", "end", F.hex("hash").alias("hash"))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda c: F.concat_ws(":", c["start"].cast("string"), c["end"].cast("string"), c["hash"])), "|")
-    return nodes.groupBy(*by).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.unhex(F.sha2(said, 256)).alias("hash"))
+    groups = nodes.groupBy(*by).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(child)).alias("children"))
+    said = F.array_join(F.transform("children", lambda c: F.concat_ws(":", (c["start"] - F.col("start")).cast("string"), (c["end"] - F.col("start")).cast("string"), c["hash"])), "|")
+    return groups.withColumn("hash", F.unhex(F.sha2(said, 256))).drop("children")
 
 
 def merkle_tree(records: DataFrame) -> list[DataFrame]:
@@ -82,10 +84,10 @@ def merkle_tree(records: DataFrame) -> list[DataFrame]:
 
 
 def differing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys at which the hashes or ranges of two levels differ or that only one has."""
+    """Keys at which the hashes of two levels differ or that only one has; a node that has only moved does not differ."""
     pair = lambda d, side: d.select(F.struct(*keys).alias("key"), F.struct("start", "end", "hash").alias(side))
     both = pair(left, "l").join(pair(right, "r"), "key", "full_outer")
-    return both.where(~F.col("l").eqNullSafe(F.col("r"))).select("key.*", "l", "r")
+    return both.where(~F.col("l.hash").eqNullSafe(F.col("r.hash"))).select("key.*", "l", "r")
 
 
 def under(level: DataFrame, bad: DataFrame, parent: Column) -> DataFrame:
@@ -95,22 +97,27 @@ def under(level: DataFrame, bad: DataFrame, parent: Column) -> DataFrame:
     return marked.join(found, marked["archive"].eqNullSafe(found["a"]) & (marked["parent"] == found["n"]), "left_semi").drop("parent")
 
 
+def descent(left: list[DataFrame], right: list[DataFrame]) -> list[DataFrame]:
+    """The nodes (archive, node) that differ, staged, level by level from the roots down to the blocks; only children of differing nodes are compared."""
+    bad = [staged(differing(left[-1], right[-1], ["archive", "node"]).select("archive", "node"))]
+    for k in range(len(left) - 2, 0, -1):
+        up = F.lit(0).cast("long") if k == len(left) - 2 else F.floor(F.col("node") / FANOUT)
+        bad.append(staged(differing(under(left[k], bad[-1], up), under(right[k], bad[-1], up), ["archive", "node"]).select("archive", "node")))
+    return bad
+
+
 def audit(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
     """archive, seq, copy, start, end, status ('damaged', 'missing', 'unexpected') and both hashes of every record in which the right replica differs from the left.
 
-    Only children of differing nodes are compared. A record whose bytes are intact but whose range moved,
-    because a record before it changed its size, is not reported. Records that share a sequence number are
-    paired in the order of their hashes. Identical or empty replicas give no rows.
+    A record whose bytes are intact but whose range moved, because a record before it changed its size, is not
+    reported. Records that share a sequence number are paired in the order of their hashes. Identical or empty
+    replicas give no rows.
     """
-    bad = staged(differing(left[-1], right[-1], ["archive", "node"]).select("archive", "node"))
-    for k in range(len(left) - 2, 0, -1):
-        up = F.lit(0).cast("long") if k == len(left) - 2 else F.floor(F.col("node") / FANOUT)
-        bad = staged(differing(under(left[k], bad, up), under(right[k], bad, up), ["archive", "node"]).select("archive", "node"))
+    bad = descent(left, right)[-1]
     rows = differing(under(left[0], bad, F.col("block")), under(right[0], bad, F.col("block")), ["archive", "block", "seq", "copy"])
-    moved = F.col("l.hash").eqNullSafe(F.col("r.hash"))
     status = F.when(F.col("r").isNull(), "missing").when(F.col("l").isNull(), "unexpected").otherwise("damaged")
     side = F.coalesce("l", "r")
-    return rows.where(~moved).select("archive", "seq", "copy", side["start"].alias("start"), side["end"].alias("end"), status.alias("status"), F.col("l.hash").alias("left_hash"), F.col("r.hash").alias("right_hash"))
+    return rows.select("archive", "seq", "copy", side["start"].alias("start"), side["end"].alias("end"), status.alias("status"), F.col("l.hash").alias("left_hash"), F.col("r.hash").alias("right_hash"))
 
 
 def page_replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:

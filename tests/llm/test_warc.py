@@ -53,3 +53,12 @@ def test_repeated_page_gives_a_row_a_record(spark, tmp_path):
     pages.write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted((r["page_id"], r["status"]) for r in warc.op7_warc_fixity(spark, str(tmp_path)).collect())
     assert got == [(hit, "damaged")] * 2 + [(hit + 1, "intact")]
+
+
+def test_a_record_of_new_size_is_found_on_one_branch(spark):
+    left = [("a", i, f"record {i}".encode()) for i in range(3000)]
+    right = [(a, s, p + b"longer" if s == 5 else p) for a, s, p in left]
+    one, two = warc.merkle_tree(records(spark, left)), warc.merkle_tree(records(spark, right))
+    assert found(one, two) == {("a", 5, "damaged")}
+    # a root, a node a level and one block, though all later records moved
+    assert [d.count() for d in warc.descent(one, two)] == [1] * (warc.LEVELS + 1)
