@@ -9,7 +9,8 @@ fits one output a language. A batch of texts is scored by two matrix products.
 A long text would hold n-grams in almost every slot, whatever its language. It is therefore taken in pieces of
 at most PIECE code points, and its kernel values are those of its pieces, averaged by their sizes.
 
-Only the sample is bounded (TRAIN rows, MOST languages); texts are whole in training and in scoring.
+Only the sample is bounded (about TRAIN rows, at least two a language, and LANDMARKS landmarks); every language of
+the training rows is learned, and texts are whole in training and in scoring.
 """
 
 from __future__ import annotations
@@ -26,15 +27,20 @@ from strataloom.llm.common import across, code_points, gram_hashes, held_out, sl
 
 WIDTHS, SLOT_BITS = (1, 2, 3, 4), 15
 SLOTS = 1 << SLOT_BITS
-#: Training rows and landmarks over all languages, and the languages learned (the commonest).
-TRAIN, LANDMARKS, MOST = 2_000, 160, 200
+#: Training rows and landmarks over all languages.
+TRAIN, LANDMARKS = 2_000, 160
 RIDGE, SHARPNESS = 1e-3, 6.0
 #: Texts, and characters, scored at once.
 ROWS, CHARS = 64, 1 << 18
 #: Code points a piece of a text has at most.
 PIECE = 8192
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+PLAIN_LETTER = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (category L); numerals such as \u00b2, \u00bd or \u2460 are none."""
+    return bool(PLAIN_LETTER.search(text)) or any(map(str.isalpha, text))
 
 
 def presence(texts: list[str]) -> np.ndarray:
@@ -104,8 +110,8 @@ class LanguageModel:
         self.languages, self.bits, self.weights = languages, bits, weights
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score of each text; texts that are null or have no letter are UNKNOWN with score 0."""
-        known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
+        """Language and score of each text; texts that are null or have no letter are UNKNOWN with score 0. Of equal outputs the language with the most training rows wins."""
+        known = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.languages else []
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not known:
             return names, scores
@@ -129,20 +135,20 @@ def fit(docs: DataFrame, train: int = TRAIN, landmarks: int = LANDMARKS) -> Lang
 
     Rows with a null lang, a null text or a null doc_id teach nothing. Of each language the rows with the
     smallest hashes of doc_id are taken; a repeated doc_id counts once. Without any row the model knows no
-    language and answers UNKNOWN.
+    language and answers UNKNOWN. Landmarks are taken rank by rank over the languages, those with the smallest hashes first.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}  # a row a language
     if not counts:
         return LanguageModel([], [], np.empty((0, 0)))
     names, each = list(counts), max(2, train // len(counts))
     # hashes are even over 64 bits, so the `each` smallest lie below this bound but for a chance under 1e-9; what it lets through is few rows a language, whatever the table's size
     bounds = F.create_map(*(F.lit(x) for n, c in counts.items() for x in (n, int(-(2**63) + min(1.0, (3 * each + 60) / c) * (2**64 - 2**11)))))
-    hashed = rows.where(F.col("lang").isin(names)).select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    hashed = rows.select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
     few = hashed.where(F.col("h") <= bounds[F.col("lang")])
     chosen = few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= each)
     chosen = chosen.groupBy("doc_id").agg(F.min("rank").alias("rank"), F.min("lang").alias("lang"))
-    picked = rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most `train` ids
+    picked = rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # `train` ids, or two a language
 
     def pack(batches):
         for batch in batches:
@@ -152,7 +158,7 @@ def fit(docs: DataFrame, train: int = TRAIN, landmarks: int = LANDMARKS) -> Lang
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("lang", "rank", "h")), pa.array(packed(texts), pa.binary())], ["lang", "rank", "h", "bits"])
 
     sample = staged(picked.select("lang", "rank", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text").mapInArrow(pack, "lang string, rank int, h long, bits binary"))
-    marks = sample.where(F.col("rank") <= max(2, landmarks // len(names))).orderBy("lang", "rank", "h").select("bits").collect()
+    marks = sample.orderBy("rank", "h").limit(landmarks).select("bits").collect()
     bits = [bytes(r["bits"]) for r in marks]
 
     def against(batches):
@@ -176,15 +182,17 @@ def fit(docs: DataFrame, train: int = TRAIN, landmarks: int = LANDMARKS) -> Lang
 
 def predicted(text: Column, spark: SparkSession, model: LanguageModel) -> Column:
     """struct<lang_pred, score> of a text column."""
-    held = spark.sparkContext.broadcast(model)  # landmarks and weights: bounded by LANDMARKS and MOST
+    held = spark.sparkContext.broadcast(model)  # LANDMARKS rows, and their weights for each language
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def work(texts: pa.Array) -> pa.Array:
         names, scores = [], []
+        model = held.value
         for at in range(0, len(texts), 256):
-            more = held.value.score(texts.slice(at, 256).to_pylist())
+            more = model.score(texts.slice(at, 256).to_pylist())
             names += more[0]
             scores += more[1]
+        vars(model).pop("landmarks", None)  # unpacked again by the next batch; the worker may serve other operators
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return work(text)

@@ -96,3 +96,23 @@ def test_word_buckets_do_not_depend_on_the_slice():
         assert sorted(together[owner == i].tolist()) == sorted(quality.bucket_ids([t])[0].tolist())
     words = quality.bucket_ids(["beta"])[0][0]
     assert (quality.bucket_ids(["alpha beta"])[0] == words).sum() >= 1
+
+
+def test_numerals_are_no_letters():
+    assert [language_id.has_letter(t) for t in ("²", "½", "①", "ⅷ", "12 _!", "", "a", "é", "ñ", "日", "ª", "²b")] == [False] * 6 + [True] * 6
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(98 + k // 26)} " * 30, f"l{k % 230}") for k in range(460)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train=460, landmarks=40)
+    taught = {r[2] for r in rows if __import__("zlib").crc32(str(r[0]).encode()) % 4 != 2}
+    assert set(model.languages) == taught and len(taught) > 200 and len(model.bits) == 40
+
+
+def test_nulls_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "some words here", "en"), (1, "some words here", "en"), (1, "some words here", "en"), (2, None, "en"), (3, "andere worte dort", "de")], "doc_id long, text string, lang string")
+    rows = language_id.identify(docs, language_id.fit(docs)).collect()
+    assert len(rows) == 5 and all(not r["held_out"] for r in rows if r["doc_id"] is None)
+    assert len({(r["lang_pred"], r["score"]) for r in rows if r["doc_id"] == 1}) == 1
+    scored = quality.rated(docs, quality.fit(docs, spark.createDataFrame([(1, 1, 0), (1, 0, 0), (3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int"))).collect()
+    assert len(scored) == 5 and len({r["score"] for r in scored if r["doc_id"] == 1}) == 1
