@@ -86,17 +86,18 @@ class Analyser:
         self.phases, self.bank = phases(), mel_bank()
         self.window = np.hanning(FRAME).astype(np.float32)
 
-    def resample(self, x: np.ndarray) -> np.ndarray:
-        """Polyphase: output k takes phase (k * DOWN) % UP of the filter at input (k * DOWN) // UP."""
+    def resample(self, x: np.ndarray, at_once: int = 1 << 18) -> np.ndarray:
+        """Polyphase: output k takes phase (k * DOWN) % UP of the filter at input (k * DOWN) // UP. Outputs are made `at_once`, so that the windows of a long value never stand in memory together."""
         half = TAPS // 2
         spans = np.lib.stride_tricks.sliding_window_view(np.pad(x, (half, half + DOWN)), TAPS)
-        k = np.arange(len(x) * UP // DOWN)
-        out = np.empty(len(k), np.float32)
-        for phase in range(UP):
-            mine = np.flatnonzero(k * DOWN % UP == phase)
-            if len(mine):
-                step = (k[mine] * DOWN) // UP
-                out[mine] = spans[step[0] : step[-1] + 1 : DOWN] @ self.phases[phase][::-1]
+        out = np.empty(len(x) * UP // DOWN, np.float32)
+        for at in range(0, len(out), at_once):
+            k = np.arange(at, min(at + at_once, len(out)))
+            for phase in range(UP):
+                mine = k[k * DOWN % UP == phase]
+                if len(mine):
+                    step = (mine * DOWN) // UP
+                    out[mine] = spans[step[0] : step[-1] + 1 : DOWN] @ self.phases[phase][::-1]
         return out
 
     def log_mel(self, samples: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +164,7 @@ def audio_features(media: DataFrame) -> DataFrame:
     """A row a media value: doc_id, n_bytes, payload (as read back), media_bytes, media_sha256, tensors, segments (array of start_ms, end_ms) and mean_log_mel.
 
     The WAV values are read as stored. A null value gives nulls. Values of any length are taken whole, in
-    frames of bounded number; repeated rows are computed each; an empty table gives an empty table.
+    resampled and framed in parts of bounded size; repeated rows are computed each; an empty table gives an empty table.
     """
 
     def work(batches):

@@ -83,3 +83,10 @@ def test_last_bytes_touch_the_features():
         data = bytes(i * 37 % 251 for i in range(blocks * audio.BLOCK))
         one, two = (analyser.log_mel(x)[0] for x in (data, data[:-24] + bytes(255 - x for x in data[-24:])))
         assert one.shape == two.shape and not np.array_equal(one, two)
+
+
+def test_resampling_in_parts_is_the_same():
+    analyser = audio.Analyser()
+    x = np.random.default_rng(2).standard_normal(5000).astype(np.float32)
+    whole = analyser.resample(x)
+    assert all(np.array_equal(whole, analyser.resample(x, at_once=n)) for n in (7, 64, 1000))
