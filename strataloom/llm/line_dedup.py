@@ -3,7 +3,7 @@
 A run is a bucketed, sorted table (h1, h2, doc_id) that holds each line key's first document. A new batch
 of documents reduces its lines to one row a key (map-side combined, so that a line of a third of all rows
 costs one row a task), merge-anti-joins the runs on the same buckets without moving them, and adds what is
-left as a run of level 0. When a level holds FANOUT runs, they merge into one run of the next level.
+left as a run of level 0. When a level holds FANOUT runs, they merge, bucket by bucket, into one run of the next level.
 
 Batches are taken in ascending doc_id ranges, so the first document seen with a key is the smallest.
 All of it is DataFrame code.
@@ -17,11 +17,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import BLANKS, ascii_lower, discard, shared_dir
+from strataloom.llm.common import BLANKS, ascii_lower, discard, shared_dir, staged
+from strataloom.operators.skew import SALTS
 
 #: Keys shorter than this many code points are never dropped.
 MIN_KEY = 10
 BATCHES, FANOUT = 4, 3
+#: Keys that a document loses are looked up one by one up to this many.
+FEW = 256
 
 
 def lines_of(text: Column) -> Column:
@@ -68,19 +71,34 @@ class LineRuns:
             old, self.levels[at] = self.levels[at], []
             if at + 1 == len(self.levels):
                 self.levels.append([])
-            merged = reduce(DataFrame.unionByName, (self.spark.table(n) for n, _ in old))
-            self.levels[at + 1].append(self._write(merged.repartition(self.buckets, "h1", "h2")))
+            self.levels[at + 1].append(self._write(reduce(merged, (self.spark.table(n) for n, _ in old))))
             for name, path in old:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-                discard(self.spark, path)
+                self._drop(name, path)
             at += 1
 
+    def _drop(self, name: str, path: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(self.spark, path)
+
+    def close(self) -> None:
+        """Drop the runs that are in force; what was made from tables() must have been computed before."""
+        for level in self.levels:
+            for name, path in level:
+                self._drop(name, path)
+        self.levels = [[]]
+
     def kept(self) -> DataFrame:
         """(doc_id, kept_keys): the keys of which the document is the first holder. One row a key, so no hot key; a document's list is bounded by its own lines."""
         rows = reduce(DataFrame.unionByName, self.tables())
         return rows.groupBy("doc_id").agg(F.collect_list("h1").alias("kept_keys"))
 
 
+def merged(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two runs as one. No key is in both, so a full outer merge join of the same buckets, which moves nothing, takes all rows of either in order."""
+    right = right.withColumnRenamed("doc_id", "other")
+    return left.join(right, ["h1", "h2"], "full_outer").select("h1", "h2", F.coalesce("doc_id", "other").alias("doc_id"))
+
+
 def ranges(docs: DataFrame, batches: int) -> list[Column]:
     """Conditions that part docs into ascending doc_id ranges of about equal counts."""
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("c")).first()["c"] or []
@@ -110,7 +128,11 @@ def dropped(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, min_k
     for part in ranges(docs, batches):
         runs.add(docs.where(part))
     rest = F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(True).alias("_")).alias("rest")
-    joined = docs.select("doc_id", "text", rest).join(runs.kept(), "doc_id", "left")
+    kept = staged(runs.kept().withColumn("part", F.lit(0)))
+    runs.close()
+    # null ids have no runs; a second key keeps their rows apart
+    part = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).otherwise(0)
+    joined = docs.select("doc_id", "text", rest, part.alias("part")).join(kept, ["doc_id", "part"], "left")
     pairs = F.transform(
         lines_of(F.col("text")),
         lambda x: F.struct(x.alias("line"), F.when(F.char_length(line_key(x)) >= min_key, F.xxhash64(line_key(x))).alias("key")),
@@ -119,8 +141,13 @@ def dropped(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, min_k
     held = joined.select("doc_id", "rest", "kept_keys", pairs.alias("pairs"))
     gone = F.array_except(F.array_compact(F.col("pairs.key")), F.coalesce("kept_keys", none))
     marked = held.select("doc_id", "rest", "pairs", F.when(F.col("doc_id").isNull(), none).otherwise(gone).alias("gone"))
-    stay = F.filter("pairs", lambda p: p["key"].isNull() | ~F.array_contains(F.col("gone"), p["key"]))
-    split = marked.select("doc_id", "rest", F.size("pairs").alias("n_lines"), F.when(F.size("gone") > 0, stay).otherwise(F.col("pairs")).alias("stay"))
+    # long lists of keys are looked up in small parts by remainder, so that long documents stay far from lines times keys
+    parts = F.ceil(F.sqrt(F.size("gone"))).cast("int")
+    by_rest = F.transform(F.sequence(F.lit(0), parts - 1), lambda b: F.filter("gone", lambda g: F.pmod(g, parts) == b))
+    looked = marked.select("doc_id", "rest", "pairs", "gone", F.when(F.size("gone") > FEW, by_rest).alias("parts"))
+    there = lambda key: F.when(F.col("parts").isNull(), F.array_contains("gone", key)).otherwise(F.array_contains(F.get("parts", F.pmod(key, F.size("parts")).cast("int")), key))
+    stay = F.filter("pairs", lambda p: p["key"].isNull() | ~there(p["key"]))
+    split = looked.select("doc_id", "rest", F.size("pairs").alias("n_lines"), F.when(F.size("gone") > 0, stay).otherwise(F.col("pairs")).alias("stay"))
     return split.select(
         "doc_id",
         F.array_join("stay.line", "\n").alias("text"),

@@ -44,3 +44,10 @@ def test_levels_are_compacted(spark):
     assert [len(x) for x in runs.levels] == [0, 0, 1]
     rows = runs.tables()[0].collect()
     assert len(rows) == 5 and sorted(r["doc_id"] for r in rows) == [0, 0, 1, 2, 3]
+
+
+def test_many_lost_lines_are_looked_up_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FEW", 3)
+    shared = [f"a line that is shared, number {i}" for i in range(40)]
+    docs = [(1, "\n".join(shared)), (2, "\n".join(shared[::2] + ["a line of its own"] + shared[::-1])), (3, "short\n\n" + shared[7])]
+    assert found(line_dedup.dedup_lines(frame(spark, docs))) == brute(docs)
