@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from strataloom.llm import fingerprint as fp
 from strataloom.llm.common import WordHashes
@@ -57,3 +58,59 @@ def test_likeness_estimates_jaccard():
 def test_densification_fills_every_bin():
     minima = fp.one_permutation(np.array([5, 99], np.uint64))
     assert len(set(minima.tolist())) == 2
+
+
+def slow_print(text):
+    """The fingerprint by the definition: a bin at a time, in Python's integers."""
+    mask, memory = (1 << 64) - 1, WordHashes()
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    sets = []
+    for shingle in shingles(text, fp.WORDS):
+        total = len(shingle)
+        for word in shingle:
+            total = mix((total * 0x9E3779B97F4A7C15 + memory[word.encode()]) & mask)
+        sets.append(mix(total ^ 0x5BD1E995CAFEF00D))
+    if not sets:
+        return ""
+    bins = {}
+    for h in sets:
+        bins[h >> 56] = min(bins.get(h >> 56, mask), h & (1 << 56) - 1)
+    digits = ""
+    for i in range(fp.BINS):
+        at, probe = i, 0
+        while at not in bins:
+            probe += 1
+            at = mix((i * 0x9E3779B97F4A7C15 + probe * 0xD6E8FEB86659FD93) & mask) % fp.BINS
+        digits += f"{mix(bins[at]) & 15:x}"
+    return digits
+
+
+def test_fingerprints_and_likeness_against_the_definition(spark):
+    rng = random.Random(8)
+    docs = AWKWARD + [(100 + i, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice((2, 5, 40, 900))))) for i in range(12)]
+    rows = {r["doc_id"]: r for r in fp.fingerprints(frame(spark, docs)).collect()}
+    order = sorted(docs, key=lambda d: -d[0])
+    for (i, a), (_, b) in zip(order, order[1:] + order[:1], strict=True):
+        a, b, r = a or "", b or "", rows[i]
+        edited = slow_print(a[: len(a) - len(a) // 2] + b[: len(a) // 2])
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (slow_print(a), edited)
+        for name, other in (("near_edited", edited), ("near_next", slow_print(b))):
+            own = r["fingerprint"]
+            if not own or not other:
+                assert r[name] == float(own == other)
+            else:
+                same = sum(x == y for x, y in zip(own, other, strict=True)) / fp.BINS
+                assert abs(r[name] - max(0.0, (same - 1 / 16) / (15 / 16))) < 1e-12
+
+
+def test_parts_are_found_in_two_steps(spark):
+    cuts = [3 * k for k in range(1, 40)]
+    rows = spark.range(130).select("id", fp.part_of(F.col("id"), cuts).alias("p")).collect()
+    assert [r["p"] for r in rows] == [sum(c < r["id"] for c in cuts) for r in rows]
