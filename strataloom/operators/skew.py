@@ -18,24 +18,31 @@ def heavy_keys(values: DataFrame, size: str, total: int) -> DataFrame:
     return values.where(F.col(size) > F.lit(total / HEAVY))
 
 
+def heavy_hashes(values: DataFrame, key: str, size: str, total: int) -> list[int]:
+    """The hashes of the heavy keys, fewer than HEAVY numbers. A key is taken for heavy where its hash is among them, so a key that shares a heavy one's hash is treated alike."""
+    return sorted({r["h"] for r in heavy_keys(values, size, total).select(F.xxhash64(key).alias("h")).collect()}) if total > LIGHT else []
+
+
+def is_heavy(key: str, hashes: list[int]) -> Column:
+    return F.xxhash64(key).isin(hashes) if hashes else F.lit(False)
+
+
 def join_values(rows: DataFrame, values: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """rows joined with values (one row a key; `size`: its number of rows; total: of all rows). Heavy keys' values go to the rows, so no task gets more than one HEAVY-th of the rows, or LIGHT, by its key."""
-    if total <= LIGHT:
+    hashes = heavy_hashes(values, key, size, total)
+    if not hashes:
         return rows.join(values, key)
-    heavy = F.broadcast(heavy_keys(values, size, total))
-    light = rows.join(heavy.select(key), key, "left_anti").join(values.where(F.col(size) <= F.lit(total / HEAVY)), key)
-    return rows.join(heavy, key).unionByName(light)
+    heavy = is_heavy(key, hashes)
+    # a null key is heavy or light alike, and meets nothing
+    return rows.where(~heavy).join(values.where(~heavy), key).unionByName(rows.where(heavy).join(F.broadcast(values.where(heavy)), key))
 
 
-def salted(rows: DataFrame, heavy: DataFrame, key: str, spread: Column) -> DataFrame:
-    """rows with `salt`: rows of the keys in heavy (fewer than HEAVY) are dealt to SALTS parts by a hash of `spread`, others have 0."""
-    marks = F.broadcast(heavy.select(F.col(key).alias("_heavy")))
-    part = F.when(F.col("_heavy").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
-    return rows.join(marks, F.col(key) == F.col("_heavy"), "left").withColumn("salt", part).drop("_heavy")
+def salted(rows: DataFrame, hashes: list[int], key: str, spread: Column) -> DataFrame:
+    """rows with `salt`: rows of heavy keys are dealt to SALTS parts by a hash of `spread`, others have 0."""
+    return rows.withColumn("salt", F.when(is_heavy(key, hashes), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0))
 
 
-def replicated(rows: DataFrame, heavy: DataFrame, key: str) -> DataFrame:
-    """rows (one a key) with `salt`, repeated for each part of the keys in heavy."""
-    marks = F.broadcast(heavy.select(F.col(key).alias("_heavy")))
-    parts = F.when(F.col("_heavy").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return rows.join(marks, F.col(key) == F.col("_heavy"), "left").withColumn("salt", F.explode(parts)).drop("_heavy")
+def replicated(rows: DataFrame, hashes: list[int], key: str) -> DataFrame:
+    """rows (one a key) with `salt`, repeated for each part of heavy keys."""
+    parts = F.when(is_heavy(key, hashes), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("salt", F.explode(parts))

@@ -191,7 +191,8 @@ def test_heavy_keys_join_as_others_do(spark, monkeypatch):
     values = rows.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least"))
     got = {(r["k"], r["v"], r["n"], r["least"]) for r in skew.join_values(rows, values, "k", "n", 100).collect()}
     assert got == {(r["k"], r["v"], r["n"], r["least"]) for r in rows.join(values, "k").collect()} and len(got) == 100
-    heavy = skew.heavy_keys(values, "n", 100)
+    heavy = skew.heavy_hashes(values, "k", "n", 100)
+    assert len(heavy) == 1
     parts = skew.salted(rows, heavy, "k", F.col("v"))
     met = parts.join(skew.replicated(values, heavy, "k"), ["k", "salt"])
     assert met.count() == 100 and parts.where("k = 0").select("salt").distinct().count() > 10
