@@ -8,11 +8,16 @@ signature is a minimum over copied runs.
 128 coordinates give 32 bands of 4; two sets of similarity 0.8 share no band with probability below 1e-7.
 Documents with equal shingle sets collapse into one class first. Buckets of at most SMALL classes yield all
 their pairs. A larger bucket yields two links a member: to the bucket's smallest class and to the smallest
-of its salted subgroup. All links are confirmed on full shingle sets and joined into components. Where
-members of a large bucket are still in different components, the members of such buckets form families;
-every member outside its family's commonest component is then compared, on full sets and in cells of
-bounded size, with all of the family, and a cell returns only as many links as join its components. So no
-bucket is cut off, and none emits all its pairs.
+of its salted subgroup. All links are confirmed on full shingle sets and joined into components.
+
+Members that a large bucket leaves in different components are open. Two sets of similarity 0.8 share one of
+the rarest fifth of either's shingles, so open members meet again in buckets of these rare shingles: what
+they share with very many, such as a licence, brings nobody together. Small rare buckets yield all their pairs of
+different components. Where a rare shingle is itself shared by many, its holders form a family; every member
+outside its family's commonest component is then compared, on full sets and in cells of bounded size, with
+the members whose set's size is near its own, and a cell returns only as many links as join its components.
+So no bucket is cut off, and none emits all its pairs. Keys that a large share of all rows hold are joined
+without a shuffle by key (operators.skew).
 """
 
 from __future__ import annotations
@@ -24,16 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.llm.common import WordHashes, mixed, rows_of, shingles_of, staged
+from strataloom.operators.resolve import components as connected
+from strataloom.operators.skew import heavy_hashes, join_values, replicated, salted
 
 PERCENT = 80
 COORDINATES, ROWS = 128, 4
 UNIVERSE = 1 << 20
 #: Classes of a bucket that yields all pairs, and shingles on either side of a cell.
-SMALL, CELL = 16, 1 << 20
-#: Bits of the prefilter that the verification broadcasts: 2**26, that is 8 MB whatever the input.
-FILTER_BITS = 26
-#: Rounds of star contraction; each at least halves what is left of a path.
-ROUNDS = 60
+SMALL, CELL = 16, 1 << 18
+#: Bits of the prefilters that are broadcast: 2**26, that is 8 MB whatever the input; and slots in which shingles are counted.
+FILTER_BITS, SLOTS = 26, 1 << 18
 
 
 class Circulant:
@@ -85,14 +90,19 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(work, f"doc_id {kind}, n_shingles long, set_id binary, keys array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, n, shingles) of the documents in wanted (id). A bitmap of fixed size drops most other documents before their shingles are made."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)) + 1  # the bitmap functions count from 1
-    maps = wanted.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
+def bitmap(slots: DataFrame) -> np.ndarray:
+    """2**FILTER_BITS bits, set at the slots (from 1 on) of a table, packed from the lowest bit on."""
+    maps = slots.select(F.bitmap_bucket_number("slot").alias("b"), F.bitmap_bit_position("slot").alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
     bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for row in maps.collect():  # at most 2**26 / 32768 rows of 4 kB
         bits[(row["b"] - 1) * 4096 : row["b"] * 4096] = np.frombuffer(bytes(row["m"]), np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, n, shingles) of the documents in wanted (id). A bitmap of fixed size drops most other documents before their shingles are made."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)) + 1  # the bitmap functions count from 1
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(slot.alias("slot"))))
 
     def work(batches):
         memory = WordHashes()
@@ -111,74 +121,112 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b), staged, whose full sets have 100 * intersection >= percent * union. A class that very many pairs name first has its set repeated for SALTS parts of them."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    heavy = heavy_hashes(pairs.groupBy("a").agg(F.count("*").alias("size")), "a", "size", pairs.count())
+    met = salted(pairs, heavy, "a", F.col("b")).join(replicated(left, heavy, "a"), ["a", "salt"])
+    both = met.join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component_id) of every id in links (a, b): alternating large-star and small-star contraction, each round a map-side combined minimum and a join, with the rounds' few columns staged."""
-    edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    mark = None
-    for _ in range(ROUNDS):
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("s")).first()
-        if now["n"] == 0 or now == mark:
-            break
-        mark = now
-        both = edges.union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
-        large = both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = staged(small.union(down.select("hi", F.col("m").alias("lo"))).distinct())
-    else:
-        raise RuntimeError("component search did not settle")
-    return edges.groupBy("hi").agg(F.min("lo").alias("component_id")).withColumnRenamed("hi", "id")
+    """(id, component_id) of every id in links (a, b)."""
+    return connected(links, staged).withColumnRenamed("component", "component_id")
+
+
+def bucketed(rows: DataFrame) -> DataFrame:
+    """rows (key, id), staged, of keys that several ids share, with their number n and smallest id (leader), staged."""
+    sizes = staged(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1"))
+    return staged(join_values(rows, sizes, "key", "n", rows.count()))
 
 
 def first_links(members: DataFrame) -> DataFrame:
     """Candidate pairs (a, b), a < b, from bucket members (key, id, n, leader)."""
     tight = members.where(F.col("n") <= SMALL)
     pairs = tight.select("key", F.col("id").alias("a")).join(tight.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
-    wide = members.where(F.col("n") > SMALL).withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SMALL)))
-    heads = wide.groupBy("key", "salt").agg(F.min("id").alias("head"))
+    wide = members.where(F.col("n") > SMALL).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SMALL)))
+    heads = wide.groupBy("key", "part").agg(F.min("id").alias("head"))
     star = wide.select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    sub = wide.join(heads, ["key", "salt"]).select(F.col("head").alias("a"), F.col("id").alias("b"))
+    sub = wide.join(heads, ["key", "part"]).select(F.col("head").alias("a"), F.col("id").alias("b"))
     return pairs.union(star).union(sub).where("a < b").distinct()
 
 
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (key, id, n, leader) of the large buckets whose members lie in several components, with their component so far (c), staged."""
+    wide = members.where(F.col("n") > SMALL).join(labels, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
+    several = staged(wide.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("held")).where("x <> y").select("key", "held"))
+    return staged(join_values(wide, several, "key", "held", members.count()).drop("held"))
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id): of each set (id, n, shingles, ask), the rarest shingles among all sets, so many that two sets of the asked similarity have one in common; staged. Of sets that do not ask only those that an asking one may have too.
+
+    How rare a shingle is comes from counts of a fixed number of hash slots; any order would do, so slots that
+    are shared cost nothing but chance meetings. A set of n shares at least percent * n / 100 shingles with a
+    similar one, so n - that many + 1 of its shingles cannot all be missed.
+    """
+    spark = sets.sparkSession
+    slot = F.col("shingle").bitwiseAND(F.lit(SLOTS - 1))
+    counted = sets.select(F.explode("shingles").alias("shingle")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toArrow()  # at most SLOTS rows
+    often = np.zeros(SLOTS, np.int64)
+    often[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    rarity = spark.sparkContext.broadcast(often)
+
+    def chosen(ids: pa.Array, lists: pa.Array, bits: np.ndarray | None) -> pa.RecordBatch:
+        keys, counts = [], []
+        for own in lists:
+            s = np.asarray(own.values)
+            k = len(s) + 1 + -len(s) * percent // 100
+            first = s[np.lexsort((s, rarity.value[s & (SLOTS - 1)]))[:k]]
+            if bits is not None:
+                at = first & ((1 << FILTER_BITS) - 1)
+                first = first[bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
+            keys.append(first)
+            counts.append(len(first))
+        owners = ids.take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *keys])), owners], ["key", "id"])
+
+    shape = f"key long, id {sets.schema['id'].dataType.simpleString()}"
+    asked = staged(sets.where("ask").select("id", "shingles").mapInArrow(lambda batches: (chosen(i, s, None) for i, s in rows_of(batches, "id", "shingles")), shape))
+    marks = spark.sparkContext.broadcast(bitmap(asked.select((F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1).alias("slot"))))
+    told = sets.where("NOT ask").select("id", "shingles").mapInArrow(lambda batches: (chosen(i, s, marks.value) for i, s in rows_of(batches, "id", "shingles")), shape)
+    return staged(asked.unionByName(told))
+
+
 def families(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, c, family, ask) of the members of large buckets that the stars left in several components.
+    """(id, c, family, ask) of the members of large buckets that lie in several components.
 
     c is a member's component so far. Members that share such a bucket, directly or through others, are one
     family; ask is true for those outside the family's commonest component.
     """
-    wide = members.where(F.col("n") > SMALL).select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
-    mixed_keys = wide.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("id").alias("lead")).where("x <> y").select("key", "lead")
-    open_ = staged(wide.join(mixed_keys, "key"))
-    found = components(open_.select(F.col("lead").alias("a"), F.col("id").alias("b")))
+    open_ = open_members(members, labels)
+    found = components(open_.select(F.col("leader").alias("a"), F.col("id").alias("b")))
     each = open_.select("id", "c").distinct().join(found, "id", "left").select("id", "c", F.coalesce("component_id", "id").alias("family"))
     counts = each.groupBy("family", "c").count()
-    main = counts.groupBy("family").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-    return staged(each.join(main, "family").select("id", "c", "family", (F.col("c") != F.col("main")).alias("ask")))
+    main = counts.groupBy("family").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.sum("count").alias("size"))
+    each, main = staged(each), staged(main)
+    return staged(join_values(each, main, "family", "size", each.count()).select("id", "c", "family", (F.col("c") != F.col("main")).alias("ask")))
 
 
 def family_links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join components within families: every asking member against all members, on full shingle sets.
+    """Links (a, b) that join components within families: every asking member against all members whose set may be of similar size, on full shingle sets.
 
-    Askers and members meet in cells of about CELL shingles a side, dealt by a hash of the id. A cell gives as
-    many links as join the components it holds, not all pairs.
+    Members are put in classes of size (k), each percent of the next, so that similar sets are in the same or in
+    neighbouring classes. Askers and members meet in cells of about CELL shingles a side, dealt by a hash of
+    the id. A cell gives as many links as join the components it holds, not all pairs.
     """
-    weighed = found.join(sets, "id")
-    ask = F.col("ask")
-    sums = weighed.groupBy("family").agg(F.sum("n").alias("all"), F.sum(F.when(ask, F.col("n"))).alias("asked"))
-    grid = sums.select("family", F.ceil(F.col("all") / CELL).alias("ys"), F.ceil(F.col("asked") / CELL).alias("xs"))
-    placed = weighed.join(grid, "family").withColumn("x", F.pmod(F.xxhash64("id", F.lit(1)), "xs")).withColumn("y", F.pmod(F.xxhash64("id", F.lit(2)), "ys"))
-    columns = ["family", "x", "y", "id", "c", "n", "shingles", "asks"]
-    asking = placed.where(ask).withColumn("y", F.explode(F.expr("sequence(0, ys - 1)"))).withColumn("asks", F.lit(True)).select(columns)
-    told = placed.withColumn("x", F.explode(F.expr("sequence(0, xs - 1)"))).withColumn("asks", F.lit(False)).select(columns)
+    near = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
+    weighed = staged(found.join(sets, "id").withColumn("k", near))
+    asked = weighed.where("ask").withColumn("k", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)))
+    total = lambda d, name: d.groupBy("family", "k").agg(F.sum("n").alias(name))
+    grid = total(weighed, "all").join(total(asked, "asked"), ["family", "k"]).select(F.struct("family", "k").alias("g"), F.ceil(F.col("all") / CELL).alias("ys"), F.ceil(F.col("asked") / CELL).alias("xs"))
+    # the few groups that need more than one cell are marked by a broadcast; of others there are too many for it, but each is small
+    grid = staged(grid.withColumn("size", F.col("xs") * F.col("ys")))
+    placed = lambda d: join_values(d.withColumn("g", F.struct("family", "k")), grid, "g", "size", grid.agg(F.coalesce(F.sum("size"), F.lit(1))).first()[0])
+    columns = ["g", "x", "y", "id", "c", "n", "shingles", "asks"]
+    asking = placed(asked).withColumn("x", F.pmod(F.xxhash64("id", F.lit(1)), "xs")).withColumn("y", F.explode(F.expr("sequence(0, ys - 1)"))).withColumn("asks", F.lit(True)).select(columns)
+    told = placed(weighed).withColumn("y", F.pmod(F.xxhash64("id", F.lit(2)), "ys")).withColumn("x", F.explode(F.expr("sequence(0, xs - 1)"))).withColumn("asks", F.lit(False)).select(columns)
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         q, d = group[group.asks], group[~group.asks]
@@ -211,7 +259,36 @@ def family_links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         out.append((min(i, ids[k]), max(i, ids[k])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return asking.unionByName(told).groupBy("family", "x", "y").applyInPandas(meet, "a long, b long")
+    return asking.unionByName(told).groupBy("g", "x", "y").applyInPandas(meet, "a long, b long")
+
+
+def open_links(members: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Links that the stars of large buckets missed; None where no large bucket lies in several components."""
+    left = staged(open_members(members, labels).select("id", "c").distinct())
+    main = left.groupBy("c").count().orderBy(F.desc("count"), "c").first()
+    if main is None:
+        return None
+    left = left.withColumn("ask", F.col("c") != main["c"])  # of two components one at least is not the commonest
+    sets = staged(shingle_sets(docs, left.select("id"), words).join(left, "id"))
+    rare = bucketed(rare_shingles(sets, percent))
+    sized = rare.where(F.col("n") <= SMALL).select("key", "id").join(sets.select("id", "c", F.col("n").alias("size")), "id")
+    other = sized.select("key", F.col("id").alias("b"), F.col("c").alias("d"), F.col("size").alias("m"))
+    near = (F.col("size") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("size") * percent)
+    pairs = staged(sized.withColumnRenamed("id", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near).select("a", "b").distinct())
+    links = staged(confirmed(pairs, sets, percent))
+    large = families(rare, labels)
+    return links if large.isEmpty() else links.union(staged(family_links(large, sets.select("id", "n", "shingles"), percent)))
+
+
+def relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """labels (id, component_id) after more links (a, b), staged: the components that these join are searched among one another, not all links anew."""
+    named = staged(labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("component_id"))))
+    end = lambda side: named.select(F.col("id").alias(side), F.col("component_id").alias(f"c{side}"))
+    joined = more.join(end("a"), "a").join(end("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    above = staged(components(joined)).select(F.col("id").alias("component_id"), F.col("component_id").alias("above"))
+    heavy = heavy_hashes(named.groupBy("component_id").agg(F.count("*").alias("size")), "component_id", "size", named.count())
+    found = salted(named, heavy, "component_id", F.col("id")).join(replicated(above, heavy, "component_id"), ["component_id", "salt"], "left")
+    return staged(found.select("id", F.coalesce("above", "component_id").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -225,25 +302,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) ->
     """
     docs = docs.select("doc_id", "text")
     seen = staged(profiles(docs, words))
-    classes = staged(
-        seen.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
-    )
-    rows = classes.select("id", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
-    members = staged(rows.join(sizes, "key"))
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    classes = staged(seen.where(linked).groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
+    members = bucketed(staged(classes.select("id", F.explode("keys").alias("key"))))
     pairs = staged(first_links(members))
-    ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = staged(confirmed(pairs, staged(shingle_sets(docs, ids(pairs), words)), percent))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = staged(confirmed(pairs, staged(shingle_sets(docs, ids, words)), percent))
     labels = staged(components(links))
-    left = families(members, labels)
-    if not left.isEmpty():
-        more = staged(family_links(left, staged(shingle_sets(docs, left.select("id"), words)), percent))
-        labels = staged(components(links.union(more)))
-    found = classes.select("set_id", "id").join(labels, "id", "left").select("set_id", F.coalesce("component_id", "id").alias("c"))
-    # one row a class, so the few hot classes of equal sets are split by the join, not by a group
-    out = seen.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("c")), F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    more = open_links(members, labels, docs, words, percent)
+    if more is not None:
+        labels = relabelled(labels, more)
+    found = staged(classes.select("set_id", "id", "copies").join(labels, "id", "left").select("set_id", "copies", F.coalesce("component_id", "id").alias("component_id")))
+    rows = seen.select("doc_id", "n_shingles", "set_id")
+    several = join_values(rows.where(linked), found, "set_id", "copies", rows.count()).select("doc_id", "n_shingles", "component_id")
+    alone = rows.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return several.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

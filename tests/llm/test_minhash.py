@@ -43,3 +43,37 @@ def test_signatures_estimate_similarity():
         y = np.concatenate([x[:270], rng.integers(0, 2**63, 30).astype(np.uint64)])
         errors.append((c.signature(x) == c.signature(y)).mean() - 270 / 330)
     assert abs(np.mean(errors)) < 0.03
+
+
+def test_a_passage_that_many_texts_share(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 3)  # so that buckets count as large
+    monkeypatch.setattr(minhash, "CELL", 300)  # and families fill several cells
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    licence, docs = words(60), []
+    for i in range(40):
+        own = words(rng.choice((4, 8, 12, 16, 30)))
+        docs.append((i, " ".join(own + licence)))
+        if i % 4 == 0:
+            changed = own[:-1] + words(1)
+            docs.append((100 + i, " ".join(changed + licence)))
+    got = found(minhash.near_duplicates(frame(spark, docs), words=4))
+    assert got == wanted(docs, 4) and len({c for _, c, _ in got.values()}) > 10
+
+
+def test_rare_shingles_meet(spark):
+    rng = random.Random(6)
+    sets = [(i, sorted(rng.sample(range(60), 20))) for i in range(30)]
+    sets += [(100 + i, sorted(set(s[1:]) | {70 + i})) for i, s in sets[:10]]
+    df = spark.createDataFrame([(i, len(s), s, i % 3 == 0) for i, s in sets], "id long, n long, shingles array<long>, ask boolean")
+    rare = {i: set() for i, _ in sets}
+    for r in minhash.rare_shingles(df, 80).collect():
+        rare[r["id"]].add(r["key"])
+    met = 0
+    for i, a in sets:
+        for j, b in sets:
+            common = len(set(a) & set(b))
+            if i < j and (i % 3 == 0 or j % 3 == 0) and 100 * common >= 80 * (len(a) + len(b) - common):
+                assert rare[i] & rare[j]
+                met += 1
+    assert met and all(len(v) == 5 for i, v in rare.items() if i < 100 and i % 3 == 0)
