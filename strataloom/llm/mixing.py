@@ -145,7 +145,9 @@ def sampled(docs: DataFrame, fraction: float = FRACTION, exponent: float = EXPON
     """The rows of docs that mix keeps, with docs' columns."""
     measured = staged(docs.select(*cell_keys(topic), token_count(F.col("text")).alias("tokens")))
     cells = plan_mix(measured, fraction, exponent).select(F.struct(*MARGINS).alias("cell"), F.col("probability").alias("p"))
-    return docs.join(cells, F.struct(*cell_keys(topic)) == F.col("cell")).where(chance(docs["doc_id"]) < F.col("p")).select(*(docs[c] for c in docs.columns))
+    # docs' own columns stay in a struct, whatever their names
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.struct(*cell_keys(topic)).alias("cell"), chance(F.col("doc_id")).alias("chance"))
+    return marked.join(cells, "cell").where("chance < p").select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
