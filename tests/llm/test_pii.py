@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from strataloom.llm import pii
@@ -111,3 +112,78 @@ def test_short_secrets_find_free_surrogates(spark):
     got = texts(spark, [(i, f"password = {i}") for i in range(10)])
     made = [got[i]["text"] for i in range(10)]
     assert len(set(made)) == 10 and not set(made) & {f"password = {i}" for i in range(10)}
+
+
+# ---------------------------------------------------------------- brute force over all kinds
+
+
+def numbers(kind, value, attempt=0):
+    seed = f"{pii.KEY}:{kind}:{attempt}:{value}"
+    digits = hashlib.sha256(seed.encode()).hexdigest() + hashlib.sha256(f"2{seed}".encode()).hexdigest()
+    return digits, lambda i: int(digits[2 * (i % 64) : 2 * (i % 64) + 2], 16)
+
+
+def letters(text, at):
+    if re.fullmatch(r"(?=.*[a-f])[0-9a-f]+", text):
+        return "".join("0123456789abcdef"[at(i) % 16] for i in range(len(text)))
+    out = ""
+    for i, c in enumerate(text):
+        out += str(at(i) % 10) if c in "0123456789" else chr(65 + at(i) % 26) if c.isupper() else chr(97 + at(i) % 26) if c.isalpha() else c
+    return out
+
+
+def check_sum(digits):
+    total = 0
+    for i, d in enumerate(map(int, reversed(digits))):
+        total += d if i % 2 == 0 else d * 2 - 9 * (d > 4)
+    return total
+
+
+def replaced(kind, raw):
+    """What stands in place of one entity, worked out from the definition."""
+    if kind == "email":
+        value = raw.lower()
+        digits, at = numbers(kind, value)
+        local, domain = value.split("@")
+        back = digits[::-1]
+        return letters(local, at) + "@" + letters(domain.rsplit(".", 1)[0], lambda i: int(back[2 * (i % 64) : 2 * (i % 64) + 2], 16)) + ".example"
+    if kind == "ip":
+        _, at = numbers(kind, raw)
+        return f"{1 + at(0) % 223}.{at(1)}.{at(2)}.{1 + at(3) % 254}"
+    if kind == "secret":
+        return letters(raw, numbers(kind, raw)[1])
+    value = re.sub("[^0-9+]" if kind == "phone" else "[^0-9]", "", raw)
+    _, at = numbers(kind, value)
+    if kind == "phone":
+        kept = 2 if re.match("[+][17]", value) else 3 if re.match("[+]|00[17]", value) else 4 if value.startswith("00") else 1 if value.startswith("0") else 0
+        new = value[:kept] + letters(value[kept:], at)
+    else:
+        body = value[0] + letters(value, at)[1:-1]
+        new = body + str(-check_sum(body + "0") % 10)
+    digits = iter(new.replace("+", ""))
+    return "".join(next(digits) if c.isdigit() else c for c in raw)
+
+
+ENTITIES = {
+    "email": ["Ann.Bee@mail.example.com", "x_1@a.org"],
+    "phone": ["+10175557713", "+1 017 555 7713", "+1 0175557713", "+49 (30) 123 4567", "+1.017.555.7713", "(555) 555-1234", "0044 20 7946 0958"],
+    "ip": ["10.1.2.33", "255.0.0.1"],
+    "card": ["4111111111111111", "4111 1111 1111 1111", "3782-822463-10005"],
+    "secret": ["hunter2x", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"],
+}
+
+
+def test_every_kind_against_brute_force(spark):
+    templates = {"secret": 'set password = "{}" now'}
+    docs, wanted, k = [], {}, 0
+    for kind, values in ENTITIES.items():
+        for raw in values:
+            template = templates.get(kind, "before {} after, and {} again\n")
+            k += 1
+            docs.append((k, template.replace("{}", raw)))
+            wanted[k] = template.replace("{}", replaced(kind, raw))
+    rows = {r["doc_id"]: r["text"] for r in pii.surrogate_texts(frame(spark, docs)).collect()}
+    assert rows == wanted
+    # one number in three ways of writing has one surrogate
+    assert len({re.sub("[^0-9+]", "", replaced("phone", p)) for p in ENTITIES["phone"][:3]}) == 1
+    assert all(check_sum(re.sub("[^0-9]", "", replaced("card", c))) % 10 == 0 for c in ENTITIES["card"])
