@@ -139,7 +139,7 @@ INDEX_COLUMNS = ["shard", "term", "n_docs", "n_occurrences", "postings"]
 
 
 def built(docs: DataFrame, shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """The index of docs (doc_id, text): a header row a shard (term null; n_docs: documents with a term; n_occurrences: of all terms; postings: ids, marks of missing ids and lengths) and a row a term of each shard. No rows are shuffled: a task makes the shards of what it reads."""
+    """The index of docs (doc_id, text), stored in the shared folder: a header row a shard (term null; n_docs: documents with a term; n_occurrences: of all terms; postings: ids, marks of missing ids and lengths) and a row a term of each shard. No rows are shuffled: a task makes the shards of what it reads."""
 
     def work(batches):
         growing, n = Growing(), 0
@@ -155,7 +155,7 @@ def built(docs: DataFrame, shard_bytes: int = SHARD_BYTES, shard_docs: int = SHA
             yield growing.batch(task + n)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(work, "shard long, term string, n_docs long, n_occurrences long, postings binary")
+    return staged(rows.mapInArrow(work, "shard long, term string, n_docs long, n_occurrences long, postings binary"))
 
 
 # ---------------------------------------------------------------- search
@@ -318,5 +318,5 @@ def search_block(index: DataFrame, terms: DataFrame, n_docs: int, n_words: int,
 
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    found = search(staged(built(docs)), items.select(F.col("item_id").alias("query"), "text"))
+    found = search(built(docs), items.select(F.col("item_id").alias("query"), "text"))
     return found.select(F.col("query").alias("item_id"), "rank", "doc_id", "score")
