@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,9 @@ from strataloom.functions.normalize import full_url, url_parts
 from strataloom.functions.predicates import Searchable, ordering, page, predicate
 from strataloom.operators.enrich import shortened
 from strataloom.operators.graph import newest_files, thumbnail
+from strataloom.operators.lineage import checkpointed
 from strataloom.operators.tags import Tagged, tag_filter
+from strataloom.operators.wordindex import WordIndex
 
 ADDRESS = re.compile(r"(?is)^(?:https?://)?(?:www\.)?instagram\.com/+([^?#]+)|^(?:https?://)?scontent[^/]*\.cdninstagram\.com/v/([^?]+)")
 HANDLE = re.compile(r"[A-Za-z0-9._]{1,30}")
@@ -52,6 +54,8 @@ class Library:
     sessions: DataFrame
     session_media: DataFrame
     tagged: Tagged | None = None
+    #: Word indexes by table. A table without one is read and split in full by every word search.
+    indexes: Mapping[str, WordIndex] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -108,7 +112,7 @@ def indexed(mode: Mode) -> Column:
     return fulltext.tokens(*(url_parts(F.col(c)) if c == "url_suffix" else F.col(c) for c in mode.words))
 
 
-def matching(request: Request, rows: DataFrame, mode: Mode) -> tuple[DataFrame, Column | None]:
+def matching(request: Request, rows: DataFrame, mode: Mode, index: WordIndex | None = None) -> tuple[DataFrame, Column | None]:
     """The rows that meet the term, and by what they are ranked where that is a word search."""
     term, address = request.term, address_of(request.term)
     if address:
@@ -122,17 +126,23 @@ def matching(request: Request, rows: DataFrame, mode: Mode) -> tuple[DataFrame,
         return rows, None
     handle = handle_of(term) if mode.table == "accounts" else None
     asked = fulltext.boolean_query(handle or term)
+    # stored with and without a closing slash
+    named = F.coalesce(F.arrays_overlap("identifiers", F.array(F.lit(f"url_{handle}"), F.lit(f"url_{handle}/"))), F.lit(False)) if handle else F.lit(False)
+    if index is not None:
+        hits = index.matching(asked).select(F.col("id").alias("_id"), F.col("relevance").alias("_rank"))
+        there = rows.join(hits, rows[mode.id] == hits["_id"], "left" if handle else "inner")
+        if handle:  # a row that only its name finds still holds some of the words
+            there = there.where(F.col("_id").isNotNull() | named).withColumn("_rank", F.coalesce("_rank", fulltext.relevance(asked, indexed(mode))))
+        return there.drop("_id"), F.col("_rank").desc() if mode.ranked else None
     there = rows.withColumn("_words", indexed(mode))
-    hit = fulltext.matches(asked, F.col("_words"))
-    if handle:  # stored with and without a closing slash
-        hit = hit | F.coalesce(F.arrays_overlap("identifiers", F.array(F.lit(f"url_{handle}"), F.lit(f"url_{handle}/"))), F.lit(False))
+    hit = fulltext.matches(asked, F.col("_words")) | named
     return there.where(hit).withColumn("_rank", fulltext.relevance(asked, F.col("_words"))).drop("_words"), F.col("_rank").desc() if mode.ranked else None
 
 
 def found(request: Request, library: Library) -> DataFrame:
     """One page of the table that the mode searches, with `place`; filters and the semi-join to the tags come before the top-k."""
     mode = MODES[request.mode]
-    rows, ranked = matching(request, getattr(library, mode.table), mode)
+    rows, ranked = matching(request, getattr(library, mode.table), mode, library.indexes.get(mode.table))
     if request.filters:
         rows = rows.where(predicate(request.filters, mode.filters))
     if request.tag_ids and mode.entity:
@@ -165,7 +175,7 @@ def results(request: Request, library: Library) -> DataFrame:
     """
     if request.mode not in MODES:
         request = Request("accounts", page_size=0)
-    rows = F.broadcast(found(request, library))  # one page
+    rows = F.broadcast(checkpointed(found(request, library)))  # one page, worked out once for all that is joined to it
     media = library.media.where("local_url IS NOT NULL")
     owner = library.accounts.select(F.col("id").alias("account_id"), F.col("display_name").alias("_name"), F.col("url_suffix").alias("_suffix"), F.col("platform").alias("_platform"))
     url, account_url = full_url(F.col("url_suffix"), F.col("platform")), full_url(F.col("_suffix"), F.col("_platform"))

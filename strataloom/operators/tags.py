@@ -77,7 +77,8 @@ def tag_filter(t: Tagged, entity: str, tag_ids: list[int], mode: str = "any", sc
     spark = t.edges.sparkSession
     wanted = sorted(set(tag_ids))
     seeds = spark.createDataFrame([(i,) for i in wanted], "id long")
-    below = (closure if t.cyclic else descendants)(t.edges, seeds).select("root_id", F.col("id").alias("tag_id"))
+    # worked out once for all scopes
+    below = checkpointed((closure if t.cyclic else descendants)(t.edges, seeds).select("root_id", F.col("id").alias("tag_id")))
     found = reduce(DataFrame.unionByName, (BRANCHES[entity, s](t).join(below, "tag_id").select("matched_id", "root_id") for s in scopes_of(entity, scopes)))
     found = found.where("matched_id IS NOT NULL")
     if mode != "all" or len(wanted) == 1:

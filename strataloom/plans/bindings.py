@@ -5,9 +5,14 @@ Each function has a SQL twin in SQL, under the same name, for the oracles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.operators.lineage import shared_root
+from strataloom.operators.wordindex import WordIndex, index_of
+
 #: Interaction kinds by event type.
 KINDS = {"view": "follow", "click": "suggested", "purchase": "comment", "signup": "tag"}
 
@@ -16,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_index(spark: SparkSession, sf_dir: str, source: str, rows: DataFrame, id_: str, words: Column) -> WordIndex:
+    """The word index of rows that come from table `source`, stored once a session and state of the table's files."""
+    files = table(spark, sf_dir, source).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0]
+    key = hashlib.sha256(f"{spark.sparkContext.applicationId} {sf_dir} {source} {id_} {words} {state}".encode()).hexdigest()[:24]
+    return index_of(spark, f"{shared_root(spark)}/words-{key}", rows, id_, words)
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("display_name"), F.lower(F.replace("c_name", F.lit("#"), F.lit("_"))).alias("url_suffix"), F.col("c_mktsegment").alias("bio"), F.col("c_acctbal").alias("balance")

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.operators import enrich, lookup, tags
 from strataloom.operators import graph as g
-from strataloom.operators.search import Library, Request, results
+from strataloom.operators.search import MODES, Library, Request, results
+from strataloom.operators.search import indexed as words_of
 from strataloom.plans import bindings as b
 from strataloom.plans.graph import SCOPES
 from strataloom.plans.query import query, stated
 
 
-def library(spark: SparkSession, sf_dir: str) -> Library:
+#: The driver's tables whose files tell the state of searched tables.
+SOURCES = {"accounts": "customer", "posts": "orders"}
+
+
+def library(spark: SparkSession, sf_dir: str, *indexed: str) -> Library:
+    """The searched tables, the named ones with their word indexes."""
     tagged = tags.Tagged(
         b.tag_edges(spark, sf_dir), b.account_tags(spark, sf_dir), b.post_tags(spark, sf_dir), b.media_tags(spark, sf_dir), b.posts(spark, sf_dir), b.media(spark, sf_dir), b.part_tags(spark, sf_dir), b.media_parts(spark, sf_dir)
     )
-    return Library(b.full_accounts(spark, sf_dir), b.full_posts(spark, sf_dir), b.full_media(spark, sf_dir), b.sessions(spark, sf_dir), b.session_media(spark, sf_dir), tagged)
+    held = Library(b.full_accounts(spark, sf_dir), b.full_posts(spark, sf_dir), b.full_media(spark, sf_dir), b.sessions(spark, sf_dir), b.session_media(spark, sf_dir), tagged)
+    modes = {m.table: m for m in MODES.values()}
+    return replace(held, indexes={t: b.word_index(spark, sf_dir, SOURCES[t], getattr(held, t), modes[t].id, words_of(modes[t])) for t in indexed})
 
 
 PARTS = "SELECT media_key, tag_id FROM part_tags JOIN media_parts USING (part_id)"
@@ -90,7 +100,7 @@ def search_accounts_handle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words without signs beside one with a sign are options; the more of them a row holds the earlier it comes."""
     asked = Request("posts", "2 high low -medium", {">=": [{"var": "publication_date"}, "1996-02-01T00:00:00Z"]}, 1, 40, (5, 1002, 5), "all", ("account", "post", "media", "media_part"), "caption", "asc")
-    return flat(results(asked, library(spark, sf_dir)), "account_display_name", "account_url")
+    return flat(results(asked, library(spark, sf_dir, "posts")), "account_display_name", "account_url")
 
 
 @query(

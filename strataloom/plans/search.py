@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from strataloom.functions.normalize import full_url, parsed_url
 from strataloom.functions.predicates import Searchable, like_literal, ordering, page, predicate
 from strataloom.operators import enrich
 from strataloom.operators.graph import newest_files
+from strataloom.operators.lineage import shared_root
+from strataloom.operators.wordindex import WordIndex
 from strataloom.plans import bindings as b
 from strataloom.plans.query import query, stated
 
@@ -46,10 +50,12 @@ def words() -> Column:
 WORDS = "SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '') AS w FROM documents"
 
 
+def word_index(spark: SparkSession, sf_dir: str) -> WordIndex:
+    return b.word_index(spark, sf_dir, "documents", b.table(spark, sf_dir, "documents"), "doc_id", words())
+
+
 def found(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    asked = fulltext.boolean_query(text)
-    rows = b.table(spark, sf_dir, "documents").select("doc_id", words().alias("w"))
-    return rows.where(fulltext.matches(asked, F.col("w"))).select("doc_id", fulltext.relevance(asked, F.col("w")).alias("relevance"))
+    return word_index(spark, sf_dir).matching(fulltext.boolean_query(text)).withColumnRenamed("id", "doc_id")
 
 
 def found_sql(test: str, wanted: str) -> str:
@@ -76,6 +82,38 @@ def search_fulltext_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir, '+"all rights reserved"')
 
 
+def best_sql(words: str, k: int) -> str:
+    return stated(
+        f"""SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INT AS place, doc_id, score FROM (SELECT doc_id, sum(tf * w)::BIGINT AS score FROM tf JOIN weight USING (word) GROUP BY doc_id)
+        WHERE score > 0 QUALIFY place <= {k}""",
+        words=WORDS,
+        tf=f"SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS word FROM words) WHERE word IN ({words}) GROUP BY 1, 2",
+        weight="SELECT word, floor(1000 * ln((2 * (SELECT count(*) FROM documents) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf GROUP BY word",
+    )
+
+
+@query(best_sql("'license', 'the', 'public', 'software'", 50))
+def search_fulltext_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that rank highest for four words, rare ones counting more."""
+    return word_index(spark, sf_dir).best(["license", "the", "public", "software"], 50).withColumnRenamed("id", "doc_id")
+
+
+@query(found_sql("(list_contains(w, 'license') OR len(list_filter(w, lambda x: starts_with(x, 'soft'))) > 0) AND NOT contains(' ' || array_to_string(w, ' ') || ' ', ' all rights ')", "'license', 'soft'"))
+def search_fulltext_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two options, one of them a start of words, without a phrase."""
+    return found(spark, sf_dir, 'license soft* -"all rights"')
+
+
+@query("SELECT word, count(*) AS n_docs, sum(tf)::BIGINT AS n FROM (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '')) AS word FROM documents) GROUP BY 1, 2) GROUP BY word")
+def word_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of an index that was filled in two batches: the second adds the documents that the first lacks, and one that it has is left out."""
+    docs = b.table(spark, sf_dir, "documents")
+    index = WordIndex(spark, f"{shared_root(spark)}/words-{uuid.uuid4().hex}")
+    index.add(docs.where("doc_id % 3 > 0"), "doc_id", words(), 0).add(docs, "doc_id", words(), 1)
+    rows = index.all_postings()
+    return rows.groupBy(F.col("term").alias("word")).agg(F.sum("n").alias("n_docs"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)).alias("n"))
+
+
 @query(stated("SELECT id, 'https://www.instagram.com/' || url_suffix AS url FROM accounts", "accounts"))
 def search_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts found by their addresses, as typed with and without scheme, query and closing slash."""
