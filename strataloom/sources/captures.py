@@ -15,21 +15,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.sources import har
+from strataloom.sources.har import opened
+
 HEADERS = "array<struct<name: string, value: string>>"
-HAR = f"""log struct<entries: array<struct<
-  startedDateTime: string,
-  request: struct<method: string, url: string, headers: {HEADERS}, postData: struct<text: string, params: {HEADERS}>>,
-  response: struct<status: int, headers: {HEADERS}, content: struct<mimeType: string, text: string, encoding: string>>>>>"""
+ENTRY = f"""startedDateTime string,
+  request struct<method: string, url: string, headers: {HEADERS}, postData: struct<text: string, params: {HEADERS}>>,
+  response struct<status: int, headers: {HEADERS}, content: struct<mimeType: string, text: string, encoding: string>>"""
 #: Headers that a sanitised capture lacks, in lower case. Fixed values.
 SECRET_HEADERS = ("authorization", "cookie", "set-cookie", "x-csrftoken")
 #: Bytes of a WACZ archive that a task reads at once, about; rows and bytes of a frame of responses.
 RANGE, FRAME_ROWS, FRAME_BYTES = 64 << 20, 256, 8 << 20
 
 
-def har_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(source, place, request, response) of the entries of HAR files, in order; files that are no JSON give none."""
-    files = spark.read.schema(HAR).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("source", F.input_file_name())
-    return files.select("source", F.posexplode("log.entries").alias("place", "e")).select("source", "place", "e.request", "e.response")
+def har_entries(spark: SparkSession, path: str, size: int = har.RANGE) -> DataFrame:
+    """(source, place, request, response) of the entries of HAR files, read in ranges of `size` bytes; place is an entry's byte in its file, and orders them. Files that are no JSON give none, a file that breaks off gives the entries before that."""
+    spark.dataSource.register(har.HarSource)
+    rows = spark.read.format("har").option("range", size).load(path)
+    return rows.select("source", "place", F.from_json("entry", ENTRY).alias("e")).where("e.request IS NOT NULL").select("source", "place", "e.request", "e.response")
 
 
 def body_bytes(content: Column) -> Column:
@@ -111,16 +114,6 @@ def values_at_key(texts: pd.Series, keys: pd.Series) -> pd.Series:
     return pd.Series([of(t, k) for t, k in zip(texts, keys, strict=True)])
 
 
-def opened(path: str):
-    """A file on the shared path, or in a store that pyarrow knows, for reading at any place."""
-    if "://" in path and not path.startswith("file:"):
-        from pyarrow import fs
-
-        store, inner = fs.FileSystem.from_uri(path)
-        return store.open_input_file(inner)
-    return open("/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path, "rb")
-
-
 class Span(io.RawIOBase):
     """The bytes [start, end) of a file."""
 
