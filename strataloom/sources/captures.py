@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 import json
-import re
-import struct
-import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.sources import har
-from strataloom.sources.har import opened
 
 HEADERS = "array<struct<name: string, value: string>>"
 ENTRY = f"""startedDateTime string,
@@ -24,8 +19,6 @@ ENTRY = f"""startedDateTime string,
   response struct<status: int, headers: {HEADERS}, content: struct<mimeType: string, text: string, encoding: string>>"""
 #: Headers that a sanitised capture lacks, in lower case. Fixed values.
 SECRET_HEADERS = ("authorization", "cookie", "set-cookie", "x-csrftoken")
-#: Bytes of a WACZ archive that a task reads at once, about; rows and bytes of a frame of responses.
-RANGE, FRAME_ROWS, FRAME_BYTES = 64 << 20, 256, 8 << 20
 
 
 def har_entries(spark: SparkSession, path: str, size: int = har.RANGE) -> DataFrame:
@@ -40,17 +33,25 @@ def body_bytes(content: Column) -> Column:
     return F.when(content["encoding"] == "base64", F.try_to_binary(content["text"], F.lit("base64"))).otherwise(content["text"].cast("binary"))
 
 
+#: Routes of responses, the first that fits: what the address matches, and what the content type starts with. Fixed values.
+ROUTES = {
+    "graphql": (r"/graphql", None),
+    "api": (r"/api/v1/(media|friendships|feed|clips)/", None),
+    "video": (r"(?i)\.mp4(\?|$)", "video/"),
+    "photo": (r"(?i)\.(jpe?g|png|webp|heic)(\?|$)", "image/"),
+    "page": (None, "text/html"),
+}
+
+
 def routed(entries: DataFrame) -> DataFrame:
     """entries with `route`: graphql, api, video, photo, page or null, by address and content type."""
     url, mime = F.col("request.url"), F.coalesce(F.col("response.content.mimeType"), F.lit(""))
-    route = (
-        F.when(url.contains("/graphql") | url.contains("/api/graphql"), "graphql")
-        .when(url.rlike(r"/api/v1/(media|friendships|feed|clips)/"), "api")
-        .when(mime.startswith("video/") | url.rlike(r"(?i)\.mp4(\?|$)"), "video")
-        .when(mime.startswith("image/") | url.rlike(r"(?i)\.(jpe?g|png|webp|heic)(\?|$)"), "photo")
-        .when(mime.startswith("text/html"), "page")
-    )
-    return entries.withColumn("route", route)
+    found = F.lit(None).cast("string")
+    for route, (address, start) in reversed(ROUTES.items()):
+        tests = [url.rlike(address)] if address else []
+        tests += [mime.startswith(start)] if start else []
+        found = F.when(reduce(lambda a, b: a | b, tests), route).otherwise(found)
+    return entries.withColumn("route", found)
 
 
 def sanitised(entries: DataFrame) -> DataFrame:
@@ -76,9 +77,13 @@ def page_title(html: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
 
 
+#: A JSON block of a page.
+SCRIPT = r"""(?is)<script[^>]*type=["']application/json["'][^>]*>(.*?)</script>"""
+
+
 def page_scripts(html: Column) -> Column:
     """The JSON blocks of a page."""
-    return F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type=["']application/json["'][^>]*>(.*?)</script>"""), 1)
+    return F.regexp_extract_all(html, F.lit(SCRIPT), 1)
 
 
 def page_links(html: Column) -> Column:
@@ -91,164 +96,29 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]+>", " "), r"\s+", " "))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def values_at_key(texts: pd.Series, keys: pd.Series) -> pd.Series:
+def values_under(text: str | None, key: str) -> list[str]:
     """The values, as JSON, that stand under a key anywhere in a JSON text, outermost first; none where the text is no JSON."""
 
-    def find(node: object, key: str) -> Iterator[object]:
+    def find(node: object) -> Iterator[object]:
         if isinstance(node, dict):
             if key in node:
                 yield node[key]
             for value in node.values():
-                yield from find(value, key)
+                yield from find(value)
         elif isinstance(node, list):
             for value in node:
-                yield from find(value, key)
-
-    def of(text: str | None, key: str) -> list[str]:
-        try:
-            return [json.dumps(v, sort_keys=True, ensure_ascii=False) for v in find(json.loads(text or "null"), key)]
-        except (ValueError, RecursionError):
-            return []
-
-    return pd.Series([of(t, k) for t, k in zip(texts, keys, strict=True)])
-
-
-class Span(io.RawIOBase):
-    """The bytes [start, end) of a file."""
-
-    def __init__(self, file, start: int, end: int):
-        self.file, self.left = file, end - start
-        file.seek(start)
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, target) -> int:
-        data = self.file.read(min(len(target), self.left))
-        target[: len(data)] = data
-        self.left -= len(data)
-        return len(data)
-
-
-def wacz_ranges(files: DataFrame, size: int = RANGE) -> DataFrame:
-    """(path, member, base, start, end) of the WARC files in WACZ archives (path), cut at record starts that the archive's CDX names, about every `size` bytes.
-
-    The ranges of a WARC file cover all of it, so records that no index names are in them too. base is where a
-    stored file lies in the archive; a file that the zip compresses has none and is one range, as is one without an index.
-    """
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path in batch["path"]:
-                with opened(path) as file, zipfile.ZipFile(file) as z:
-                    rows = [(path, *r) for r in ranges_in(file, z, size)]
-                frame = pd.DataFrame(rows, columns=["path", "member", "base", "start", "end"])
-                yield frame.astype({"base": "int64", "start": "int64", "end": "int64"})
-
-    return files.select("path").mapInPandas(work, "path string, member string, base long, start long, end long")
-
-
-def ranges_in(file, z: zipfile.ZipFile, size: int) -> Iterator[tuple[str, int, int, int]]:
-    """base is -1 for files that the zip compresses."""
-    cuts: dict[str, dict[int, int]] = {}
-    for name in z.namelist():
-        if name.startswith("indexes/") and re.search(r"\.cdxj?(\.gz)?$", name):
-            with z.open(name) as raw:
-                for line in gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw:
-                    try:
-                        said = json.loads(line[line.index(b"{") :])
-                        at, member = int(said["offset"]), "archive/" + said["filename"].removeprefix("archive/")
-                    except (ValueError, KeyError, TypeError, AttributeError):
-                        continue
-                    held = cuts.setdefault(member, {})
-                    held[at // size] = min(at, held.get(at // size, at))
-    for info in z.infolist():
-        if not info.filename.startswith("archive/") or info.is_dir():
-            continue
-        if info.compress_type != zipfile.ZIP_STORED:
-            yield info.filename, -1, 0, info.file_size
-            continue
-        file.seek(info.header_offset + 26)
-        name_size, extra = struct.unpack("<HH", file.read(4))
-        base = info.header_offset + 30 + name_size + extra
-        starts = [0]
-        magic = b"\x1f\x8b\x08" if info.filename.endswith(".gz") else b"WARC/"
-        for at in sorted(cuts.get(info.filename, {}).values()):
-            if 0 < at < info.file_size:
-                file.seek(base + at)
-                if file.read(len(magic)) == magic:  # an index that is wrong cuts nothing
-                    starts.append(at)
-        for a, b in zip(starts, [*starts[1:], info.file_size], strict=True):
-            yield info.filename, base, a, b
-
-
-def wacz_responses(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
-    """(source, url, status, mime, body) of the 200 and 206 responses in the WARC files of WACZ archives.
-
-    Archives are cut into ranges of about `size` bytes, dealt over the tasks; each task opens the file and reads
-    its ranges only, record by record. Tasks need to see the path as a file or by pyarrow.
-    """
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, member, base, start, end in batch.itertuples(index=False):
-                with opened(path) as file:
-                    if base < 0:
-                        with zipfile.ZipFile(file) as z, z.open(member) as raw:
-                            yield from frames(path, member, raw)
-                    else:
-                        yield from frames(path, member, io.BufferedReader(Span(file, base + start, base + end), 1 << 20))
-
-    files = spark.read.format("binaryFile").load(path).select("path")  # the content is not read
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return wacz_ranges(files, size).repartition(tasks).mapInPandas(work, "source string, url string, status int, mime string, body binary")
-
-
-def frames(source: str, member: str, raw) -> Iterator[pd.DataFrame]:
-    """Responses as frames of at most FRAME_ROWS rows and about FRAME_BYTES bytes."""
-    rows, held = [], 0
-    for record in warc_responses(gzip.GzipFile(fileobj=raw) if member.endswith(".gz") else raw):
-        rows.append((source, *record))
-        held += len(record[-1])
-        if len(rows) == FRAME_ROWS or held >= FRAME_BYTES:
-            yield pd.DataFrame(rows, columns=["source", "url", "status", "mime", "body"])
-            rows, held = [], 0
-    if rows:
-        yield pd.DataFrame(rows, columns=["source", "url", "status", "mime", "body"])
-
-
-def warc_responses(stream) -> Iterator[tuple[str, int, str, bytes]]:
-    """(url, status, mime, body) of the responses of a WARC stream that starts at a record."""
-    while head := headers(stream):
-        size = int(head.get("content-length", 0))
-        block = stream.read(size)
-        if head.get("warc-type") != "response":
-            continue
-        text, _, body = block.partition(b"\r\n\r\n")
-        lines = text.decode("latin-1").split("\r\n")
-        own = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        status = int((lines[0].split(" ") + ["0", "0"])[1] or 0)
-        if status in (200, 206):
-            if own.get("content-encoding") == "gzip":
-                try:
-                    body = gzip.decompress(body)
-                except (OSError, EOFError):
-                    pass  # some writers store the decoded body under the original header
-            yield head.get("warc-target-uri", "").split("?__wb_method=")[0], status, own.get("content-type", ""), body
-
-
-def headers(stream) -> dict[str, str]:
-    """The next WARC header block; {} at the end."""
-    line = stream.readline()
-    while line in (b"\r\n", b"\n"):
-        line = stream.readline()
-    out: dict[str, str] = {}
-    while line and line not in (b"\r\n", b"\n"):
-        key, _, value = line.decode("utf-8", "replace").partition(":")
-        out[key.strip().lower()] = value.strip()
-        line = stream.readline()
-    return out
+                yield from find(value)
+
+    try:
+        return [json.dumps(v, sort_keys=True, ensure_ascii=False) for v in find(json.loads(text or "null"))]
+    except (ValueError, RecursionError):
+        return []
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def values_at_key(texts: pd.Series, keys: pd.Series) -> pd.Series:
+    """values_under, a row a text and key."""
+    return pd.Series([values_under(t, k) for t, k in zip(texts, keys, strict=True)])
 
 
 def cdx_index(spark: SparkSession, path: str) -> DataFrame:

@@ -75,6 +75,16 @@ def parsed(payloads: DataFrame) -> DataFrame:
     return checkpointed(payloads.withColumn("p", F.from_json("json", merged_shape())).drop("json"))
 
 
+def with_at(rows: DataFrame) -> DataFrame:
+    """rows with `at`, '' for payloads that come without an order."""
+    return rows if "at" in rows.columns else rows.withColumn("at", F.lit(""))
+
+
+def below(place: Column) -> Column:
+    """The order of the place-th part of what `at` orders."""
+    return F.concat("at", F.lit("/"), F.lpad(place.cast("string"), 10, "0"))
+
+
 def items_of(payloads: DataFrame) -> DataFrame:
     """payloads' columns but json or p, and (kind, place, item, reel, dated), of the post-like items in payloads (source, json or p). A payload that cannot be read, or of no known kind, gives none; one may hold several kinds."""
     rows = payloads if "p" in payloads.columns else payloads.withColumn("p", F.from_json("json", merged_shape())).drop("json")
@@ -85,8 +95,8 @@ def items_of(payloads: DataFrame) -> DataFrame:
         made = f"transform({found}, (x, k) -> named_struct('kind', '{kind}', 'place', k, 'item', {item}, 'reel', {reel}, 'dated', {str(p.dated).lower()}))"
         return f"coalesce({made}, array())"
 
-    each = rows.withColumn("x", F.explode(F.expr(f"concat({', '.join(of(k, p) for k, p in KINDS.items())})"))).drop("p")
-    return each.select("*", "x.*").drop("x").where("item IS NOT NULL")
+    each = with_at(rows).select("*", F.posexplode(F.expr(f"concat({', '.join(of(k, p) for k, p in KINDS.items())})")).alias("nth", "x")).drop("p")
+    return each.withColumn("at", below(F.col("nth"))).select("*", "x.*").drop("x", "nth").where("item IS NOT NULL")
 
 
 def reel_suffix(post: Column) -> Column:
@@ -117,6 +127,7 @@ def post_rows(items: DataFrame) -> DataFrame:
     code = F.coalesce(i["code"], i["shortcode"], F.when(i["pk"].rlike("^[0-9]{1,18}$"), shortcode(F.try_to_number(i["pk"], F.lit("9" * 18)).cast("long"))))
     return items.select(
         "source",
+        "at",
         item_post(i).alias("id_on_platform"),
         F.coalesce(reel_suffix(item_post(i)), F.concat(F.lit("p/"), code)).alias("url_suffix"),
         F.coalesce(owner(i)["pk"], owner(i)["id"]).alias("account_id"),
@@ -132,8 +143,8 @@ def media_rows(items: DataFrame) -> DataFrame:
     own = F.struct(i["id"].alias("id"), asset_url(i).alias("url"), F.when(F.size(F.coalesce(i["video_versions"], F.array().cast(VIDEOS))) > 0, "video").otherwise("image").alias("media_type"))
     child = lambda c: F.struct(c["id"].alias("id"), asset_url(c).alias("url"), F.when(c["media_type"] == 1, "image").otherwise("video").alias("media_type"))
     children = F.coalesce(F.transform(i["carousel_media"], child), F.array().cast("array<struct<id: string, url: string, media_type: string>>"))
-    rows = items.select("source", item_post(i).alias("post_id"), F.explode(F.concat(F.array(own), children)).alias("m"))
-    return rows.select("source", "post_id", F.col("m.id").alias("id_on_platform"), "m.url", cdn_filename(F.col("m.url")).alias("url_suffix"), "m.media_type")
+    rows = items.select("source", "at", item_post(i).alias("post_id"), F.posexplode(F.concat(F.array(own), children)).alias("nth", "m"))
+    return rows.select("source", below(F.col("nth")).alias("at"), "post_id", F.col("m.id").alias("id_on_platform"), "m.url", cdn_filename(F.col("m.url")).alias("url_suffix"), "m.media_type")
 
 
 def account_row(user: str) -> list[Column]:
@@ -142,58 +153,65 @@ def account_row(user: str) -> list[Column]:
 
 
 def tagged(items: DataFrame) -> DataFrame:
-    """(source, post_id, media_id, user, x, y) of the user tags of the items and of their carousel children."""
+    """(source, at, post_id, media_id, user, x, y) of the user tags of the items and of their carousel children."""
     i = F.col("item")
-    own = items.where("dated").select("source", item_post(i).alias("post_id"), i["id"].alias("media_id"), F.explode(i["usertags"]["in"]).alias("t"))
-    child = items.select("source", item_post(i).alias("post_id"), F.explode(i["carousel_media"]).alias("c"))
-    child = child.select("source", "post_id", F.col("c.id").alias("media_id"), F.explode(F.col("c.usertags")["in"]).alias("t"))
-    tags = own.unionByName(child).select("source", "post_id", "media_id", F.col("t.user").alias("user"), F.get("t.position", F.lit(0)).alias("x"), F.get("t.position", F.lit(1)).alias("y"))
+    own = items.where("dated").select("source", "at", item_post(i).alias("post_id"), i["id"].alias("media_id"), F.posexplode(i["usertags"]["in"]).alias("nth", "t"))
+    child = items.select("source", "at", item_post(i).alias("post_id"), F.explode(i["carousel_media"]).alias("c"))
+    child = child.select("source", "at", "post_id", F.col("c.id").alias("media_id"), F.posexplode(F.col("c.usertags")["in"]).alias("nth", "t"))
+    tags = own.unionByName(child).select("source", below(F.col("nth")).alias("at"), "post_id", "media_id", F.col("t.user").alias("user"), F.get("t.position", F.lit(0)).alias("x"), F.get("t.position", F.lit(1)).alias("y"))
     # mentions on story stickers have a name only
-    mention = items.select("source", item_post(i).alias("post_id"), F.explode(i["story_bloks_stickers"]["bloks_sticker"]["sticker_data"]["ig_mention"]).alias("m")).where("m IS NOT NULL")
+    mention = items.select("source", "at", item_post(i).alias("post_id"), F.explode(i["story_bloks_stickers"]["bloks_sticker"]["sticker_data"]["ig_mention"]).alias("m")).where("m IS NOT NULL")
     none = F.lit(None).cast("string")
     user = F.struct(none.alias("pk"), none.alias("id"), F.col("m.username").alias("username"), F.col("m.full_name").alias("full_name"), none.alias("biography"))
-    return tags.unionByName(mention.select("source", "post_id", none.alias("media_id"), user.alias("user"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y")))
+    return tags.unionByName(mention.select("source", "at", "post_id", none.alias("media_id"), user.alias("user"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y")))
 
 
 def flattened(payloads: DataFrame) -> dict[str, DataFrame]:
-    """The streams of post-like items in payloads (source, json): accounts, posts, media, tagged_accounts. The items are worked out once."""
+    """The streams of post-like items in payloads (source, json): accounts, posts, media, tagged_accounts, each with the order `at` of its rows. The items are worked out once."""
     items = checkpointed(items_of(payloads))
     tags = tagged(items)
-    owners = items.select("source", owner(F.col("item")).alias("user")).unionByName(tags.select("source", "user")).where("user IS NOT NULL")
+    owners = items.select("source", "at", owner(F.col("item")).alias("user")).unionByName(tags.select("source", "at", "user")).where("user IS NOT NULL")
     account, name = F.coalesce(F.col("user.pk"), F.col("user.id")), F.concat(F.col("user.username"), F.lit("/"))
     return {
-        "accounts": owners.select("source", *account_row("user")),
+        "accounts": owners.select("source", "at", *account_row("user")),
         "posts": post_rows(items),
         "media": media_rows(items),
-        "tagged_accounts": tags.select("source", tagged_id(F.lit(None).cast("string"), account, name, F.col("post_id"), F.col("media_id")).alias("id_on_platform"), account.alias("tagged_account_id"), name.alias("tagged_url_suffix"), "post_id", "media_id", "x", "y"),
+        "tagged_accounts": tags.select("source", "at", tagged_id(F.lit(None).cast("string"), account, name, F.col("post_id"), F.col("media_id")).alias("id_on_platform"), account.alias("tagged_account_id"), name.alias("tagged_url_suffix"), "post_id", "media_id", "x", "y"),
     }
 
 
 #: Keys that page scripts hold anywhere, and whether they stand under data in a payload. Fixed values.
-PAGE_KEYS = {"xdt_api__v1__media__shortcode__web_info": True, "xdt_api__v1__profile_timeline": False, "xdt_api__v1__feed__reels_media__connection": True, "xdt_api__v1__feed__reels_media": True, COMMENTS: True}
+PAGE_POST = "xdt_api__v1__media__shortcode__web_info"
+PAGE_KEYS = {PAGE_POST: True, "xdt_api__v1__profile_timeline": False, "xdt_api__v1__feed__reels_media__connection": True, "xdt_api__v1__feed__reels_media": True, COMMENTS: True}
+
+
+def ordered(*places: Column) -> Column:
+    """A text that sorts as the numbers do, one after another."""
+    return F.concat_ws("/", *(F.lpad(F.coalesce(p, F.lit(0)).cast("string"), 20, "0") for p in places))
 
 
 def page_payloads(pages: DataFrame) -> DataFrame:
-    """(source, url, context_id, target_id, json): payloads in the scripts of pages (source, url, html), each under the key where responses have it. context_id is the page's post, which its comments belong to."""
-    blocks = pages.select("source", "url", F.explode(page_scripts(F.col("html"))).alias("script"))
+    """(source, url, context_id, target_id, json, at): payloads in the scripts of pages (source, url, html, and place where it is known), each under the key where responses have it. context_id is the page's post, which its comments belong to; at orders the payloads of a source."""
+    place = F.col("place") if "place" in pages.columns else F.lit(0)
+    blocks = pages.select("source", "url", place.alias("place"), F.posexplode(page_scripts(F.col("html"))).alias("block", "script"))
     keys = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(d).alias("data")) for k, d in PAGE_KEYS.items()))
     held = blocks.withColumn("k", F.explode(keys)).where(F.col("script").contains(F.col("k.key")))
-    values = held.select("source", "url", "k", F.explode(values_at_key(F.col("script"), F.col("k.key"))).alias("v")).where(F.col("v").startswith("{"))
+    values = held.select("source", "url", "k", "place", "block", F.posexplode(values_at_key(F.col("script"), F.col("k.key"))).alias("nth", "v")).where(F.col("v").startswith("{"))
     inner = F.concat(F.lit('{"'), F.col("k.key"), F.lit('": '), F.col("v"), F.lit("}"))
     made = values.withColumn("json", F.when(F.col("k.data"), F.concat(F.lit('{"data": '), inner, F.lit("}"))).otherwise(inner))
-    posts = made.where(F.col("k.key") == "xdt_api__v1__media__shortcode__web_info").groupBy("source", "url").agg(F.max(F.get_json_object("v", "$.items[0].pk")).alias("context_id"))
-    return made.join(posts, ["source", "url"], "left").select("source", "url", "context_id", F.lit(None).cast("string").alias("target_id"), "json")
+    posts = made.where(F.col("k.key") == PAGE_POST).groupBy("source", "url").agg(F.max(F.get_json_object("v", "$.items[0].pk")).alias("context_id"))
+    return made.join(posts, ["source", "url"], "left").select("source", "url", "context_id", F.lit(None).cast("string").alias("target_id"), "json", ordered(F.col("place"), F.col("block"), F.col("nth")).alias("at"))
 
 
 def response_payloads(entries: DataFrame) -> DataFrame:
-    """(source, url, context_id, target_id, json) of routed HAR entries: GraphQL and API responses as they are, pages through page_payloads. The post of comments and likes, and the account of suggestions, come from the request's variables or address."""
+    """(source, url, context_id, target_id, json, at) of routed HAR entries, at as their places order them: GraphQL and API responses as they are, pages through page_payloads. The post of comments and likes, and the account of suggestions, come from the request's variables or address."""
     url, body = F.col("request.url"), body_bytes(F.col("response.content")).cast("string")
     variables = F.get(F.filter("request.postData.params", lambda p: p["name"] == "variables"), F.lit(0))["value"]
     in_url = F.nullif(F.regexp_extract(url, r"media/([^/?]+)", 1), F.lit(""))
     asked = entries.where("route IN ('graphql', 'api')").select(
-        "source", url.alias("url"), F.when(F.col("route") == "graphql", F.get_json_object(variables, "$.media_id")).otherwise(in_url).alias("context_id"), F.get_json_object(variables, "$.target_id").alias("target_id"), body.alias("json")
+        "source", url.alias("url"), F.when(F.col("route") == "graphql", F.get_json_object(variables, "$.media_id")).otherwise(in_url).alias("context_id"), F.get_json_object(variables, "$.target_id").alias("target_id"), body.alias("json"), ordered(F.col("place")).alias("at")
     )
-    pages = entries.where("route = 'page'").select("source", url.alias("url"), body.alias("html"))
+    pages = entries.where("route = 'page'").select("source", url.alias("url"), body.alias("html"), "place")
     return asked.unionByName(page_payloads(pages))
 
 
@@ -208,42 +226,42 @@ def named(user: Column) -> Column:
 
 
 def bundle(payloads: DataFrame) -> dict[str, DataFrame]:
-    """All seven streams of payloads (source, url, context_id, target_id, json), parsed once: accounts, posts, media, comments, likes, account_relations, tagged_accounts.
+    """All seven streams of payloads (source, url, context_id, target_id, json, and at where their order is known), parsed once: accounts, posts, media, comments, likes, account_relations, tagged_accounts.
 
     Lists of users are likes under .../likers/ and follows under .../friendships/; a connection of comments or of
-    likers counts wherever it comes. Rows of several payloads stand beside one another; see deduplicated.
+    likers counts wherever it comes. Rows of several payloads stand beside one another, with their order `at`; see deduplicated.
     """
-    held = parsed(payloads)
+    held = parsed(with_at(payloads))
     out = flattened(held)
     p, url = F.col("p"), F.coalesce("url", F.lit(""))
     data = p["data"]
     none = F.array().cast(f"array<{COMMENT}>")
     answered = F.when(url.contains("/comments/"), F.transform(p["comments"], lambda c: c.withField("parent_comment_id", F.lit(None).cast("string"))))
-    found = held.select("source", "context_id", F.explode(F.concat(F.coalesce(data[COMMENTS]["edges"]["node"], none), F.coalesce(answered, none))).alias("c"))
+    found = held.select("source", "at", "context_id", F.posexplode(F.concat(F.coalesce(data[COMMENTS]["edges"]["node"], none), F.coalesce(answered, none))).alias("nth", "c")).withColumn("at", below(F.col("nth"))).drop("nth")
     post = coded_suffix(F.col("context_id"))
     user_id = F.coalesce("c.user.pk", "c.user.id")
     comments = found.select(
-        "source", F.coalesce("c.pk", "c.id").alias("id_on_platform"), F.concat(post, F.lit("c/"), F.coalesce("c.pk", "c.id"), F.lit("/")).alias("url_suffix"), F.col("context_id").alias("post_id"), post.alias("post_url_suffix"),
+        "source", "at", F.coalesce("c.pk", "c.id").alias("id_on_platform"), F.concat(post, F.lit("c/"), F.coalesce("c.pk", "c.id"), F.lit("/")).alias("url_suffix"), F.col("context_id").alias("post_id"), post.alias("post_url_suffix"),
         user_id.alias("account_id"), named(F.col("c.user")).alias("account_url_suffix"), F.col("c.text").alias("text"), F.col("c.parent_comment_id").alias("parent_id"), F.timestamp_seconds("c.created_at").alias("publication_date"),
     )
     nobody = F.array().cast(f"array<{USER}>")
     liked = F.coalesce(data[LIKERS]["users"], nobody)
-    likers = held.select("source", "context_id", F.explode(F.concat(liked, F.coalesce(F.when(url.contains("/likers/"), p["users"]), nobody))).alias("u"))
+    likers = held.select("source", "at", "context_id", F.posexplode(F.concat(liked, F.coalesce(F.when(url.contains("/likers/"), p["users"]), nobody))).alias("nth", "u")).withColumn("at", below(F.col("nth"))).drop("nth")
     liker = F.coalesce("u.pk", "u.id")
-    likes = likers.select("source", like_id(F.lit(None).cast("string"), F.col("context_id"), liker).alias("id_on_platform"), F.col("context_id").alias("post_id"), post.alias("post_url_suffix"), liker.alias("account_id"), named(F.col("u")).alias("account_url_suffix"))
+    likes = likers.select("source", "at", like_id(F.lit(None).cast("string"), F.col("context_id"), liker).alias("id_on_platform"), F.col("context_id").alias("post_id"), post.alias("post_url_suffix"), liker.alias("account_id"), named(F.col("u")).alias("account_url_suffix"))
     target = F.nullif(F.regexp_extract(url, r"friendships/([^/?]+)", 1), F.lit(""))
-    near = held.where(url.contains("/friendships/")).select("source", target.alias("target"), url.contains("followers").alias("into"), F.explode(p["users"]).alias("u"), F.lit("follower").alias("kind"))
-    shown = held.select("source", F.col("target_id").alias("target"), F.lit(False).alias("into"), F.explode(data[CHAINING]["users"]).alias("u"), F.lit("suggested").alias("kind"))
+    near = held.where(url.contains("/friendships/")).select("source", "at", target.alias("target"), url.contains("followers").alias("into"), F.explode(p["users"]).alias("u"), F.lit("follower").alias("kind"))
+    shown = held.select("source", "at", F.col("target_id").alias("target"), F.lit(False).alias("into"), F.explode(data[CHAINING]["users"]).alias("u"), F.lit("suggested").alias("kind"))
     related = near.unionByName(shown)
     other = F.coalesce("u.id", "u.pk")
     ends = {"follower_id": F.when(F.col("into"), other).otherwise(F.col("target")), "followed_id": F.when(F.col("into"), F.col("target")).otherwise(other)}
     suffixes = {"follower_url_suffix": F.when(F.col("into"), named(F.col("u"))), "followed_url_suffix": F.when(~F.col("into"), named(F.col("u")))}
-    relations = related.select("source", *(c.alias(k) for k, c in (ends | suffixes).items()), "kind")
-    relations = relations.select("source", relation_id(F.lit(None).cast("string"), F.col("follower_id"), F.col("followed_id"), F.col("kind")).alias("id_on_platform"), *ends, *suffixes, "kind")
-    bare = lambda rows, column: rows.where(F.col(column).isNotNull()).select("source", F.col(column).dropFields("full_name", "biography").withField("full_name", F.lit(None).cast("string")).withField("biography", F.lit(None).cast("string")).alias("user"))
-    profile = held.where(data["user"]["biography"].isNotNull()).select("source", data["user"].alias("user"))
-    people = bare(found.select("source", F.col("c.user").alias("user")), "user").unionByName(likers.unionByName(related, allowMissingColumns=True).select("source", F.col("u").alias("user"))).unionByName(profile)
-    out["accounts"] = out["accounts"].unionByName(people.select("source", *account_row("user")))
+    relations = related.select("source", "at", *(c.alias(k) for k, c in (ends | suffixes).items()), "kind")
+    relations = relations.select("source", "at", relation_id(F.lit(None).cast("string"), F.col("follower_id"), F.col("followed_id"), F.col("kind")).alias("id_on_platform"), *ends, *suffixes, "kind")
+    bare = lambda rows, column: rows.where(F.col(column).isNotNull()).select("source", "at", F.col(column).dropFields("full_name", "biography").withField("full_name", F.lit(None).cast("string")).withField("biography", F.lit(None).cast("string")).alias("user"))
+    profile = held.where(data["user"]["biography"].isNotNull()).select("source", "at", data["user"].alias("user"))
+    people = bare(found.select("source", "at", F.col("c.user").alias("user")), "user").unionByName(likers.unionByName(related, allowMissingColumns=True).select("source", "at", F.col("u").alias("user"))).unionByName(profile)
+    out["accounts"] = out["accounts"].unionByName(people.select("source", "at", *account_row("user")))
     return out | {"comments": comments, "likes": likes, "account_relations": relations}
 
 
@@ -267,15 +285,16 @@ IDENTITIES = {
 }
 
 
-def deduplicated(streams: dict[str, DataFrame], order: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+def deduplicated(streams: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Each stream with one row an entity and source. Rows that share a key, directly or through others, are one: of merged streams each value is that of the last row that has it, of others the first row stays.
 
-    Rows are ordered by the given columns, else by all they hold, so that a stage that runs again finds the same order. A row without any key is an entity of its own.
+    Rows are ordered by `at`, the order of their capture, where they have it; rows of one place, and streams without it, by all they hold, so that a stage that runs again finds the same order. A row without any key is an entity of its own.
     """
     out = {}
     for name, rows in streams.items():
-        how, columns = IDENTITIES[name], rows.columns
-        numbered_rows = checkpointed(rows.distinct().withColumn("ord", F.concat(F.to_json(F.struct(*(order or {}).get(name, []), *columns)), F.lit(""))))
+        how, columns = IDENTITIES[name], [c for c in rows.columns if c != "at"]
+        numbered_rows = checkpointed(with_at(rows).groupBy(*columns).agg(F.max("at").alias("last"), F.min("at").alias("first")))
+        numbered_rows = numbered_rows.withColumn("ord", F.concat_ws(" ", "last" if how.merged else "first", F.to_json(F.struct(*columns))))
         keys = [F.when(F.col(k).isNotNull(), F.concat_ws("\0", "source", k)) for k in how.keys]
         grouped = clusters(numbered_rows, "ord", keys)
         if how.merged:
@@ -318,37 +337,3 @@ def nested_sessions(streams: dict[str, DataFrame]) -> dict[str, DataFrame]:
     under["posts"] = owned(streams["posts"], (F.col("account_id"), F.col("account_url_suffix")))
     under["account_relations"] = owned(streams["account_relations"], (F.col("follower_id"), F.col("follower_url_suffix")), (F.col("followed_id"), F.col("followed_url_suffix")))
     return under
-
-
-def comment_rows(payloads: DataFrame) -> DataFrame:
-    """Comments of payloads (source, post_id, json) with a list `comments`."""
-    parsed = payloads.select("source", "post_id", F.explode(F.from_json("json", f"struct<comments: array<{COMMENT}>>")["comments"]).alias("c"))
-    return parsed.select("source", "post_id", F.coalesce("c.pk", "c.id").alias("id_on_platform"), F.coalesce("c.user.pk", "c.user.id").alias("account_id"), F.col("c.text").alias("text"), F.timestamp_seconds("c.created_at").alias("publication_date"), F.col("c.parent_comment_id").alias("parent_id"))
-
-
-def like_rows(payloads: DataFrame) -> DataFrame:
-    """Likes of payloads (source, post_id, json) with a list `users`."""
-    parsed = payloads.select("source", "post_id", F.explode(F.from_json("json", f"struct<users: array<{USER}>>")["users"]).alias("u"))
-    account = F.coalesce("u.pk", "u.id")
-    return parsed.select("source", "post_id", account.alias("account_id"), like_id(F.lit(None).cast("string"), F.col("post_id"), account).alias("id_on_platform"))
-
-
-def friendship_rows(payloads: DataFrame) -> DataFrame:
-    """Follows of payloads (source, url, json) with a list `users`; the address names the account and tells the direction."""
-    parsed = payloads.select("source", "url", F.explode(F.from_json("json", f"struct<users: array<{USER}>>")["users"]).alias("u"))
-    other, followers = F.coalesce("u.id", "u.pk"), F.col("url").contains("followers")
-    account = F.nullif(F.regexp_extract("url", r"friendships/([^/?]+)", 1), F.lit(""))
-    return parsed.select("source", F.when(followers, other).otherwise(account).alias("follower_id"), F.when(followers, account).otherwise(other).alias("followed_id"), F.lit("follower").alias("kind"))
-
-
-def suggestion_rows(payloads: DataFrame) -> DataFrame:
-    """Suggested accounts of payloads (source, target_id, json), as relations from the account they were shown for."""
-    shape = f"struct<data: struct<xdt_api__v1__discover__chaining: struct<users: array<{USER}>>>>"
-    parsed = payloads.select("source", "target_id", F.explode(F.from_json("json", shape)["data"]["xdt_api__v1__discover__chaining"]["users"]).alias("u"))
-    return parsed.select("source", F.col("target_id").alias("follower_id"), F.coalesce("u.id", "u.pk").alias("followed_id"), F.lit("suggested").alias("kind"))
-
-
-def profile_rows(payloads: DataFrame) -> DataFrame:
-    """Profiles of payloads (source, json): data.user, where it has a biography, of which 200 characters count."""
-    parsed = payloads.select("source", F.from_json("json", f"struct<data: struct<user: {USER}>>")["data"]["user"].alias("user"))
-    return parsed.where("user.biography IS NOT NULL").select("source", *account_row("user"))
