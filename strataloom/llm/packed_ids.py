@@ -6,7 +6,7 @@ where each starts, and a footer. Any span of ids is read by its blocks alone and
 manifest names the shards that were committed, in order, with the number of ids before each; files of
 failed or repeated task attempts are not in it.
 
-The folder is a Spark data source, "packed_ids", for writing (doc_id, ids) and for reading.
+The folder is a Spark data source, "packed_ids", for writing (doc_id, ids), or texts that it encodes, and for reading.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,8 +35,8 @@ from strataloom.llm.common import shared_dir
 #: Ids of a block, a multiple of 8 so that blocks end at whole bytes; ids that a reading task takes, and those it unpacks at once.
 BLOCK, TASK_IDS, READ_IDS = 1 << 16, 1 << 24, 1 << 20
 MAGIC, VERSION, HEADER, FOOTER = b"PKID", 1, struct.Struct("<4sHHI"), struct.Struct("<QQQQQ4s")
-#: Bytes of text encoded at once; words whose ids a worker remembers before it starts afresh.
-PIECE, MEMORY = 1 << 23, 400_000
+#: Bytes of text encoded at once; pieces of words whose ids a worker remembers before it starts afresh.
+PIECE, MEMORY = 1 << 23, 1_000_000
 #: The id that ends every document.
 END = 1
 
@@ -170,9 +171,17 @@ class Span(InputPartition):
     hi: int
 
 
+def given(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc ids, numbers of ids, ids of all) of rows (doc_id, ids); null lists count as empty."""
+    for batch in batches:
+        ids = batch.column("ids")
+        yield batch.column("doc_id"), np.asarray(pc.fill_null(pc.list_value_length(ids), 0), np.int64), np.asarray(ids.flatten(), np.int64)
+
+
 class PackedWriter(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
         self.path, self.bits, self.overwrite = options["path"], int(options["bits"]), overwrite
+        self.vocabulary, self.end = options.get("vocabulary"), int(options["end"]) if "end" in options else None
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         place, name = TaskContext.get().partitionId(), f"shard-{uuid.uuid4().hex}.ids"
@@ -180,18 +189,9 @@ class PackedWriter(DataSourceArrowWriter):
         files.create_dir(folder, recursive=True)
         with files.open_output_stream(f"{folder}/{name}") as out:
             shard = ShardWriter(out, self.bits)
-            for batch in iterator:
-                docs, ids = batch.column("doc_id"), batch.column("ids")
-                ids = ids.cast(pa.list_(pa.uint32())) if pa.types.is_list(ids.type) else ids
-                offsets = np.asarray(ids.offsets) if pa.types.is_list(ids.type) else np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)
-                if pa.types.is_list(ids.type):
-                    values = np.asarray(ids.flatten(), np.uint32)
-                    counts = np.asarray(pc.fill_null(pc.list_value_length(ids), 0), np.int64)
-                else:  # little-endian ids of 2 bytes up to 16 bits, else of 4
-                    width = 2 if self.bits <= 16 else 4
-                    values = np.frombuffer(ids.buffers()[2] or b"", f"<u{width}", (int(offsets[-1]) - int(offsets[0])) // width, int(offsets[0]))
-                    counts = np.diff(offsets).astype(np.int64) // width
-                shard.add(np.asarray(pc.fill_null(docs, 0), np.int64), np.asarray(pc.is_null(docs)), counts, values.astype(np.uint32))
+            rows = encoded_batches(iterator, words_of_worker(self.vocabulary, 2 if self.bits <= 16 else 4), self.end) if self.vocabulary else given(iterator)
+            for docs, counts, ids in rows:
+                shard.add(np.asarray(pc.fill_null(docs, 0), np.int64), np.asarray(pc.is_null(docs)), counts, ids.astype(np.uint32))
             about = shard.close()
         return Written(place, about | {"file": name})
 
@@ -276,8 +276,8 @@ class PackedReader(DataSourceReader):
 class PackedIds(DataSource):
     """spark.read.format("packed_ids").load(folder): doc_id, start (ids of all documents before it), n_tokens, ids; a schema that is asked for may also have ids_crc32. Columns that are not in the schema are not made; without ids and ids_crc32 no block is read. Option doc_ids (a JSON list): only these documents, from the blocks that hold them.
 
-    df.write.format("packed_ids").option("bits", b).mode("append" or "overwrite").save(folder): doc_id long and ids, an array or little-endian
-    bytes (2 an id up to 16 bits, else 4). Documents stand in the order of partitions and of the rows within them.
+    df.write.format("packed_ids").option("bits", b).mode("append" or "overwrite").save(folder): doc_id long and ids array<int>; or, with option vocabulary (a file of the tokenizers library) and,
+    where wanted, end (an id), doc_id long and text, which the writing task encodes. Documents stand in the order of partitions and of the rows within them.
     """
 
     @classmethod
@@ -302,19 +302,21 @@ NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words of these characters only are composed already, hold no white space, and change case letter by letter.
 LATIN = regex.compile(r"[\x21-\x7e\xa1-\xff]+")
+#: Marks that often stand behind a word; a run of them is a piece of its own.
+MARKS = ".,;:!?"
 
 
-class WordIds(dict):
-    """The ids of words without blanks and line feeds, as little-endian bytes, remembered up to MEMORY words.
+class WordIds:
+    """The ids of texts by their words, the parts between blanks and line feeds.
 
-    Where the tokenizer drops white space, no token reaches over a blank, so a text's ids are its words' ids. Words of LATIN
-    are cut by the tokenizer's own pattern and given to the library's model; the library takes other words whole.
+    Where the tokenizer drops white space, no token reaches over a blank, so a text's ids are its words' ids. A word of LATIN is cut by the tokenizer's own pattern
+    into pieces, whose ids the library's model gives; most words are letters and a mark or two behind them, which needs no pattern. The library takes other words whole. Up to MEMORY pieces are remembered.
     """
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
 
-        self.library, self.kind = Tokenizer.from_file(path), f"<u{width}"
+        self.library, self.kind, self.code = Tokenizer.from_file(path), f"<u{width}", "H" if width == 2 else "I"
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
@@ -326,14 +328,14 @@ class WordIds(dict):
             steps == NORMALIZERS
             and (cut.get("type"), cut.get("pattern"), cut.get("behavior"), cut.get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
             and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
-            and not any(x["lstrip"] or x["rstrip"] or x["normalized"] or set(" \n") & set(x["content"]) for x in about["added_tokens"])
+            and not any(x["lstrip"] or x["rstrip"] or x["normalized"] or set(" \n") & set(x["content"]) or x["content"].rstrip(MARKS).isalpha() for x in about["added_tokens"])
         )
         self.split, self.model = regex.compile(SPLIT).findall, self.library.model
         self.letters = byte_alphabet()
         self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
@@ -341,33 +343,38 @@ class WordIds(dict):
             if len(self.pieces) >= MEMORY:
                 self.pieces.clear()
             spelt = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            found = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(spelt)], self.kind).tobytes()
+            found = self.pieces[piece] = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return found
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
+    def word(self, word: str) -> bytes:
+        core = word.rstrip(MARKS)
+        if core.isalpha() and (core.isascii() or LATIN.fullmatch(core)):
+            found = self.piece(core.lower())
+            return found if len(core) == len(word) else found + self.piece(word[len(core) :])
+        if not word:
+            return b""
         if LATIN.fullmatch(word) and not any(x in word for x in self.added):
-            found = b"".join(map(self.piece, self.split(word.lower())))
-        else:
-            found = self.whole(word) if word else b""
-        self[word] = found
-        return found
+            return b"".join(map(self.piece, self.split(word.lower())))
+        return self.whole(word)
 
-    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one text after another, and the offsets at which the texts start and end."""
+    def encoded(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after another, each with `end` behind it, and the offsets at which the texts start and end."""
+        last = b"" if end is None else array(self.code, [end]).tobytes()
+        width = int(self.kind[2])
         if not self.by_word:
-            parts = [self.whole(t) for t in texts.to_pylist()]
-            return np.frombuffer(b"".join(parts), self.kind), np.cumsum([0, *(len(p) // int(self.kind[2]) for p in parts)])
+            parts = [self.whole(t) + last for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(parts), self.kind), np.cumsum([0, *map(len, parts)]) // width
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        known = [self[w] for w in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // int(self.kind[2])
-        pool, first, codes = np.frombuffer(b"".join(known), self.kind), np.cumsum(sizes) - sizes, np.asarray(coded.indices)
+        known = [*map(self.word, coded.dictionary.to_pylist()), last]
+        sizes = np.fromiter(map(len, known), np.int32, len(known)) // width
+        pool, first = np.frombuffer(b"".join(known), self.kind), (np.cumsum(sizes) - sizes).astype(np.int32)
+        ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
+        codes = np.insert(np.asarray(coded.indices), ends, len(known) - 1)  # the end id stands as a word behind each text
         each = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        ids = pool[np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])]
-        return ids, ends[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        to = np.cumsum(each, dtype=np.int64)
+        ids = pool[np.repeat(first[codes] - (to - each).astype(np.int32), each) + np.arange(to[-1] if len(to) else 0, dtype=np.int32)]
+        return ids, np.concatenate([[0], to[ends + np.arange(len(ends))]]) if len(ends) else np.zeros(1, np.int64)
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -401,32 +408,24 @@ def vocabulary_size(path: str) -> int:
     return 1 + max(*about["model"]["vocab"].values(), *(x["id"] for x in about["added_tokens"]))
 
 
-def encoded(docs: DataFrame, vocabulary: str, bits: int, end: int | None = END) -> DataFrame:
-    """(doc_id, ids) a row of docs (doc_id, text), in the order of the rows: the ids of the whole text without added special tokens, and `end`, as little-endian bytes, 2 an id up to 16 bits, else 4. Null texts count as empty."""
-    width = 2 if bits <= 16 else 4
-
-    def work(batches):
-        words = words_of_worker(vocabulary, width)
-        tail = np.array([] if end is None else [end], words.kind)
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                take = batch.num_rows - at
-                while take > 1 and batch.slice(at, take).nbytes > PIECE:
-                    take = (take + 1) // 2
-                docs, texts = batch.slice(at, take).columns
-                at += take
-                texts = pc.fill_null(texts, "")
-                if take == 1 and words.by_word:
-                    ids = np.concatenate([words.encoded(pa.array([p]))[0] for p in cut_text(texts[0].as_py())])
-                    bounds = np.array([0, len(ids)])
-                else:
-                    ids, bounds = words.encoded(texts)
-                ids = np.insert(ids, np.repeat(bounds[1:], len(tail)), np.tile(tail, take)) if len(tail) else ids
-                offsets = (bounds + np.arange(take + 1) * len(tail)) * width
-                yield pa.RecordBatch.from_arrays([docs, pa.Array.from_buffers(pa.binary(), take, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, ids binary")
+def encoded_batches(batches: Iterator[pa.RecordBatch], words: WordIds, end: int | None) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc ids, numbers of ids, ids of all) of rows (doc_id, text), some PIECE bytes of text at once: the ids of each whole text without added special tokens, and `end`. Null texts count as empty."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            take = batch.num_rows - at
+            while take > 1 and batch.slice(at, take).nbytes > PIECE:
+                take = (take + 1) // 2
+            docs, texts = (batch.column(c).slice(at, take) for c in ("doc_id", "text"))
+            at += take
+            texts = pc.fill_null(texts, "")
+            if take == 1 and words.by_word:
+                *parts, tail = cut_text(texts[0].as_py())
+                ids = np.concatenate([*(words.encoded(pa.array([p]))[0] for p in parts), words.encoded(pa.array([tail]), end)[0]])
+                bounds = np.array([0, len(ids)])
+            else:
+                ids, bounds = words.encoded(texts, end)
+            yield docs, np.diff(bounds), ids
 
 
 def write_packed(docs: DataFrame, path: str, vocabulary: str, end: int | None = END, mode: str = "overwrite") -> None:
@@ -438,9 +437,10 @@ def write_packed(docs: DataFrame, path: str, vocabulary: str, end: int | None =
     bits = bits_for(vocabulary_size(vocabulary))
     order = [F.asc_nulls_last("doc_id"), F.col("_row")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("_row"))
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     docs.sparkSession.dataSource.register(PackedIds)
-    encoded(dealt, vocabulary, bits, end).write.format("packed_ids").option("bits", bits).mode(mode).save(path)
+    writer = dealt.write.format("packed_ids").option("bits", bits).option("vocabulary", vocabulary).mode(mode)
+    (writer if end is None else writer.option("end", end)).save(path)
 
 
 def read_packed(spark: SparkSession, path: str, columns: str = "doc_id long, start long, n_tokens long, ids array<int>", doc_ids: list[int] | None = None) -> DataFrame:
