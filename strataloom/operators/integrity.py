@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.operators.lineage import checkpointed
+from strataloom.operators.skew import join_values
+
+#: Layers of a hash tree that one round climbs, and hashes that it gathers in a row.
+LAYERS = 10
+FAN = 1 << LAYERS
+
 
 def chunk_hashes(files: DataFrame, path: str, content: str, size: int) -> DataFrame:
     """(path, chunk, sha256) of each file's consecutive chunks of `size` bytes; an empty file has one empty chunk."""
@@ -20,11 +27,25 @@ def pair_up(hashes: Column) -> Column:
     return F.transform(pairs, lambda i: F.sha2(F.unhex(F.concat(F.get(hashes, 2 * i), F.coalesce(F.get(hashes, 2 * i + 1), F.get(hashes, 2 * i)))), 256))
 
 
-def tree_roots(chunks: DataFrame, path: str, layers: int = 40) -> DataFrame:
-    """(path, root): the root of each file's hash tree. A file's hashes (64 bytes a chunk) meet in one row; layers bounds the loop, which ends when one hash is left."""
-    lists = chunks.groupBy(path).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "sha256"))), lambda c: c["sha256"]).alias("h"))
-    up = F.aggregate(F.sequence(F.lit(1), F.lit(layers)), F.col("h"), lambda h, _: F.when(F.size(h) > 1, pair_up(h)).otherwise(h))
-    return lists.select(path, F.get(up, F.lit(0)).alias("root"))
+def tree_roots(chunks: DataFrame, path: str) -> DataFrame:
+    """(path, root): the root of each file's hash tree over its chunks (path, chunk from 0 on, sha256).
+
+    A round gathers FAN neighbouring hashes in a row and takes them LAYERS layers up, or to the root where a file has no more; so no row grows with a file,
+    and a file of n chunks takes log(n) / LAYERS rounds.
+    """
+    sizes = checkpointed(chunks.groupBy(path).agg(F.count("*").alias("n")))
+    most, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    rows = join_values(chunks.select(path, "chunk", "sha256"), sizes, path, "n", total or 0)
+    while True:
+        # as many layers as halve n to one: an odd last one pairs with itself, up to a file's own root
+        layers = F.least(F.lit(LAYERS), F.when(F.col("n") > 1, F.length(F.bin(F.col("n") - 1))).otherwise(0))
+        held = rows.groupBy(path, "n", F.floor(F.col("chunk") / FAN).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "sha256"))), lambda c: c["sha256"]).alias("h"))
+        up = F.aggregate(F.sequence(F.lit(1), F.lit(LAYERS)), F.col("h"), lambda h, k: F.when(k <= layers, pair_up(h)).otherwise(h))
+        rows = held.withColumn("sha256", F.get(up, F.lit(0))).select(path, F.ceil(F.col("n") / FAN).alias("n"), F.col("part").alias("chunk"), "sha256")
+        if (most or 0) <= FAN:
+            return rows.select(path, F.col("sha256").alias("root"))
+        most = -(-most // FAN)
+        rows = checkpointed(rows)
 
 
 def changed_chunks(left: DataFrame, right: DataFrame, path: str) -> DataFrame:
@@ -33,10 +54,15 @@ def changed_chunks(left: DataFrame, right: DataFrame, path: str) -> DataFrame:
     return both.where(~F.col("l.sha256").eqNullSafe(F.col("r.sha256"))).select(path, "chunk")
 
 
+def hashed(files: DataFrame) -> DataFrame:
+    """(path, sha256) of files (path, content), or of files whose hashes are there already (path, sha256), as sources.digests reads them."""
+    return files.select("path", "sha256" if "sha256" in files.columns else F.sha2(F.col("content").cast("binary"), 256).alias("sha256"))
+
+
 def manifest_check(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """manifest (path, sha256) with status: pass, fail, missing, or invalid_path for absolute paths and ones that climb."""
     invalid = F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)")
-    found = files.select("path", F.sha2("content", 256).alias("actual"))
+    found = hashed(files).withColumnRenamed("sha256", "actual")
     status = F.when(invalid, "invalid_path").when(F.col("actual").isNull(), "missing").when(F.col("actual") == F.col("sha256"), "pass").otherwise("fail")
     return manifest.join(found, "path", "left").select("path", "sha256", status.alias("status"))
 
@@ -57,12 +83,12 @@ def asset_log(log: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def digest_list(files: DataFrame) -> DataFrame:
-    """(path, sha256) of files (path, content), in the order of their paths."""
-    return files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256")).orderBy("path")
+    """(path, sha256) of files (path, and content or sha256), in the order of their paths."""
+    return hashed(files).orderBy("path")
 
 
 def verified_copy(source: DataFrame, target: DataFrame) -> DataFrame:
-    """(path, status) of every file that source or target (path, content) has: same, different, missing (not copied) or unexpected."""
-    a, b = (d.select("path", F.sha2(F.col("content").cast("binary"), 256).alias(n)) for d, n in ((source, "a"), (target, "b")))
+    """(path, status) of every file that source or target (path, and content or sha256) has: same, different, missing (not copied) or unexpected."""
+    a, b = (hashed(d).withColumnRenamed("sha256", n) for d, n in ((source, "a"), (target, "b")))
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "unexpected").when(F.col("a") == F.col("b"), "same").otherwise("different")
     return a.join(b, "path", "full_outer").select("path", status.alias("status"))
