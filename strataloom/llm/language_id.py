@@ -170,8 +170,12 @@ def fit(docs: DataFrame, train: int = TRAIN, landmarks: int = LANDMARKS) -> Lang
 
     seen = sample.mapInArrow(against, "lang string, rank int, h long, k binary").orderBy("lang", "rank", "h").collect()
     k = np.stack([np.frombuffer(bytes(r["k"]), np.float32) for r in seen]).astype(np.float64)
-    held = unpacked(bits).astype(np.float64)
-    values, vectors = np.linalg.eigh(held @ held.T)
+    held, gram = unpacked(bits), np.zeros((len(bits), len(bits)))
+    for at in range(0, SLOTS, 4096):  # in double precision, a part of the slots at a time
+        part = held[:, at : at + 4096].astype(np.float64)
+        gram += part @ part.T
+    del held
+    values, vectors = np.linalg.eigh(gram)
     good = values > 1e-6 * values.max()
     white = vectors[:, good] / np.sqrt(values[good])
     features = k @ white
