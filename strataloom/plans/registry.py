@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import etl, graph, library, search
+from strataloom.plans import capture, etl, graph, library, search
 from strataloom.plans.query import ORACLES, QUERIES
 
 FLAGSHIP = "community_candidates"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "etl", "graph", "library", "search"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "capture", "etl", "graph", "library", "search"]
