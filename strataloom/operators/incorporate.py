@@ -9,8 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from strataloom.operators.lineage import checkpointed
+from strataloom.operators.maintenance import thumbnail_status
 from strataloom.operators.reconcile import full, preferred
 from strataloom.operators.resolve import clusters, dual_key_lookup
 
@@ -38,7 +40,7 @@ class Entity:
 
 @dataclass(frozen=True)
 class Stored:
-    """canonical (id, id_on_platform, url_suffix, identifiers, values), observed (canonical_id, session, values)."""
+    """canonical (id, id_on_platform, url_suffix, identifiers, values), observed (canonical_id, session, values). Further columns of canonical are carried along, and are null for what is new."""
 
     canonical: DataFrame
     observed: DataFrame
@@ -116,10 +118,33 @@ def incorporate_sessions(stored: Stored, rows: DataFrame, entity: Entity) -> Sto
         F.coalesce("_url", "url_suffix").alias("url_suffix"),
         F.array_union(F.coalesce("identifiers", none), F.coalesce("_names", none)).alias("identifiers"),
         *(preferred(F.col(f"_{v}"), F.col(v), fields[v].dataType).alias(v) for v in entity.values),
+        *(c for c in stored.canonical.columns if c not in ("id", "id_on_platform", "url_suffix", "identifiers", *entity.values)),
     )
     return Stored(canonical.select(*stored.canonical.columns), observed)
 
 
+def with_thumbnails(media: DataFrame) -> DataFrame:
+    """media with thumbnail_path and thumbnail_status, null where they had none."""
+    return media.withColumns({c: F.lit(None).cast("string") for c in ("thumbnail_path", "thumbnail_status") if c not in media.columns})
+
+
+def with_largest_files(before: DataFrame, after: Stored, sizes: DataFrame) -> Stored:
+    """after, a media store, with each medium's largest file among all that its sessions saw; of equally large ones, and of files whose size is unknown, that of the newest session.
+
+    sizes: (local_url, size). before: the canonicals (id, local_url, thumbnail_path, thumbnail_status) that after was made from. A medium whose file changes loses its thumbnail and
+    gets the status that a new one with that file has; the others keep theirs.
+    """
+    after = Stored(checkpointed(after.canonical), checkpointed(after.observed))  # each is read twice
+    seen = after.observed.where(full(F.col("local_url"), T.StringType()).isNotNull()).join(sizes.groupBy("local_url").agg(F.max("size").alias("size")), "local_url", "left")
+    best = seen.groupBy(F.col("canonical_id").alias("id")).agg(F.max_by("local_url", F.struct(F.coalesce("size", F.lit(0)), F.col("session"))).alias("_file"))
+    old = before.select("id", F.col("local_url").alias("_old"), F.col("thumbnail_path").alias("_path"), F.col("thumbnail_status").alias("_status"), F.lit(True).alias("_known"))
+    rows = after.canonical.join(best, "id", "left").join(old, "id", "left").withColumn("local_url", F.coalesce("_file", "local_url"))
+    same = F.coalesce(F.col("_known"), F.lit(False)) & F.col("_old").eqNullSafe(F.col("local_url"))
+    status = F.when(same, F.col("_status")).otherwise(thumbnail_status(F.lit(None).cast("string"), F.col("local_url"), F.col("media_type")))
+    made = rows.withColumns({"thumbnail_path": F.when(same, F.col("_path")), "thumbnail_status": status})
+    return Stored(checkpointed(made.select(*dict.fromkeys([*after.canonical.columns, "thumbnail_path", "thumbnail_status"]))), after.observed)
+
+
 def referred(rows: DataFrame, reference: Reference, known: DataFrame) -> DataFrame:
     """rows in which the reference's column holds the canonical id of what it names, by address, else by platform id; null where that is unknown."""
     out = rows.withColumn("_pid", F.col(reference.id).cast("string")).withColumn("_url", F.regexp_replace(F.col(reference.url), "/+$", "") if reference.url else F.lit(None).cast("string"))
@@ -128,11 +153,12 @@ def referred(rows: DataFrame, reference: Reference, known: DataFrame) -> DataFra
     return found.withColumn(reference.column, F.col("canonical_id")).drop("canonical_id", "_pid", "_url")
 
 
-def incorporate_all(stored: Mapping[str, Stored], streams: Mapping[str, DataFrame]) -> tuple[dict[str, Stored], DataFrame]:
+def incorporate_all(stored: Mapping[str, Stored], streams: Mapping[str, DataFrame], sizes: DataFrame | None = None) -> tuple[dict[str, Stored], DataFrame]:
     """All seven types of any number of sessions, each after those that it refers to, and the rows set aside (type, session, ord, reason).
 
     streams: by type, rows (session, ord, id_on_platform, url_suffix, values and the columns of references). Types
-    without a stream stay as they are. Rows whose other is unknown are treated as their reference says.
+    without a stream stay as they are. Rows whose other is unknown are treated as their reference says. With the sizes of files (local_url, size)
+    the largest file of a medium wins; see with_largest_files.
     """
     out, aside = dict(stored), []
     for name, entity in ENTITIES.items():
@@ -147,7 +173,10 @@ def incorporate_all(stored: Mapping[str, Stored], streams: Mapping[str, DataFram
             if reference.missing != "keep":
                 rows = rows.where(F.col(reference.column).isNotNull())
         done = incorporate_sessions(stored[name], checkpointed(rows), entity)
-        out[name] = Stored(checkpointed(done.canonical), checkpointed(done.observed))
+        if name == "media" and sizes is not None:
+            out[name] = with_largest_files(with_thumbnails(stored[name].canonical), done, sizes)
+        else:
+            out[name] = Stored(checkpointed(done.canonical), checkpointed(done.observed))
     spark = next(iter(stored.values())).canonical.sparkSession
     nothing = spark.createDataFrame([], "type string, session string, ord long, reason string")
     return out, reduce(DataFrame.unionByName, aside, nothing)

@@ -115,6 +115,24 @@ def test_sessions_together_are_as_one_after_another(spark):
     assert plain(together.canonical) == plain(single.canonical) and plain(together.observed) == plain(single.observed)
 
 
+def test_the_largest_file_of_a_medium_wins(spark):
+    entity = inc.ENTITIES["media"]
+    shape = "session string, ord long, id_on_platform string, url_suffix string, media_type string, local_url string, post_id long"
+    sizes = spark.createDataFrame([("a/big", 9), ("a/small", 1), ("b/big", 9)], "local_url string, size long")
+    first = [("a", 1, "1", None, "image", "a/big", None), ("a", 2, "2", None, "image", None, None), ("a", 3, "3", None, "audio", "a/unknown", None)]
+    held = inc.empty_store(spark, entity, inc.VALUE_TYPES)
+    one = inc.with_largest_files(inc.with_thumbnails(held.canonical), inc.incorporate_sessions(held, spark.createDataFrame(first, shape), entity), sizes)
+    status = lambda d: {r["id_on_platform"]: (r["local_url"], r["thumbnail_path"], r["thumbnail_status"]) for r in d.canonical.collect()}
+    assert status(one) == {"1": ("a/big", None, "pending"), "2": (None, None, "not_needed"), "3": ("a/unknown", None, "not_needed")}
+    drawn = inc.Stored(checkpointed(one.canonical.withColumns({"thumbnail_path": F.lit("t"), "thumbnail_status": F.lit("generated")})), one.observed)
+    later = [("b", 1, "1", None, "image", "a/small", None), ("b", 2, "2", None, "image", "a/small", None), ("b", 3, "3", None, "audio", "b/unknown", None), ("b", 4, "4", None, "image", None, None)]
+    two = inc.with_largest_files(drawn.canonical, inc.incorporate_sessions(drawn, spark.createDataFrame(later, shape), entity), sizes)
+    # a smaller file changes nothing; a first or a newer one of unknown size draws anew
+    assert status(two) == {"1": ("a/big", "t", "generated"), "2": ("a/small", None, "pending"), "3": ("b/unknown", None, "not_needed"), "4": (None, None, "not_needed")}
+    three = inc.with_largest_files(two.canonical, inc.incorporate_sessions(two, spark.createDataFrame([("c", 1, "1", None, "image", "b/big", None)], shape), entity), sizes)
+    assert status(three)["1"] == ("b/big", None, "pending")  # as large, and newer
+
+
 def test_progress_is_kept(spark, tmp_path):
     held = Progress(3)
     spark.streams.addListener(held)
