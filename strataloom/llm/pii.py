@@ -60,7 +60,7 @@ def quoted(text: str) -> str:
 
 
 def characters(text: str) -> str:
-    return f"transform(sequence(1, greatest(char_length({text}), 1)), p -> substr({text}, p, 1))"
+    return f"split({text}, '')"
 
 
 def luhn(digits: str) -> str:
@@ -102,13 +102,13 @@ def number_at(stream: str, i: str) -> str:
 
 
 def by_character(text: str, stream: str) -> str:
-    """SQL: letters become letters, digits digits, case and all else stay; wholly hexadecimal values stay so."""
-    n = number_at(stream, "i")
-    return f"""array_join(transform({characters(text)}, (c, i) -> CASE
-        WHEN {text} RLIKE '^(?=.*[a-f])[0-9a-f]+$' THEN substr('0123456789abcdef', {n} % 16 + 1, 1)
-        WHEN {text} RLIKE '^(?=.*[A-F])[0-9A-F]+$' THEN substr('0123456789ABCDEF', {n} % 16 + 1, 1)
+    """SQL: letters become letters, digits digits, case and all else stay; wholly hexadecimal values stay so. What kind of value it is, and its stream, are worked out once and not a character."""
+    n = number_at("held.s", "i")
+    hexadecimal = f"CASE WHEN {text} RLIKE '^(?=.*[a-f])[0-9a-f]+$' THEN '0123456789abcdef' WHEN {text} RLIKE '^(?=.*[A-F])[0-9A-F]+$' THEN '0123456789ABCDEF' END"
+    return f"""transform(array(named_struct('t', {text}, 's', {stream}, 'h', {hexadecimal})), held -> array_join(transform({characters('held.t')}, (c, i) -> CASE
+        WHEN held.h IS NOT NULL THEN substr(held.h, {n} % 16 + 1, 1)
         WHEN c RLIKE '[0-9]' THEN substr('0123456789', {n} % 10 + 1, 1)
-        WHEN c RLIKE '\\\\p{{Lu}}' THEN char(65 + {n} % 26) WHEN c RLIKE '\\\\p{{L}}' THEN char(97 + {n} % 26) ELSE c END), '')"""
+        WHEN c RLIKE '\\\\p{{Lu}}' THEN char(65 + {n} % 26) WHEN c RLIKE '\\\\p{{L}}' THEN char(97 + {n} % 26) ELSE c END), ''))[0]"""
 
 
 def surname(value: str, stream: str, attempt: str) -> str:

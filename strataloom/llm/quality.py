@@ -120,13 +120,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ids, counts = np.unique(bucket_ids([text])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, 1), batch.column("y").slice(i, 1), pa.array([ids.astype(np.uint16).tobytes()]), pa.array([np.minimum(counts, 65535).astype(np.uint16).tobytes()])], ["doc_id", "y", "ids", "counts"]
+                    [batch.column("doc_id").slice(i, 1), batch.column("y").slice(i, 1), pa.array([ids.astype(np.uint16).tobytes()]), pa.array([counts.astype(np.uint32).tobytes()])], ["doc_id", "y", "ids", "counts"]
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = picked.mapInArrow(count, f"doc_id {kind}, y int, ids binary, counts binary").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return descend([(np.frombuffer(bytes(r["ids"]), np.uint16), np.frombuffer(bytes(r["counts"]), np.uint16).astype(np.float64), r["y"]) for r in rows])
+    return descend([(np.frombuffer(bytes(r["ids"]), np.uint16), np.frombuffer(bytes(r["counts"]), np.uint32).astype(np.float64), r["y"]) for r in rows])
 
 
 def quality_score(text: Column, spark: SparkSession, model: QualityModel) -> Column:

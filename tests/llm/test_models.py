@@ -116,3 +116,13 @@ def test_nulls_and_repeated_rows(spark):
     assert len({(r["lang_pred"], r["score"]) for r in rows if r["doc_id"] == 1}) == 1
     scored = quality.rated(docs, quality.fit(docs, spark.createDataFrame([(1, 1, 0), (1, 0, 0), (3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int"))).collect()
     assert len(scored) == 5 and len({r["score"] for r in scored if r["doc_id"] == 1}) == 1
+
+
+def test_counts_beyond_16_bits_teach(spark, monkeypatch):
+    """What descend is given holds the whole count, as plain counting has it."""
+    held = []
+    monkeypatch.setattr(quality, "descend", lambda rows: held.extend(rows) or quality.QualityModel(np.zeros(1, np.float32), 0.0))
+    text = "word " * 70_000
+    quality.fit(frame(spark, [(1, text), (3, "other")]), spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"))
+    ids, counts = np.unique(quality.bucket_ids([text])[0], return_counts=True)
+    assert counts.max() > 65_535 and held[0][0].tolist() == ids.tolist() and held[0][1].tolist() == counts.tolist()

@@ -108,6 +108,19 @@ def test_secrets_phones_and_cards_of_any_form(spark):
     assert re.search(r"\(\d{3}\) \d{3}-\d{4} now", got[5]["text"]) and valid_card(re.search(r"\d{4} \d{6} \d{5}", got[11]["text"])[0])
 
 
+def test_long_secrets_take_time_in_proportion(spark):
+    """A value of 1 MB, and one line of many settings."""
+    import time
+
+    docs = [(1, "password = " + "Ab3é" * 250_000), (2, "token=" * 20_000), (3, "secret = " + "0a" * 100_000)]
+    began = time.time()
+    got = texts(spark, docs)
+    assert time.time() - began < 60
+    new = got[1]["text"].removeprefix("password = ")
+    assert len(new) == 1_000_000 and re.fullmatch(r"([A-Z][a-z][0-9][a-z])+", new) and got[1]["kinds"] == ["secret"]
+    assert re.fullmatch("secret = [0-9a-f]{200000}", got[3]["text"])
+
+
 def test_short_secrets_find_free_surrogates(spark):
     got = texts(spark, [(i, f"password = {i}") for i in range(10)])
     made = [got[i]["text"] for i in range(10)]
