@@ -73,19 +73,22 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     left out and the rest scaled to one. Values without a target keep no mass. Cells without tokens have mass 0.
     """
     wanted = wanted_shares(cells, targets)
-    fitted = staged(cells.withColumn("mass", F.col("tokens").cast("double")).withColumn("was", F.lit(0.0)))
+    fitted = cells.withColumn("mass", F.col("tokens").cast("double"))
+    for margin, target in wanted.items():
+        fitted = fitted.join(target.withColumnRenamed("target", f"_{margin}"), margin, "left")
+    fitted = staged(fitted)
     for _ in range(rounds):
-        # each margin's factors are staged, as a plan that sums what it also scales would double with every margin
         now = fitted.withColumn("was", F.col("mass"))
-        for margin, target in wanted.items():
-            sums = now.groupBy(margin).agg(F.sum("mass").alias("held")).join(target, margin, "left")
-            factors = staged(sums.select(margin, F.coalesce(F.when(F.col("held") > 0, F.col("target") / F.col("held")), F.lit(0.0)).alias("factor")))
-            now = now.join(factors, margin).withColumn("mass", F.col("mass") * F.col("factor")).drop("factor")
-        fitted = staged(now.select(cells.columns + ["mass", "was"]))
+        for margin in wanted:
+            # staged margin by margin, as a plan that sums what it also scales would double with every margin
+            sums = now.groupBy(margin).agg(F.sum("mass").alias("_held"))
+            factor = F.coalesce(F.when(F.col("_held") > 0, F.col(f"_{margin}") / F.col("_held")), F.lit(0.0))
+            now = staged(now.join(sums, margin).withColumn("mass", F.col("mass") * factor).drop("_held"))
+        fitted = now
         moved = fitted.agg(F.sum(F.abs(F.col("mass") - F.col("was")))).first()[0]
         if moved is None or moved < tolerance:
             break
-    return fitted.drop("was")
+    return fitted.select(*cells.columns, "mass")
 
 
 def margin_error(fitted: DataFrame, targets: dict[str, DataFrame]) -> float:
