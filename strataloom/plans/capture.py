@@ -52,7 +52,7 @@ def post_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     child = lambda c: F.struct(c["id"].alias("id"), c["media_type"].alias("media_type"), source(c["url"]).alias("image_versions2"), F.when(c["media_type"] == 2, F.array(F.struct(c["url"].alias("url")))).alias("video_versions"))
     tag = F.struct(F.struct(F.concat(F.lit("t"), F.col("id") % 50).alias("pk"), F.concat(F.lit("tag"), F.col("id") % 50).alias("username")).alias("user"), F.array(F.lit(0.5), F.lit(0.25)).alias("position"))
     pk = F.col("id").cast("string")
-    head = [pk.alias("pk"), F.concat_ws("_", "id", "account_id").alias("id"), F.concat(F.lit("c"), pk).alias("code"), F.unix_timestamp(F.col("publication_date").cast("timestamp")).alias("taken_at")]
+    head = [pk.alias("pk"), F.concat_ws("_", "id", "account_id").alias("id"), F.concat(F.lit("c."), pk).alias("code"), F.unix_timestamp(F.col("publication_date").cast("timestamp")).alias("taken_at")]
     own = source(F.concat(F.lit("https://x/v/own"), pk, F.lit(".jpg?q"))).alias("image_versions2")
     first_name, later_name = F.concat_ws(" ", "display_name", F.col("id") % 3), F.concat(F.col("display_name"), F.lit(" later"))
     user = person(F.col("account_id"), F.col("username"), first_name)
@@ -107,7 +107,7 @@ def entities(payloads: DataFrame, *names: str) -> dict[str, DataFrame]:
 # ---------------------------------------------------------------- entities
 
 POSTS = f"""SELECT 's' || (p.id % 4) AS source, p.id::VARCHAR AS id_on_platform, p.account_id::VARCHAR AS account_id, a.url_suffix || '/' AS account_url_suffix,
-    CASE WHEN p.id % 3 = 0 OR p.id % 7 NOT IN (2, 3) THEN 'p/c' || p.id WHEN p.id % 7 = 2 THEN 's/55/?story_media_id=' || p.id ELSE 'stories/' || a.url_suffix || '/' || p.id || '/' END AS url_suffix,
+    CASE WHEN p.id % 3 = 0 OR p.id % 7 NOT IN (2, 3) THEN 'p/c.' || p.id WHEN p.id % 7 = 2 THEN 's/55/?story_media_id=' || p.id ELSE 'stories/' || a.url_suffix || '/' || p.id || '/' END AS url_suffix,
     CASE WHEN p.id % 3 = 0 OR p.id % 7 NOT IN {UNDATED} THEN publication_date::TIMESTAMP END AS publication_date,
     CASE WHEN p.id % 3 = 0 THEN 'later ' || caption WHEN p.id % 7 NOT IN {UNDATED} THEN caption END AS caption FROM posts p JOIN accounts a ON a.id = p.account_id"""
 ACCOUNTS = f"""SELECT source, id_on_platform, any_value(url_suffix) AS url_suffix, max_by(display_name, place) FILTER (WHERE display_name IS NOT NULL) AS display_name, max(bio) AS bio FROM (
