@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
@@ -52,32 +53,61 @@ def first_of(stored: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 class Store:
-    """Named tables in one folder. A save writes new versions beside the old ones and then moves one pointer file, so readers see either all tables of the save or none."""
+    """Named tables in one folder. A save writes new versions beside the old ones and then one numbered pointer that names the versions of all tables.
+
+    Readers take the highest pointer that is whole, so they see all tables of a save or none, also after a crash
+    between any two steps. A number is given once: of two saves from the same state the second ends with an error.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._files = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _now(self) -> dict[str, str]:
-        pointer = f"{self.folder}/current"
-        if not self._files.exists(self._path(pointer)):
-            return {}
-        return {r["name"]: r["version"] for r in self.spark.read.schema("name string, version string").json(pointer).collect()}
+    def _pointers(self) -> list[tuple[int, str]]:
+        """(number, path), newest first."""
+        folder = self._path(f"{self.folder}/pointers")
+        found = [f.getPath() for f in self._files.listStatus(folder)] if self._files.exists(folder) else []
+        return sorted(((int(f.getName()), f.toString()) for f in found if f.getName().isdigit()), reverse=True)
+
+    def _named(self, path: str) -> dict[str, str] | None:
+        """The versions that a pointer names; None where its last write did not end."""
+        text = "".join(r["value"] for r in self.spark.read.text(path, wholetext=True).collect())
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
+
+    def _now(self) -> tuple[int, dict[str, str]]:
+        numbers = self._pointers()
+        whole = ((named for _, path in numbers if (named := self._named(path)) is not None))
+        return numbers[0][0] if numbers else 0, next(whole, {})
 
     def load(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}/{self._now()[name]}")
+        return self.spark.read.parquet(f"{self.folder}/{name}/{self._now()[1][name]}")
 
     def save(self, **tables: DataFrame) -> None:
         """All tables or none; a table may be made from the version that it replaces."""
-        version, now = uuid.uuid4().hex, self._now()
+        version, (last, now) = uuid.uuid4().hex, self._now()
         for name, rows in tables.items():
             rows.write.parquet(f"{self.folder}/{name}/{version}")
-        listed = self.spark.createDataFrame(sorted((now | dict.fromkeys(tables, version)).items()), "name string, version string")
-        fresh = f"{self.folder}/next-{version}"
-        listed.coalesce(1).write.json(fresh)
-        pointer, old = self._path(f"{self.folder}/current"), self._path(f"{self.folder}/past-{version}")
-        if self._files.exists(pointer):
-            self._files.rename(pointer, old)
-        if not self._files.rename(self._path(fresh), pointer):
-            raise OSError(f"{self.folder}/current could not be replaced")
+        pointer = self._path(f"{self.folder}/pointers/{last + 1:012d}")
+        out = self._files.create(pointer, False)  # an error where another save has taken the number
+        try:
+            out.write(bytearray(json.dumps(now | dict.fromkeys(tables, version)).encode()))
+        finally:
+            out.close()
+
+    def clear(self, kept: int = 2) -> None:
+        """Drops all but the newest pointers that are whole, and the versions that none of these names; for times without a save or a reader of older versions."""
+        whole = [(number, named) for number, path in self._pointers() if (named := self._named(path)) is not None][:kept]
+        if not whole:
+            return
+        for number, path in self._pointers():
+            if number < whole[-1][0]:
+                self._files.delete(self._path(path), False)
+        for name in {n for _, named in whole for n in named}:
+            held = {named.get(name) for _, named in whole}
+            for f in self._files.listStatus(self._path(f"{self.folder}/{name}")):
+                if f.getPath().getName() not in held:
+                    self._files.delete(f.getPath(), True)
