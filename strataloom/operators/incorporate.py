@@ -231,3 +231,38 @@ def latest_filled(rows: DataFrame, key: str, value: str, at: list[str]) -> DataF
     """(key, value): the value of the latest row of each key in which it is not empty."""
     kept = rows.where(full(F.col(value), rows.schema[value].dataType).isNotNull())
     return kept.groupBy(key).agg(F.max_by(value, F.struct(*at)).alias(value))
+
+
+def values_by_name(rows: DataFrame, value: str, at: list[str]) -> DataFrame:
+    """(name, value): for every identifier of rows (id_on_platform, url_suffix, ...) the latest value that is not empty. Names are id_... and url_..., as identifiers are; a blank identifier is none."""
+    named = F.filter(F.array(*(F.when(F.trim(c) != "", F.concat(F.lit(prefix), F.regexp_replace(c, "/+$", ""))) for prefix, c in (("id_", "id_on_platform"), ("url_", "url_suffix")))), lambda n: n.isNotNull())
+    return latest_filled(rows.select(F.explode(named).alias("name"), value, *at), "name", value, at)
+
+
+def with_named_values(observed: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """observed (id_on_platform, url_suffix, ...) with empty values from values_by_name, by the platform's id and else by the address; what is filled stays."""
+    side = lambda alias: values.select(F.col("name").alias(f"_{alias}"), F.col(value).alias(f"_{alias}_value"))
+    by_id = F.concat(F.lit("id_"), F.regexp_replace("id_on_platform", "/+$", "")) == F.col("_id")
+    by_url = F.concat(F.lit("url_"), F.regexp_replace("url_suffix", "/+$", "")) == F.col("_url")
+    own = full(F.col(value), observed.schema[value].dataType)
+    out = observed.join(side("id"), by_id, "left").join(side("url"), by_url, "left")
+    return out.withColumn(value, F.coalesce(own, F.col("_id_value"), F.col("_url_value"))).select(*observed.columns)
+
+
+def with_latest_observed(canonical: DataFrame, observed: DataFrame, value: str, at: list[str]) -> DataFrame:
+    """canonical (id, ...) with empty values from the latest observation (canonical_id, ...) that has one; what is filled stays. at: the order of observations, distinct within an entity."""
+    latest = latest_filled(observed.where("canonical_id IS NOT NULL"), "canonical_id", value, at).select(F.col("canonical_id").alias("_key"), F.col(value).alias("_latest"))
+    own = full(F.col(value), canonical.schema[value].dataType)
+    out = canonical.join(latest, F.col("id") == F.col("_key"), "left")
+    return out.withColumn(value, F.coalesce(own, F.col("_latest"))).select(*canonical.columns)
+
+
+def aliased(media: DataFrame, archives: str, alias: str, location: str = "archive_location") -> DataFrame:
+    """media whose local_url, relative to its archive's folder, is written relative to the folder of all archives, under its alias; null addresses stay null, and rows without a location as they are.
+
+    An archive outside the folder of all archives is an error.
+    """
+    root = archives.rstrip("/") + "/"
+    whole = F.concat(F.regexp_replace(location, "/+$", ""), F.lit("/"), F.regexp_replace("local_url", "^(?:\\./)+", ""))
+    below = F.when(F.startswith(whole, F.lit(root)), F.concat(F.lit(alias + "/"), F.substr(whole, F.lit(len(root) + 1)))).otherwise(F.raise_error(F.concat(F.lit("outside the archives: "), whole)))
+    return media.withColumn("local_url", F.when(F.col("local_url").isNotNull() & F.col(location).isNotNull(), below).otherwise(F.col("local_url")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -165,6 +165,55 @@ def annotation_import(rows: DataFrame, accounts: DataFrame, tags: DataFrame, exi
     return out.select("entity", "tag", "tag_type", "account_id", F.when(F.col("n_tags") == 1, F.col("tag_id")).alias("tag_id"), status.alias("status"), "message")
 
 
+@dataclass(frozen=True)
+class Annotatable:
+    """A kind of entity that an import may annotate: its ids (id) and, where it is also known by an address, ids with addresses (id, url_suffix); existing (entity_id, tag_id), its annotations."""
+
+    ids: DataFrame
+    existing: DataFrame
+    addressed: bool = False
+
+
+def annotations_import(rows: DataFrame, entities: Mapping[str, Annotatable], tags: DataFrame) -> DataFrame:
+    """rows (row, entity_type, entity, tag, tag_type, notes) for any kinds of entity with entity_id, tag_id, status (added, exists or error) and errors, all that a row has.
+
+    Kinds without regard to case and outer blanks. Digits are an id; for kinds with addresses anything else is an address, which may
+    start with @ (of several the largest id). Tags as in annotation_import. Of rows that ask for the same the first is added, the
+    others exist. All kinds go through the same joins, a row each, whatever their number.
+    """
+    kind = name_key(F.coalesce("entity_type", F.lit("")))
+    asked = F.trim(F.coalesce("entity", F.lit("")))
+    addressed = kind.isin(*(k for k, e in entities.items() if e.addressed))
+    asked = F.when(addressed, F.regexp_replace(asked, "^@+", "")).otherwise(asked)
+    numeric = F.when(addressed, asked.rlike("^[0-9]+$")).otherwise(asked.rlike("^-*[0-9]+$"))
+    own = rows.select(
+        "*", kind.alias("_kind"), F.when(numeric, F.concat(F.lit("id "), F.coalesce(asked.try_cast("long").cast("string"), asked))).when(addressed, F.concat(F.lit("at "), asked)).alias("_entity"),
+        name_key(F.coalesce("tag", F.lit(""))).alias("_name"), F.nullif(name_key(F.coalesce("tag_type", F.lit(""))), F.lit("")).alias("_type"),
+    )
+    known = tags.select(F.col("id").alias("_tag"), name_key(F.col("name")).alias("_name"), name_key(F.col("tag_type")).alias("_known_type"))
+    wanted = own.select("_name", "_type").distinct().join(known, "_name").where("_type IS NULL OR _type = _known_type")
+    wishes = wanted.groupBy(F.struct("_name", "_type").alias("_wish")).agg(F.count("*").alias("_tags"), F.min("_tag").alias("tag_id"))
+    places = []
+    for name, e in entities.items():
+        places.append(e.ids.select(F.lit(name).alias("_kind"), F.concat(F.lit("id "), "id").alias("_entity"), F.col("id").alias("entity_id")))
+        if e.addressed:
+            places.append(e.ids.where("url_suffix IS NOT NULL").groupBy(F.lit(name).alias("_kind"), F.concat(F.lit("at "), "url_suffix").alias("_entity")).agg(F.max("id").alias("entity_id")))
+    there = reduce(DataFrame.union, (e.existing.select(F.lit(name).alias("_kind"), "entity_id", "tag_id") for name, e in entities.items())).distinct().withColumn("_there", F.lit(True))
+    named = own.withColumn("_wish", F.struct("_name", "_type")).join(wishes, "_wish", "left").join(reduce(DataFrame.union, places), ["_kind", "_entity"], "left")
+    valid = F.col("_kind").isin(*entities)
+    errors = F.array_compact(
+        F.array(
+            F.when(~valid, "unknown entity type").when(F.col("_entity").isNull(), "an id is required").when(F.col("entity_id").isNull(), "entity not found"),
+            F.when(F.col("_name") == "", "tag is required").when(F.col("_tags").isNull(), "tag not found").when(F.col("_tags") > 1, "tag is ambiguous"),
+        )
+    )
+    judged = named.withColumn("errors", errors).withColumn("tag_id", F.when(F.col("_tags") == 1, F.col("tag_id"))).join(there, ["_kind", "entity_id", "tag_id"], "left")
+    good = judged.where(F.size("errors") == 0).groupBy("_kind", "entity_id", "tag_id").agg(F.min("row").alias("_first"))
+    told = judged.join(good, ["_kind", "entity_id", "tag_id"], "left")
+    status = F.when(F.size("errors") > 0, "error").when(F.col("_there") | (F.col("_first") < F.col("row")), "exists").otherwise("added")
+    return told.select("row", F.col("_kind").alias("entity_type"), "entity", "entity_id", "tag_id", F.nullif("notes", F.lit("")).alias("notes"), status.alias("status"), "errors")
+
+
 def annotated(existing: DataFrame, status: DataFrame) -> DataFrame:
     """existing (account_id, tag_id) and what an import's rows with status added ask for, once each."""
     return existing.unionByName(status.where("status = 'added'").select("account_id", "tag_id").distinct())

@@ -415,3 +415,50 @@ def coverage_without_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     start, size = (F.col("l_linenumber") - 1) * 25, F.col("l_quantity").cast("int")
     rows = b.table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(known, start).alias("a"), F.when(known, start + size - 1).alias("z"), size.alias("size"))
     return media.coverage(rows, ["l_orderkey"], "a", "z", "size")
+
+
+# ---------------------------------------------------------------- values of old observations, addresses under an alias
+
+SEEN = "SELECT event_id AS ord, ts AS seen_at, user_id AS canonical_id, 'p' || user_id AS id_on_platform, CASE WHEN event_id % 7 = 0 THEN ' ' ELSE event_type || '/' END AS url_suffix, CASE WHEN event_id % 5 = 0 THEN '' ELSE props END AS bio FROM events"
+NAMED = "SELECT name, arg_max(bio, (seen_at, ord)) AS bio FROM (SELECT 'id_' || id_on_platform AS name, bio, seen_at, ord FROM seen UNION ALL SELECT 'url_' || rtrim(url_suffix, '/'), bio, seen_at, ord FROM seen WHERE trim(url_suffix) <> '') WHERE trim(bio) <> '' GROUP BY name"
+
+
+def seen_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of accounts with both identifiers; addresses end in a slash, every seventh is blank."""
+    return b.observations(spark, sf_dir).select("ord", "seen_at", "canonical_id", F.concat(F.lit("p"), "canonical_id").alias("id_on_platform"), F.when(F.col("ord") % 7 == 0, " ").otherwise(F.concat("session", F.lit("/"))).alias("url_suffix"), F.col("note").alias("bio"))
+
+
+@query(stated("SELECT * FROM named", seen=SEEN, named=NAMED))
+def biographies_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inc.values_by_name(seen_accounts(spark, sf_dir), "bio", ["seen_at", "ord"])
+
+
+@query(
+    stated(
+        "SELECT ord, CASE WHEN trim(s.bio) <> '' THEN s.bio ELSE coalesce(i.bio, u.bio) END AS bio FROM (SELECT * REPLACE (CASE WHEN ord % 3 = 0 THEN '' ELSE bio END AS bio, CASE WHEN ord % 2 = 0 THEN id_on_platform END AS id_on_platform) FROM seen) s"
+        " LEFT JOIN named i ON i.name = 'id_' || s.id_on_platform LEFT JOIN named u ON u.name = 'url_' || rtrim(s.url_suffix, '/')",
+        seen=SEEN, named=NAMED,
+    )
+)
+def biographies_of_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations that lost their biography, half of them their platform's id too, get it back by what they are still known by."""
+    seen = seen_accounts(spark, sf_dir)
+    lost = seen.withColumns({"bio": F.when(F.col("ord") % 3 == 0, "").otherwise(F.col("bio")), "id_on_platform": F.when(F.col("ord") % 2 == 0, F.col("id_on_platform"))})
+    return inc.with_named_values(lost, inc.values_by_name(seen, "bio", ["seen_at", "ord"]), "bio").select("ord", "bio")
+
+
+@query(
+    stated(
+        "SELECT a.id, CASE WHEN a.id % 2 = 1 AND trim(a.bio) <> '' THEN a.bio ELSE l.bio END AS bio FROM accounts a LEFT JOIN (SELECT canonical_id, arg_max(bio, (seen_at, ord)) AS bio FROM seen WHERE trim(bio) <> '' GROUP BY canonical_id) l ON l.canonical_id = a.id",
+        "accounts", seen=SEEN,
+    )
+)
+def biographies_of_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accounts = b.accounts(spark, sf_dir).select("id", F.when(F.col("id") % 2 == 1, F.col("bio")).alias("bio"))
+    return inc.with_latest_observed(accounts, seen_accounts(spark, sf_dir), "bio", ["seen_at", "ord"])
+
+
+@query(stated("SELECT media_key, CASE WHEN local_url IS NOT NULL THEN 'archives/s' || post_id % 10 || '/' || local_url END AS local_url FROM media", "media"))
+def addresses_under_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = b.media(spark, sf_dir).withColumn("archive_location", F.concat(F.lit("/srv/archives/s"), F.col("post_id") % 10, F.lit("/")))
+    return inc.aliased(placed, "/srv/archives", "archives").select("media_key", "local_url")

@@ -355,3 +355,44 @@ def tag_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tag_delete_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = spark.sql("SELECT * FROM VALUES ('nation'), ('region'), ('unused') AS t(name)")
     return tags.deletable(types, b.tags(spark, sf_dir), b.account_tags(spark, sf_dir))
+
+
+IMPORT_ROWS = """SELECT s_suppkey * 10 + k AS n, ' Account' AS entity_type, s_suppkey::VARCHAR AS entity, ' ' || lower(n_name) AS tag, 'Nation' AS tag_type, '' AS notes FROM supplier JOIN nation ON n_nationkey = s_nationkey CROSS JOIN (VALUES (2), (4)) v(k)
+    UNION ALL SELECT c_custkey * 10 + 3, 'account', '@' || lower(replace(c_name, '#', '_')), 'china', NULL, 'n' FROM customer
+    UNION ALL SELECT o_orderkey * 10, 'post', o_orderkey::VARCHAR, n_name, NULL, o_orderpriority FROM orders JOIN nation ON n_nationkey = (o_orderkey + o_custkey % 2) % 25
+    UNION ALL SELECT p_partkey * 10 + 1, 'media', p_name, 'x', '', NULL FROM part UNION ALL SELECT p_partkey * 10 + 5, 'story', p_partkey::VARCHAR, ' ', NULL, NULL FROM part UNION ALL SELECT p_partkey * 10 + 6, 'media', p_partkey::VARCHAR, 'ASIA', 'region', NULL FROM part"""
+
+
+@query(
+    stated(
+        """SELECT j.n, j.k AS entity_type, j.entity, coalesce(j.entity_id, -1) AS entity_id, coalesce(j.tag_id, -1) AS tag_id, coalesce(j.notes, '') AS notes, j.errors,
+          CASE WHEN j.errors <> '' THEN 'error' WHEN EXISTS (SELECT 1 FROM x WHERE x.k = j.k AND x.entity_id = j.entity_id AND x.tag_id = j.tag_id) OR min(CASE WHEN j.errors = '' THEN j.n END) OVER (PARTITION BY j.k, j.entity_id, j.tag_id) < j.n THEN 'exists' ELSE 'added' END AS status
+        FROM (SELECT r.*, lower(trim(r.entity_type)) AS k, p.entity_id, t.id AS tag_id,
+            concat_ws(';', CASE WHEN lower(trim(r.entity_type)) = 'story' THEN 'unknown entity type' WHEN lower(trim(r.entity_type)) <> 'account' AND NOT regexp_full_match(r.entity, '[0-9]+') THEN 'an id is required' WHEN p.entity_id IS NULL THEN 'entity not found' END,
+              CASE WHEN trim(r.tag) = '' THEN 'tag is required' WHEN t.id IS NULL THEN 'tag not found' END) AS errors
+          FROM r LEFT JOIN p ON p.k = lower(trim(r.entity_type)) AND p.e = ltrim(r.entity, '@') LEFT JOIN tags t ON lower(trim(t.name)) = lower(trim(r.tag)) AND (coalesce(r.tag_type, '') = '' OR lower(r.tag_type) = t.tag_type)) j""",
+        "accounts", "tags", "account_tags", "posts", "post_tags", r=IMPORT_ROWS,
+        p="SELECT 'account' AS k, id::VARCHAR AS e, id AS entity_id FROM accounts UNION ALL SELECT 'account', url_suffix, id FROM accounts UNION ALL SELECT 'post', id::VARCHAR, id FROM posts UNION ALL SELECT 'media', p_partkey::VARCHAR, p_partkey FROM part",
+        x="SELECT 'account' AS k, account_id AS entity_id, tag_id FROM account_tags UNION ALL SELECT 'post', post_id, tag_id FROM post_tags UNION ALL SELECT 'media', p_partkey, 1000 + p_partkey % 5 FROM part",
+    )
+)
+def annotations_import_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations of accounts, posts and media from one import: by id, by address, repeated, and with every error but ambiguity."""
+    nation, part = b.table(spark, sf_dir, "nation"), b.table(spark, sf_dir, "part")
+    none = F.lit(None).cast("string")
+    named = b.table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("*", F.explode(F.array(F.lit(2), F.lit(4))).alias("k"))
+    rows = named.select((F.col("s_suppkey") * 10 + F.col("k")).cast("long").alias("row"), F.lit(" Account").alias("entity_type"), F.col("s_suppkey").cast("string").alias("entity"), F.concat(F.lit(" "), F.lower("n_name")).alias("tag"), F.lit("Nation").alias("tag_type"), F.lit("").alias("notes"))
+    rows = rows.union(b.accounts(spark, sf_dir).select(F.col("id") * 10 + 3, F.lit("account"), F.concat(F.lit("@"), "url_suffix"), F.lit("china"), none, F.lit("n")))
+    posts = b.posts(spark, sf_dir).join(nation, F.col("n_nationkey") == (F.col("id") + F.col("account_id") % 2) % 25)
+    rows = rows.union(posts.select(F.col("id") * 10, F.lit("post"), F.col("id").cast("string"), "n_name", none, "caption"))
+    key = F.col("p_partkey")
+    rows = rows.union(part.select(key * 10 + 1, F.lit("media"), "p_name", F.lit("x"), F.lit(""), none)).union(part.select(key * 10 + 5, F.lit("story"), key.cast("string"), F.lit(" "), none, none))
+    rows = rows.union(part.select(key * 10 + 6, F.lit("media"), key.cast("string"), F.lit("ASIA"), F.lit("region"), none))
+    entities = {
+        "account": tags.Annotatable(b.accounts(spark, sf_dir), b.account_tags(spark, sf_dir).withColumnRenamed("account_id", "entity_id"), True),
+        "post": tags.Annotatable(b.posts(spark, sf_dir), b.post_tags(spark, sf_dir).withColumnRenamed("post_id", "entity_id")),
+        "media": tags.Annotatable(part.select(key.alias("id")), part.select(key.alias("entity_id"), (key % 5 + 1000).alias("tag_id"))),
+    }
+    out = tags.annotations_import(rows, entities, b.tags(spark, sf_dir))
+    missing = F.lit(-1).cast("long")
+    return out.select(F.col("row").alias("n"), "entity_type", "entity", F.coalesce("entity_id", missing).alias("entity_id"), F.coalesce("tag_id", missing).alias("tag_id"), F.coalesce("notes", F.lit("")).alias("notes"), F.array_join("errors", ";").alias("errors"), "status")

@@ -136,10 +136,22 @@ def sessions_in(files: DataFrame) -> DataFrame:
     return one.select(F.concat_ws("-", "m.kind", "folder").alias("session"), "m.kind", "m.path")
 
 
-def imported(spark: SparkSession, path: str, expected: list[str], required: list[str]) -> DataFrame:
-    """A CSV import with the expected columns only: names are trimmed and lower-cased, missing columns are ''. A required column that lacks is an error."""
-    raw = spark.read.option("header", True).option("multiLine", True).csv(path)
-    names = {c.strip().lstrip("﻿").lower(): c for c in raw.columns}
-    if lacking := [c for c in required if c not in names]:
+#: The most bytes that an import file may have.
+IMPORT_BYTES = 5 * 1024 * 1024
+
+
+def imported(spark: SparkSession, path: str, expected: list[str], required: list[str], most: int | None = IMPORT_BYTES) -> DataFrame:
+    """A CSV import in UTF-8 with the expected columns only: names are trimmed and lower-cased, missing columns are ''. A quote within quotes is doubled; blank lines are no rows.
+
+    Errors: a file of more than `most` bytes, one that is not UTF-8, and a required column that lacks in files with rows.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    if most is not None and (large := files.where(F.col("length") > most).select("path").first()):
+        raise ValueError(f"{large['path']} has more than {most} bytes")
+    if most is not None and (other := files.where(~F.is_valid_utf8(F.col("content").cast("string"))).select("path").first()):
+        raise ValueError(f"{other['path']} is not UTF-8")
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    names = {c.strip().lstrip("\ufeff").lower(): c for c in raw.columns}
+    if (lacking := [c for c in required if c not in names]) and not raw.isEmpty():
         raise ValueError(f"missing columns: {', '.join(lacking)}")
     return raw.select(*(F.coalesce(F.trim(F.col(f"`{names[c]}`")), F.lit("")).alias(c) if c in names else F.lit("").alias(c) for c in expected))
