@@ -165,6 +165,35 @@ def nested(accounts: DataFrame, posts: DataFrame, media: DataFrame, only_with_fi
     return accounts.join(trees.withColumn("posts", newest), accounts["id"] == trees["account_id"], "left").drop("account_id")
 
 
+@dataclass(frozen=True)
+class Side:
+    """Rows (post_id, account, ...) shown under posts: the column of the account, the columns of a row that are shown, and the order (what differs in none of these columns is shown alike)."""
+
+    rows: DataFrame
+    account: str
+    columns: tuple[str, ...]
+    order: tuple[str, ...]
+
+
+def posts_with(posts: DataFrame, accounts: DataFrame, sides: Mapping[str, Side], most: int = 50) -> DataFrame:
+    """posts (id, ...) with, for each side, an array of the first `most` of its rows (with the account's name and address) and n_<side>, how many there are in all.
+
+    A post that very many rows share stays bounded: numbers are summed before they move, and Spark keeps the first rows
+    of a post in each task before it shuffles them. Meant for a page of posts or a session's; without posts nothing is returned.
+    """
+    ids, out = posts.select(F.col("id").alias("post_id")).distinct(), posts
+    for name, side in sides.items():
+        own = side.rows.join(ids, "post_id", "left_semi")
+        counts = own.groupBy(F.col("post_id").alias("_p")).agg(F.count("*").alias(f"n_{name}"))
+        first = own.withColumn("_place", F.row_number().over(W.partitionBy("post_id").orderBy(*side.order))).where(F.col("_place") <= most)
+        named = with_account(first, accounts, side.account, "account_")
+        shown = F.struct("_place", F.col(side.account).alias("account_id"), "account_display_name", "account_url_suffix", *side.columns)
+        lists = named.groupBy(F.col("post_id").alias("_l")).agg(F.array_sort(F.collect_list(shown)).alias(name))
+        out = out.join(counts, F.col("id") == F.col("_p"), "left").join(lists, F.col("id") == F.col("_l"), "left").drop("_p", "_l")
+        out = out.withColumns({f"n_{name}": F.coalesce(f"n_{name}", F.lit(0)).cast("long"), name: F.coalesce(name, F.array().cast(lists.schema[name].dataType))})
+    return out
+
+
 def threads(comments: DataFrame, thread: str, item: str, parent: str, at: str) -> DataFrame:
     """comments with `place` (from 1) within each thread: by time, every top comment followed by its replies; replies without their parent last.
 

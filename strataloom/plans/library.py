@@ -345,3 +345,30 @@ def relation_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = b.posts(spark, sf_dir).groupBy(F.col("account_id").alias("id")).agg(F.count("*").alias("post_count"))
     ends = b.relations(spark, sf_dir).groupBy(F.col("follower_id").alias("id")).agg(F.count("*").alias("relations"))
     return enrich.by_relations(b.accounts(spark, sf_dir).select("id"), made.join(ends, "id", "full_outer"), 5, 40, True)
+
+
+def side_sql(name: str, account: str, shown: str, order: str) -> str:
+    return f"""(SELECT post_id, max(rn) AS n, string_agg({shown}, ';' ORDER BY rn) FILTER (WHERE rn <= 3) AS rows FROM (
+      SELECT s.*, a.display_name, row_number() OVER (PARTITION BY s.post_id ORDER BY {order}) AS rn FROM {name} s LEFT JOIN accounts a ON a.id = s.{account}) GROUP BY post_id)"""
+
+
+@query(
+    stated(
+        f"""SELECT p.id, coalesce(c.n, 0) AS n_comments, coalesce(c.rows, '') AS comments, coalesce(l.n, 0) AS n_likes, coalesce(l.rows, '') AS likes, coalesce(t.n, 0) AS n_tagged, coalesce(t.rows, '') AS tagged FROM posts p
+        LEFT JOIN {side_sql("comments", "account_id", "concat_ws(':', account_id, display_name, id, text)", "publication_date NULLS FIRST, s.id")} c ON c.post_id = p.id
+        LEFT JOIN {side_sql("likes", "account_id", "concat_ws(':', account_id, display_name)", "account_id NULLS FIRST")} l ON l.post_id = p.id
+        LEFT JOIN {side_sql("tagged", "tagged_account_id", "concat_ws(':', tagged_account_id, display_name)", "tagged_account_id NULLS FIRST")} t ON t.post_id = p.id""",
+        "accounts", "posts", "comments", "likes", "tagged",
+    )
+)
+def posts_with_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every post with the number of its comments, likes and tagged accounts, and the first three of each by name."""
+    sides = {
+        "comments": enrich.Side(b.comments(spark, sf_dir), "account_id", ("id", "text"), ("publication_date", "id")),
+        "likes": enrich.Side(b.likes(spark, sf_dir), "account_id", (), ("account_id",)),
+        "tagged": enrich.Side(b.tagged(spark, sf_dir), "tagged_account_id", (), ("tagged_account_id",)),
+    }
+    out = enrich.posts_with(b.posts(spark, sf_dir), b.accounts(spark, sf_dir), sides, most=3)
+    more = {"comments": ["id", "text"], "likes": [], "tagged": []}
+    text = lambda name: F.array_join(F.transform(name, lambda r: F.concat_ws(":", r["account_id"], r["account_display_name"], *(r[c] for c in more[name]))), ";").alias(name)
+    return out.select("id", *(c for name in more for c in (F.col(f"n_{name}"), text(name))))
