@@ -8,7 +8,8 @@ signature is a minimum over copied runs.
 128 coordinates give 32 bands of 4; two sets of similarity 0.8 share no band with probability below 1e-7.
 Documents with equal shingle sets collapse into one class first. Buckets of at most SMALL classes yield all
 their pairs. A larger bucket yields two links a member: to the bucket's smallest class and to the smallest
-of its salted subgroup. All links are confirmed on full shingle sets and joined into components.
+of its salted subgroup. Pairs that sketches of n to 2n bits rule out for certain (odd sketches, Mitzenmacher et
+al. 2014) are dropped; the others' links are confirmed on full shingle sets and joined into components.
 
 Members that a large bucket leaves in different components are open. Two sets of similarity 0.8 share one of
 the rarest fifth of either's shingles, so open members meet again in buckets of these rare shingles: what
@@ -22,6 +23,8 @@ without a shuffle by key (operators.skew).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,6 +40,8 @@ COORDINATES, ROWS = 128, 4
 UNIVERSE = 1 << 20
 #: Classes of a bucket that yields all pairs, and shingles on either side of a cell.
 SMALL, CELL = 16, 1 << 18
+#: Pairs of one document that meet in one part.
+PART = 256
 #: Bits of the prefilters that are broadcast: 2**26, that is 8 MB whatever the input; and slots in which shingles are counted.
 FILTER_BITS, SLOTS = 26, 1 << 18
 
@@ -66,28 +71,29 @@ class Circulant:
 
 
 def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, keys) a row of docs; set_id is a 128-bit digest of the whole shingle set."""
+    """(doc_id, n_shingles, set_id, odd, keys) a row of docs; set_id is a 128-bit digest of the whole shingle set, odd its sketch."""
 
     def work(batches):
         import xxhash
 
         memory, circulant = WordHashes(), Circulant()
         for ids, texts in rows_of(batches, "doc_id", "text"):
-            counts, sets, keys = [], [], []
+            counts, sets, odds, keys = [], [], [], []
             for text in texts:
                 s = shingles_of(text.as_py(), words, memory)
                 counts.append(len(s))
                 sets.append(xxhash.xxh3_128_digest(s.tobytes()))
+                odds.append(odd_sketch(s) if len(s) else None)
                 keys.append(circulant.keys(s) if len(s) else np.empty(0, np.int64))
             lengths = np.cumsum([0, *map(len, keys)])
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(counts, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)],
-                ["doc_id", "n_shingles", "set_id", "keys"],
+                [ids, pa.array(counts, pa.int64()), pa.array(sets, pa.binary()), pa.array(odds, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)],
+                ["doc_id", "n_shingles", "set_id", "odd", "keys"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(work, f"doc_id {kind}, n_shingles long, set_id binary, keys array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(work, f"doc_id {kind}, n_shingles long, set_id binary, odd binary, keys array<bigint>")
 
 
 def bitmap(slots: DataFrame) -> np.ndarray:
@@ -120,14 +126,66 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return made.join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b), staged, whose full sets have 100 * intersection >= percent * union. A class that very many pairs name first has its set repeated for SALTS parts of them."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    heavy = heavy_hashes(pairs.groupBy("a").agg(F.count("*").alias("size")), "a", "size", pairs.count())
-    met = salted(pairs, heavy, "a", F.col("b")).join(replicated(left, heavy, "a"), ["a", "salt"])
-    both = met.join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """A bit for each of n to 2n slots (a power of two, 64 at least), set where an odd number of the n shingles falls."""
+    slots = 1 << max(6, (len(shingles) - 1).bit_length())
+    held = np.bincount((shingles & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+    return np.packbits((held & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(na: int, x: np.ndarray, nb: int, y: np.ndarray, percent: int) -> bool:
+    """False where the odd sketches x, y of sets of na and nb shingles rule the asked similarity out, which they never do wrongly.
+
+    A slot where the sketches differ holds a shingle that only one of the sets has, so the sets differ by as many shingles at least.
+    Halving a sketch by exclusive or gives the sketch of half as many slots.
+    """
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    common = min(na, nb, (na + nb - int(np.bitwise_count(x ^ y).sum())) // 2)
+    return 100 * common >= percent * (na + nb - common)
+
+
+def similar(na: int, x: np.ndarray, nb: int, y: np.ndarray, percent: int) -> bool:
+    """Whether the sorted sets x, y have 100 * intersection >= percent * union."""
+    common = int((x[np.searchsorted(x, y).clip(max=len(x) - 1)] == y).sum())
+    return 100 * common >= percent * (na + nb - common)
+
+
+def passing(pairs: DataFrame, values: DataFrame, column: str, test: Callable[[int, np.ndarray, int, np.ndarray, int], bool], percent: int) -> DataFrame:
+    """The pairs (a, b), a < b, staged, whose values (id, n, `column`) pass the test.
+
+    A value moves once to its id and from there once a pair in which it is b, to the a of the pair. There the rows are sorted, so that a,
+    the smallest id, comes first and meets the others as they stream by. An a of many pairs is dealt to parts of about PART pairs.
+    An id of several values passes if one of them does.
+    """
+    sizes = staged(pairs.groupBy("a").agg(F.count("*").alias("size")))
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / PART)).alias("part")
+    dealt = staged(join_values(pairs, sizes, "a", "size", pairs.count()).select("a", "b", part))
+    aims = dealt.select(F.col("a").alias("id"), "a", "part").distinct().unionByName(dealt.select(F.col("b").alias("id"), "a", "part"))
+    sent = values.select("id", "n", column).join(aims, "id").repartition("a", "part").sortWithinPartitions("a", "part", "id")
+
+    def work(batches):
+        first, heads = None, []
+        for firsts, ids, counts, held in rows_of(batches, "a", "id", "n", column):
+            out = []
+            for a, i, n, value in zip(firsts.to_pylist(), ids.to_pylist(), counts.to_pylist(), held, strict=True):
+                own = np.asarray(value.values).view(np.uint64) if pa.types.is_nested(held.type) else np.frombuffer(value.as_buffer(), np.uint8)
+                if i == a:
+                    first, heads = a, [*(heads if first == a else []), (n, own)]
+                elif first == a and any(test(m, head, n, own, percent) for m, head in heads):
+                    out.append((a, i))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], firsts.type), pa.array([b for _, b in out], ids.type)], ["a", "b"])
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return staged(sent.select("a", "id", "n", column).mapInArrow(work, f"a {kind}, b {kind}").distinct())
+
+
+def sketches(seen: DataFrame) -> DataFrame:
+    """(id, n, odd) of the documents with shingles. Rows that repeat an id and a sketch are one; repeated ids meet in one task, where the join by id finds them too."""
+    known = seen.where("doc_id IS NOT NULL AND n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "odd")
+    return known.repartition("id").dropDuplicates()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -262,7 +320,7 @@ def family_links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return asking.unionByName(told).groupBy("g", "x", "y").applyInPandas(meet, "a long, b long")
 
 
-def open_links(members: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
+def open_links(members: DataFrame, labels: DataFrame, docs: DataFrame, seen: DataFrame, words: int, percent: int) -> DataFrame | None:
     """Links that the stars of large buckets missed; None where no large bucket lies in several components."""
     left = staged(open_members(members, labels).select("id", "c").distinct())
     main = left.groupBy("c").count().orderBy(F.desc("count"), "c").first()
@@ -275,7 +333,8 @@ def open_links(members: DataFrame, labels: DataFrame, docs: DataFrame, words: in
     other = sized.select("key", F.col("id").alias("b"), F.col("c").alias("d"), F.col("size").alias("m"))
     near = (F.col("size") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("size") * percent)
     pairs = staged(sized.withColumnRenamed("id", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near).select("a", "b").distinct())
-    links = staged(confirmed(pairs, sets, percent))
+    pairs = passing(pairs, sketches(seen), "odd", may_be_similar, percent)
+    links = passing(pairs, sets, "shingles", similar, percent)
     large = families(rare, labels)
     return links if large.isEmpty() else links.union(staged(family_links(large, sets.select("id", "n", "shingles"), percent)))
 
@@ -305,11 +364,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) ->
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = staged(seen.where(linked).groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
     members = bucketed(staged(classes.select("id", F.explode("keys").alias("key"))))
-    pairs = staged(first_links(members))
+    pairs = passing(staged(first_links(members)), sketches(seen), "odd", may_be_similar, percent)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = staged(confirmed(pairs, staged(shingle_sets(docs, ids, words)), percent))
+    links = passing(pairs, shingle_sets(docs, ids, words), "shingles", similar, percent)
     labels = staged(components(links))
-    more = open_links(members, labels, docs, words, percent)
+    more = open_links(members, labels, docs, seen, words, percent)
     if more is not None:
         labels = relabelled(labels, more)
     found = staged(classes.select("set_id", "id", "copies").join(labels, "id", "left").select("set_id", "copies", F.coalesce("component_id", "id").alias("component_id")))

@@ -77,3 +77,48 @@ def test_rare_shingles_meet(spark):
                 assert rare[i] & rare[j]
                 met += 1
     assert met and all(len(v) == 5 for i, v in rare.items() if i < 100 and i % 3 == 0)
+
+
+def test_sketches_never_rule_out_similar_sets():
+    rng = np.random.default_rng(7)
+    sets = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    dropped = 0
+    for n in (1, 5, 63, 64, 65, 130, 1000, 5000):
+        for share in (0.3, 0.6, 0.7, 0.79, 0.8, 0.85, 1.0):
+            for more in (0, n // 10, n // 5):
+                x = sets(n)
+                y = np.unique(np.concatenate([x[: max(1, int(len(x) * share))], sets(more)]))
+                pack = lambda s: np.frombuffer(minhash.odd_sketch(s), np.uint8)
+                same = minhash.similar(len(x), x, len(y), y, 80)
+                assert same == (100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))) == minhash.similar(len(y), y, len(x), x, 80)
+                maybe = minhash.may_be_similar(len(x), pack(x), len(y), pack(y), 80)
+                assert maybe or not same
+                assert maybe == minhash.may_be_similar(len(y), pack(y), len(x), pack(x), 80)
+                dropped += not maybe
+                if n >= 130 and share <= 0.7:
+                    assert not maybe
+    assert dropped > 40
+
+
+def test_only_pairs_that_may_be_similar_have_their_sets_sent(spark, monkeypatch):
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    shared, docs = words(150), []
+    for i in range(40):
+        docs.append((i, " ".join(words(50) + shared)))  # share bands with one another, but are not similar
+    for i in range(3):
+        docs.append((100 + i, docs[i][1] + f" end{i}"))
+    asked, made = [], minhash.shingle_sets
+    monkeypatch.setattr(minhash, "shingle_sets", lambda d, wanted, n: (asked.append({r["id"] for r in wanted.collect()}), made(d, wanted, n))[1])
+    assert found(minhash.near_duplicates(frame(spark, docs), words=4)) == wanted(docs, 4)
+    assert asked[0] == {0, 1, 2, 100, 101, 102}
+
+
+def test_pairs_of_one_document_meet_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART", 4)
+    sets = {i: list(range(i % 3, 40)) + list(range(100 * i, 100 * i + i % 20)) for i in range(1, 61)}
+    values = spark.createDataFrame([(i, len(s), s) for i, s in sets.items()], "id long, n long, shingles array<long>")
+    every = [(a, b) for a in (1, 2, 7) for b in range(a + 1, 61)]
+    got = minhash.passing(spark.createDataFrame(every, "a long, b long"), values, "shingles", minhash.similar, 80).collect()
+    good = {(a, b) for a, b in every if 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))}
+    assert sorted(map(tuple, got)) == sorted(good) and 0 < len(good) < len(every)
