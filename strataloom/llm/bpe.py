@@ -5,7 +5,7 @@ LEXICON of them at most, are encoded exactly once and compiled into a minimal ac
 carry number outputs: the sum of the outputs along a piece's path is its ordinal, which addresses its ids.
 The automaton is one file that Spark ships to every executor, where workers memory-map it, so its pages are
 shared. All of a slice's new pieces walk it together, one byte a step. Pieces it does not hold are merged
-exactly by the vocabulary's merge ranks.
+exactly by the vocabulary's merge ranks, all of a slice together, one merge of each a step.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import unicodedata
 import uuid
 from array import array
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ from strataloom.llm.common import rows_of, staged, write_file
 LEXICON, MEMORY = 65_536, 100_000
 #: Longer words are not counted, longer pieces merged with a heap.
 LONG = 64
+#: More than any rank and place, and bytes of pieces that are merged together at most.
+NEVER, TOGETHER = np.int64(2**63 - 1), 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -86,6 +88,11 @@ class Vocabulary:
         self.ranks = {(self.ids[raw(a)], self.ids[raw(b)]): (k, self.ids[raw(a + b)]) for k, (a, b) in enumerate(pairs)}
         self.none = (len(self.ranks), -1)
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
+        # the pairs in order, so one binary search finds the ranks of many
+        pairs = np.array([[a << 32 | b, k, new] for (a, b), (k, new) in sorted(self.ranks.items())], np.int64).reshape(-1, 3)
+        self.pairs, self.pair_ranks = pairs[:, 0].copy(), pairs[:, 1].copy()
+        self.joined = np.zeros(int(self.pair_ranks.max(initial=-1)) + 1, np.int64)  # the new id by rank
+        self.joined[self.pair_ranks] = pairs[:, 2]
         self.added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         size = max([*self.ids.values(), *self.added.values()]) + 1
@@ -140,6 +147,60 @@ class Vocabulary:
                     heapq.heappush(heap, (found[0], x, found[1], ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
+    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, and where those that merge gives for each piece start and how many they are."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts, lengths, parts, used = np.zeros_like(sizes), np.zeros_like(sizes), [np.empty(0, np.int64)], 0
+        least = 1
+        for most in (8, 16, 32, LONG):  # pieces of about the same length are done at about the same time
+            group = np.flatnonzero((sizes >= least) & (sizes <= most))
+            for at in range(0, len(group), TOGETHER // most):
+                which = group[at : at + TOGETHER // most]
+                flat, found = self.merge_together([pieces[k] for k in which.tolist()])
+                starts[which], lengths[which] = used + np.cumsum(found) - found, found
+                parts.append(flat)
+                used += len(flat)
+            least = most + 1
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            parts.append(np.array(self.merge_long(pieces[k]), np.int64))
+            starts[k], lengths[k] = used, len(parts[-1])
+            used += len(parts[-1])
+        return np.concatenate(parts), starts, lengths
+
+    def merge_together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that merge gives for each piece, flat, and their numbers; each step merges the best pair of every piece. No piece is empty."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts, n = np.cumsum(sizes) - sizes, int(sizes.sum())
+        # the last place stands beside the ends of all pieces; no pair holds its id
+        ids = np.append(np.array(self.byte_ids, np.int64)[np.frombuffer(b"".join(pieces), np.uint8)], -1)
+        after, before, alive = np.arange(1, n + 2), np.arange(-1, n), np.ones(n, bool)
+        after[starts + sizes - 1] = before[starts] = after[n] = n
+        best = self.ranked(ids, after, np.arange(n))
+        while True:
+            found = np.minimum.reduceat(best, starts)
+            found = found[found < NEVER]
+            if not len(found):
+                break
+            i = found & 0xFFFFFFFF
+            j = after[i]
+            ids[i] = self.joined[found >> 32]
+            after[i] = after[j]
+            before[after[i]] = i
+            alive[j], best[j] = False, NEVER
+            best[i] = self.ranked(ids, after, i)
+            h = before[i]
+            h = h[h < n]
+            best[h] = self.ranked(ids, after, h)
+        return ids[:n][alive], np.add.reduceat(alive, starts, dtype=np.int64)
+
+    def ranked(self, ids: np.ndarray, after: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank and place of the pairs that start at places, in one number; NEVER where no merge is."""
+        want = ids[at] << 32 | ids[after[at]]
+        if not len(self.pairs):
+            return np.full(len(at), NEVER)
+        k = np.minimum(np.searchsorted(self.pairs, want), len(self.pairs) - 1)
+        return np.where(self.pairs[k] == want, self.pair_ranks[k] << 32 | at, NEVER)
+
     def marked(self, text: str) -> bool:
         """Whether an added token stands in the text."""
         return any(t in text for t in self.added)
@@ -252,6 +313,14 @@ class Lexicon:
         return np.where(ends, total, -1)
 
 
+class Numbers(dict):
+    """Numbers from 0 by key, in the order in which keys are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        value = self[key] = len(self)
+        return value
+
+
 class Encoder:
     """Ids of texts through the lexicon, with exact merges for what it lacks."""
 
@@ -260,48 +329,46 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         # typed arrays, which numpy reads in place
         self.starts, self.lengths, self.flat = array("q"), array("q"), array("i")
 
     def learn(self, chunks: list[str]) -> None:
-        """Ids of chunks not met before: of their pieces, the lexicon's as it has them, others merged."""
-        find = piece_pattern().findall
+        """Ids of chunks not met before, in order: of their pieces, the lexicon's as it has them, others merged."""
+        vocabulary, find = self.vocabulary, piece_pattern().findall
         # letters alone are one piece
-        split = [[c] if c.removeprefix(" ").isalpha() or c in self.vocabulary.added else find(c) for c in chunks]
-        pieces = sorted(set().union(*split))
-        raw = [p.encode() for p in pieces]
+        split = [[c] if c.removeprefix(" ").isalpha() or c in vocabulary.added else find(c) for c in chunks]
+        counts, place = np.fromiter(map(len, split), np.int64, len(split)), Numbers()
+        which = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        raw = [p.encode() for p in place]
         found = self.lexicon.ordinals(raw) if self.lexicon else np.full(len(raw), -1)
-        known = {}
-        for piece, data, ordinal in zip(pieces, raw, found.tolist(), strict=True):
-            if piece in self.vocabulary.added:
-                known[piece] = [self.vocabulary.added[piece]]
-            elif ordinal >= 0:
-                known[piece] = self.lexicon.ids[self.lexicon.starts[ordinal] : self.lexicon.starts[ordinal + 1]].tolist()
-            else:
-                known[piece] = self.vocabulary.merge(data)
-        for chunk, parts in zip(chunks, split, strict=True):
-            before = len(self.flat)
-            for p in parts:
-                self.flat.extend(known[p])
-            self.number[chunk] = len(self.starts)
-            self.starts.append(before)
-            self.lengths.append(len(self.flat) - before)
+        rest = np.flatnonzero(found < 0)
+        merged, at, sizes = vocabulary.merge_all([raw[k] for k in rest.tolist()])
+        ids, held = (self.lexicon.ids, self.lexicon.starts) if self.lexicon else (np.empty(0, np.int32), np.zeros(1, np.int32))
+        starts, lengths = held[found].astype(np.int64), (held[found + 1] - held[found]).astype(np.int64)
+        starts[rest], lengths[rest] = len(ids) + at, sizes
+        flat = np.concatenate([ids, merged, np.fromiter(vocabulary.added.values(), np.int64, len(vocabulary.added))])
+        for k, token in enumerate(vocabulary.added, len(ids) + len(merged)):
+            if token in place:
+                starts[place[token]], lengths[place[token]] = k, 1
+        ends = np.concatenate([[0], np.cumsum(lengths[which])])[np.concatenate([[0], np.cumsum(counts)])]
+        self.starts.frombytes((ends[:-1] + len(self.flat)).tobytes())
+        self.lengths.frombytes(np.diff(ends).tobytes())
+        self.flat.frombytes(gathered(flat, starts[which], lengths[which]).astype(np.int32).tobytes())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the offsets of the texts. Once MEMORY chunks are known, which the common ones soon are, more are remembered for this call only."""
         split = [self.vocabulary.chunks(t) for t in texts]
-        new = set().union(*split) - self.number.keys() if split else set()
         kept, used = len(self.starts), len(self.flat)
-        if new:
-            self.learn(sorted(new))
         counts = np.fromiter(map(len, split), np.int64, len(split))
         which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        if len(self.number) > kept:
+            self.learn(list(islice(self.number, kept, None)))
         # copies, as the arrays grow and shrink later
         starts, lengths, ids = np.array(self.starts, np.int64), np.array(self.lengths, np.int64), np.array(self.flat, np.int32)
         if len(self.starts) > MEMORY:
-            for chunk in new:
-                del self.number[chunk]
+            while len(self.number) > kept:
+                self.number.popitem()
             del self.starts[kept:], self.lengths[kept:], self.flat[used:]
         flat = gathered(ids, starts[which], lengths[which]) if len(which) else np.empty(0, np.int32)
         ends = np.concatenate([[0], np.cumsum(lengths[which])]) if len(which) else np.zeros(1, np.int64)

@@ -67,3 +67,29 @@ def test_lexicon_is_minimal_and_exact(tmp_path):
     # taps/tops and tap/top share their ends: t-(a|o)-p-s needs four states after the root, banana six more
     assert len(held.first) - 1 <= 11
     assert np.array_equal(held.ids[held.starts[2] : held.starts[3]], [2, 7])
+
+
+def test_merges_of_many_pieces_at_once(library):
+    rng = random.Random(7)
+    vocabulary = bpe.vocabulary_of(bpe.default_vocabulary())
+    texts = ["".join(rng.choice("aehinrst" if k % 2 else "aeé日🙂'1!") for _ in range(rng.choice([1, 2, 3, 8, 9, 16, 17, 33, 64, 65, 300]))) for k in range(1500)]
+    pieces = ["", *texts, "a", "e" * 64, "e" * 65, "abab" * 16]
+    flat, starts, lengths = vocabulary.merge_all([p.encode() for p in pieces])
+    got = [flat[a : a + n].tolist() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+    assert got == [vocabulary.merge(p.encode()) for p in pieces]
+    assert vocabulary.merge_all([])[0].tolist() == []
+    words = [k for k, p in enumerate(pieces) if p.isalpha()]
+    assert len(words) > 700 and [got[k] for k in words] == [library.encode(pieces[k], add_special_tokens=False).ids for k in words]
+
+
+def test_new_pieces_are_not_merged_one_by_one(library, monkeypatch):
+    encoder = bpe.Encoder(bpe.Vocabulary(bpe.default_vocabulary()), None)
+    monkeypatch.setattr(encoder.vocabulary, "merge", lambda piece: pytest.fail("a short piece was merged alone"))
+    monkeypatch.setattr(bpe, "TOGETHER", 64)  # several parts
+    monkeypatch.setattr(bpe, "MEMORY", 40)  # the later calls remember nothing more
+    texts = [*TEXTS, *(f"anther{k} ethroin {'tion' * (k % 20)} x.{k}" for k in range(60)), ""]
+    for at in [*range(0, len(texts), 8), 0]:
+        some = texts[at : at + 8]
+        flat, offsets = encoder.encode(some)
+        assert [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t, add_special_tokens=False).ids for t in some]
+    assert len(encoder.number) == len(encoder.starts) == len(encoder.lengths) <= 40 and len(encoder.flat) == sum(encoder.lengths)
