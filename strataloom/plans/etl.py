@@ -179,7 +179,7 @@ def status_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def contiguous_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = (F.col("l_linenumber") - 1) * 25
-    rows = b.table(spark, sf_dir, "lineitem").select("l_orderkey", start.alias("a"), (start + F.col("l_quantity").cast("int") - 1).alias("z"))
+    rows = b.table(spark, sf_dir, "lineitem").select("l_orderkey", start.alias("a"), (start + F.rint("l_quantity").cast("int") - 1).alias("z"))
     return media.coverage(rows, ["l_orderkey"], "a", "z")
 
 
@@ -412,7 +412,7 @@ def merged_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coverage_without_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First lines have no range, so they lie at byte 0 and end where their data ends."""
     known = F.col("l_linenumber") > 1
-    start, size = (F.col("l_linenumber") - 1) * 25, F.col("l_quantity").cast("int")
+    start, size = (F.col("l_linenumber") - 1) * 25, F.rint("l_quantity").cast("int")
     rows = b.table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(known, start).alias("a"), F.when(known, start + size - 1).alias("z"), size.alias("size"))
     return media.coverage(rows, ["l_orderkey"], "a", "z", "size")
 
