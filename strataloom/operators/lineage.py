@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder."""
     shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+#: Lets the shuffle files of a query go as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder as compressed parquet; its shuffle files go at once. For what may be large: a checkpoint is several times as big. Rows come back in any order."""
+    spark, path = df.sparkSession, f"{shared_root(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.operators.lineage import checkpointed
+from strataloom.operators.lineage import checkpointed, staged
 from strataloom.operators.skew import join_values
 
 #: Rounds after which a search for clusters is given up with an error; each at least halves the longest path.
@@ -37,15 +37,24 @@ def components(links: DataFrame, cut: Callable[[DataFrame], DataFrame] = checkpo
     raise RuntimeError("the search for components did not settle")
 
 
-def clusters(rows: DataFrame, order: str, keys: list[Column]) -> DataFrame:
-    """rows with `cluster`: rows that share a value of the same key, directly or through others, get the smallest `order` among them. Null keys match nothing.
+def linked(rows: DataFrame, order: str, keys: list[Column]) -> DataFrame | None:
+    """(id, component): for each row's `order` that is not the smallest among the rows that share a value of the same key with it, directly or through others, that smallest; None where no rows share any. Null keys match nothing.
 
-    A value's rows are linked to its first row only, so a value that most rows share costs one link a row.
+    A value's rows are linked to its first row only, so a value that most rows share costs one link a row. Values of one row link nothing and go no further than their count. rows are read several times.
     """
     slots = reduce(DataFrame.unionByName, (rows.select(F.col(order).alias("b"), F.struct(F.lit(k).alias("slot"), c.cast("string").alias("value")).alias("key")) for k, c in enumerate(keys)))
     slots = slots.where("key.value IS NOT NULL")
-    first = slots.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("size"))
-    found = components(join_values(slots, first, "key", "size", slots.count()).select("a", "b"))
+    first = staged(slots.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("size")).where("size > 1"))
+    if first.isEmpty():
+        return None
+    return components(join_values(slots, first, "key", "size", slots.count()).select("a", "b"), staged)
+
+
+def clusters(rows: DataFrame, order: str, keys: list[Column]) -> DataFrame:
+    """rows with `cluster`: rows that share a value of the same key, directly or through others, get the smallest `order` among them. Null keys match nothing; see linked."""
+    found = linked(rows, order, keys)
+    if found is None:
+        return rows.withColumn("cluster", F.col(order))
     return rows.join(found, rows[order] == found["id"], "left").withColumn("cluster", F.coalesce("component", order)).drop("id", "component")
 
 

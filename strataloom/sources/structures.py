@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.normalize import cdn_filename, like_id, relation_id, shortcode, tagged_id
-from strataloom.operators.lineage import checkpointed
+from strataloom.operators.lineage import staged
 from strataloom.operators.reconcile import full
-from strataloom.operators.resolve import clusters
+from strataloom.operators.resolve import linked
 from strataloom.sources.captures import body_bytes, page_scripts, values_at_key
 
 USER = "struct<pk: string, id: string, username: string, full_name: string, biography: string>"
@@ -71,8 +71,8 @@ def merged_shape() -> str:
 
 
 def parsed(payloads: DataFrame) -> DataFrame:
-    """payloads with their json as `p`, computed once for all that reads it; text that is no JSON gives null."""
-    return checkpointed(payloads.withColumn("p", F.from_json("json", merged_shape())).drop("json"))
+    """payloads with their json as `p`; text that is no JSON gives null."""
+    return payloads.withColumn("p", F.from_json("json", merged_shape())).drop("json")
 
 
 def with_at(rows: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def tagged(items: DataFrame) -> DataFrame:
 
 def flattened(payloads: DataFrame) -> dict[str, DataFrame]:
     """The streams of post-like items in payloads (source, json): accounts, posts, media, tagged_accounts, each with the order `at` of its rows. The items are worked out once."""
-    items = checkpointed(items_of(payloads))
+    items = staged(items_of(payloads))
     tags = tagged(items)
     owners = items.select("source", "at", owner(F.col("item")).alias("user")).unionByName(tags.select("source", "at", "user")).where("user IS NOT NULL")
     account, name = F.coalesce(F.col("user.pk"), F.col("user.id")), F.concat(F.col("user.username"), F.lit("/"))
@@ -225,14 +225,16 @@ def named(user: Column) -> Column:
     return F.concat(F.nullif(user["username"], F.lit("None")), F.lit("/"))
 
 
-def bundle(payloads: DataFrame) -> dict[str, DataFrame]:
-    """All seven streams of payloads (source, url, context_id, target_id, json, and at where their order is known), parsed once: accounts, posts, media, comments, likes, account_relations, tagged_accounts.
+def bundle(payloads: DataFrame, *names: str) -> dict[str, DataFrame]:
+    """The streams `names` (all seven where none is named) of payloads (source, url, context_id, target_id, json, and at where their order is known), parsed once: accounts, posts, media, comments, likes, account_relations, tagged_accounts.
 
     Lists of users are likes under .../likers/ and follows under .../friendships/; a connection of comments or of
     likers counts wherever it comes. Rows of several payloads stand beside one another, with their order `at`; see deduplicated.
     """
-    held = parsed(with_at(payloads))
-    out = flattened(held)
+    wanted, held = set(names or IDENTITIES), parsed(with_at(payloads))
+    if len(wanted) > 1 or not wanted <= {"comments", "likes"}:  # either alone reads the payloads once
+        held = staged(held)
+    out = flattened(held) if wanted - {"comments", "likes", "account_relations"} else {}
     p, url = F.col("p"), F.coalesce("url", F.lit(""))
     data = p["data"]
     none = F.array().cast(f"array<{COMMENT}>")
@@ -261,8 +263,10 @@ def bundle(payloads: DataFrame) -> dict[str, DataFrame]:
     bare = lambda rows, column: rows.where(F.col(column).isNotNull()).select("source", "at", F.col(column).dropFields("full_name", "biography").withField("full_name", F.lit(None).cast("string")).withField("biography", F.lit(None).cast("string")).alias("user"))
     profile = held.where(data["user"]["biography"].isNotNull()).select("source", "at", data["user"].alias("user"))
     people = bare(found.select("source", "at", F.col("c.user").alias("user")), "user").unionByName(likers.unionByName(related, allowMissingColumns=True).select("source", "at", F.col("u").alias("user"))).unionByName(profile)
-    out["accounts"] = out["accounts"].unionByName(people.select("source", "at", *account_row("user")))
-    return out | {"comments": comments, "likes": likes, "account_relations": relations}
+    if out:
+        out["accounts"] = out["accounts"].unionByName(people.select("source", "at", *account_row("user")))
+    found_all = out | {"comments": comments, "likes": likes, "account_relations": relations}
+    return {n: rows for n, rows in found_all.items() if n in wanted}
 
 
 @dataclass(frozen=True)
@@ -293,16 +297,30 @@ def deduplicated(streams: dict[str, DataFrame]) -> dict[str, DataFrame]:
     out = {}
     for name, rows in streams.items():
         how, columns = IDENTITIES[name], [c for c in rows.columns if c != "at"]
-        numbered_rows = checkpointed(with_at(rows).groupBy(*columns).agg(F.max("at").alias("last"), F.min("at").alias("first")))
-        numbered_rows = numbered_rows.withColumn("ord", F.concat_ws(" ", "last" if how.merged else "first", F.to_json(F.struct(*columns))))
-        keys = [F.when(F.col(k).isNotNull(), F.concat_ws("\0", "source", k)) for k in how.keys]
-        grouped = clusters(numbered_rows, "ord", keys)
+        keys, held = list(how.keys), F.to_json(F.struct(*columns))
+        values = [c for c in columns if c not in ("source", *keys)]
+        filled = lambda c: full(F.col(c), rows.schema[c].dataType)
+        placed = lambda c: F.max(F.when(filled(c).isNotNull(), F.struct("ord", c))).alias(c)
+        # first the rows that agree in all keys, each by its own where it has none; what they leave is merged further below
+        apart = with_at(rows).withColumns({"ord": F.concat_ws(" ", "at", held), "apart": F.when(F.coalesce(*keys).isNull(), held)}).groupBy("source", *keys, "apart")
         if how.merged:
-            filled = lambda c: F.when(full(F.col(c), rows.schema[c].dataType).isNotNull(), F.col("ord"))
-            picked = [F.max_by(c, filled(c)).alias(c) for c in columns if c != "source"]
+            parts = apart.agg(F.max("ord").alias("ord"), *map(placed, values))
         else:
-            picked = [F.min_by(c, "ord").alias(c) for c in columns if c != "source"]
-        out[name] = grouped.groupBy("source", "cluster").agg(*picked).select(*columns)
+            parts = apart.agg(F.min(F.struct("ord", *values)).alias("r")).select("source", *keys, "apart", "r.*")
+        shown = lambda part: part.select(*(filled(c).alias(c) if c in keys else F.col(f"{c}.{c}").alias(c) if c in values else c for c in columns)) if how.merged else part.select(*columns)
+        if len(keys) > 1:
+            parts = staged(parts.withColumn("part", F.to_json(F.struct("source", *keys, "apart"))))
+            found = linked(parts, "part", [F.when(F.col(k).isNotNull(), F.concat_ws("\0", "source", k)) for k in keys])
+        if len(keys) == 1 or found is None:
+            out[name] = shown(parts)
+            continue
+        members = staged(found.select("id", "component").union(found.select("component", "component")).distinct())
+        inside = parts.join(members, F.col("part") == F.col("id")).groupBy("source", "component")
+        if how.merged:
+            grouped = inside.agg(*map(placed, keys), *(F.max(c).alias(c) for c in values)).select("source", *(F.col(f"{c}.{c}").alias(c) for c in (*keys, *values)))
+        else:
+            grouped = inside.agg(F.min(F.struct("ord", *keys, *values)).alias("r")).select("source", "r.*")
+        out[name] = shown(parts.join(members, F.col("part") == F.col("id"), "left_anti")).unionByName(grouped.select(*columns))
     return out
 
 
