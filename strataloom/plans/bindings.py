@@ -39,11 +39,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("account_id"), F.col("o_orderdate").alias("publication_date"), F.col("o_orderpriority").alias("caption"))
 
 
-def media(spark: SparkSession, sf_dir: str) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders; the id is made of the line's columns, of which the pair (order, line number) is no key."""
     line = table(spark, sf_dir, "lineitem")
     local = F.concat_ws("/", F.lit("m"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    own = line.select(
+    return line.select(
         F.col("l_orderkey").alias("post_id"),
         local.alias("media_key"),
         F.when(F.col("l_returnflag") == "A", "audio").when(F.col("l_returnflag") == "N", "image").otherwise("video").alias("media_type"),
@@ -51,8 +51,12 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("size"),
         F.col("l_suppkey").alias("tagger"),
     )
+
+
+def media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of posts that are known, with the post's account and date."""
     dated = posts(spark, sf_dir).select(F.col("id").alias("post_id"), "account_id", "publication_date")
-    return own.join(dated, "post_id")
+    return files(spark, sf_dir).join(dated, "post_id")
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
