@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from strataloom.operators.lineage import checkpointed
+from strataloom.operators.lineage import staged
 from strataloom.operators.maintenance import thumbnail_status
 from strataloom.operators.reconcile import full, preferred
 from strataloom.operators.resolve import clusters, dual_key_lookup
@@ -61,13 +61,6 @@ ENTITIES = {
 }
 
 
-def collapsed(rows: DataFrame, entity: Entity, *keys: str, order: str = "ord") -> DataFrame:
-    """One row a key; later rows win value by value. `order` becomes that of the first row."""
-    place = lambda c: F.when(full(F.col(c), rows.schema[c].dataType).isNotNull(), F.col(order))
-    columns = [c for c in ("id_on_platform", "url_suffix", *entity.values) if c not in keys]
-    return rows.groupBy(*keys).agg(*(F.max_by(c, place(c)).alias(c) for c in columns), F.min(order).alias(order))
-
-
 def incorporate(stored: Stored, rows: DataFrame, session: str, entity: Entity) -> Stored:
     """stored with the rows (ord, id_on_platform, url_suffix, values) that one session saw; see incorporate_sessions."""
     return incorporate_sessions(stored, rows.withColumn("session", F.lit(session)), entity)
@@ -84,20 +77,30 @@ def incorporate_sessions(stored: Stored, rows: DataFrame, entity: Entity) -> Sto
     platform id stays the first, the address becomes the newest, identifiers only grow.
     """
     known = rows.where("id_on_platform IS NOT NULL" if entity.needs_platform_id else "id_on_platform IS NOT NULL OR url_suffix IS NOT NULL")
-    ranks = known.select("session").distinct().withColumn("rank", F.row_number().over(W.orderBy("session")))  # a row a session
+    ranks = staged(known.select("session").distinct()).withColumn("rank", F.row_number().over(W.orderBy("session")))  # a row a session
     placed = known.join(ranks, "session").withColumn("seq", F.col("rank").cast("long") * (1 << 40) + F.col("ord"))
-    clustered = clusters(placed, "seq", [F.col("id_on_platform"), F.col("url_suffix")])
-    found = dual_key_lookup(collapsed(clustered, entity, "cluster", order="seq"), stored.canonical)
+    fields, pair = stored.observed.schema, ["id_on_platform", "url_suffix"]
+    # what each session saw under each pair of identifiers; entities are told by the pairs alone
+    at = lambda v: F.max(F.when(full(F.col(v), rows.schema[v].dataType).isNotNull(), F.struct("seq", v))).alias(v)
+    parts = staged(placed.groupBy(*pair, "session", "rank").agg(*map(at, entity.values), F.max("seq").alias("last"), F.min("seq").alias("seq")))
+    pairs = staged(parts.groupBy(*pair).agg(F.max("last").alias("last"), F.min("seq").alias("seq")))
+    clustered = clusters(pairs, "seq", [F.col("id_on_platform"), F.col("url_suffix")])
+    newer = lambda c: F.max_by(c, F.when(full(F.col(c), T.StringType()).isNotNull(), F.col("last"))).alias(c)
+    found = staged(dual_key_lookup(clustered.groupBy("cluster").agg(*map(newer, pair), F.min("seq").alias("seq")), stored.canonical).select("cluster", "seq", "canonical_id"))
     top = stored.canonical.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top")).first()["top"]
     fresh = numbered(found.where("canonical_id IS NULL").select("cluster", "seq"), "seq", top)
     ids = found.where("canonical_id IS NOT NULL").select("cluster", "canonical_id").unionByName(fresh.select("cluster", "canonical_id"))
-    seen = collapsed(clustered.join(ids, "cluster"), entity, "canonical_id", "session", "rank", order="seq")
-    fields = stored.observed.schema
+    own = staged(clustered.join(ids, "cluster").select(*(F.col(c).alias(f"_{c}") for c in pair), "canonical_id"))
+    both = parts.join(own, F.col("id_on_platform").eqNullSafe(F.col("_id_on_platform")) & F.col("url_suffix").eqNullSafe(F.col("_url_suffix")))
+    seen = both.groupBy("canonical_id", "session", "rank").agg(*map(newer, pair), *(F.max(v).alias(v) for v in entity.values))
+    seen = seen.select("canonical_id", "session", "rank", *pair, *(F.col(f"{v}.{v}").alias(v) for v in entity.values))
 
     # observations: what a session saw of the canonical before wins
     mine = stored.observed.select("canonical_id", "session", *(F.col(v).alias(f"_{v}") for v in entity.values))
-    now = seen.join(mine, ["canonical_id", "session"], "left").select(
-        "canonical_id", "session", "rank", "id_on_platform", "url_suffix", *(preferred(F.col(f"_{v}"), F.col(v), fields[v].dataType).alias(v) for v in entity.values)
+    now = staged(
+        seen.join(mine, ["canonical_id", "session"], "left").select(
+            "canonical_id", "session", "rank", "id_on_platform", "url_suffix", *(preferred(F.col(f"_{v}"), F.col(v), fields[v].dataType).alias(v) for v in entity.values)
+        )
     )
     observed = stored.observed.join(now.select("canonical_id", "session"), ["canonical_id", "session"], "left_anti").unionByName(now.select(*stored.observed.columns))
 
@@ -134,7 +137,6 @@ def with_largest_files(before: DataFrame, after: Stored, sizes: DataFrame) -> St
     sizes: (local_url, size). before: the canonicals (id, local_url, thumbnail_path, thumbnail_status) that after was made from. A medium whose file changes loses its thumbnail and
     gets the status that a new one with that file has; the others keep theirs.
     """
-    after = Stored(checkpointed(after.canonical), checkpointed(after.observed))  # each is read twice
     seen = after.observed.where(full(F.col("local_url"), T.StringType()).isNotNull()).join(sizes.groupBy("local_url").agg(F.max("size").alias("size")), "local_url", "left")
     best = seen.groupBy(F.col("canonical_id").alias("id")).agg(F.max_by("local_url", F.struct(F.coalesce("size", F.lit(0)), F.col("session"))).alias("_file"))
     old = before.select("id", F.col("local_url").alias("_old"), F.col("thumbnail_path").alias("_path"), F.col("thumbnail_status").alias("_status"), F.lit(True).alias("_known"))
@@ -142,7 +144,7 @@ def with_largest_files(before: DataFrame, after: Stored, sizes: DataFrame) -> St
     same = F.coalesce(F.col("_known"), F.lit(False)) & F.col("_old").eqNullSafe(F.col("local_url"))
     status = F.when(same, F.col("_status")).otherwise(thumbnail_status(F.lit(None).cast("string"), F.col("local_url"), F.col("media_type")))
     made = rows.withColumns({"thumbnail_path": F.when(same, F.col("_path")), "thumbnail_status": status})
-    return Stored(checkpointed(made.select(*dict.fromkeys([*after.canonical.columns, "thumbnail_path", "thumbnail_status"]))), after.observed)
+    return Stored(staged(made.select(*dict.fromkeys([*after.canonical.columns, "thumbnail_path", "thumbnail_status"]))), after.observed)
 
 
 def referred(rows: DataFrame, reference: Reference, known: DataFrame) -> DataFrame:
@@ -172,11 +174,11 @@ def incorporate_all(stored: Mapping[str, Stored], streams: Mapping[str, DataFram
                 aside.append(lost.select(F.lit(name).alias("type"), "session", "ord", F.lit(f"{reference.column} is unknown").alias("reason")))
             if reference.missing != "keep":
                 rows = rows.where(F.col(reference.column).isNotNull())
-        done = incorporate_sessions(stored[name], checkpointed(rows), entity)
+        done = incorporate_sessions(stored[name], staged(rows) if entity.references else rows, entity)
         if name == "media" and sizes is not None:
             out[name] = with_largest_files(with_thumbnails(stored[name].canonical), done, sizes)
         else:
-            out[name] = Stored(checkpointed(done.canonical), checkpointed(done.observed))
+            out[name] = Stored(staged(done.canonical), done.observed)
     spark = next(iter(stored.values())).canonical.sparkSession
     nothing = spark.createDataFrame([], "type string, session string, ord long, reason string")
     return out, reduce(DataFrame.unionByName, aside, nothing)
